@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that workers need no installation of it."""
+    if _own.get("shipped") != spark.sparkContext.applicationId:
+        root = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="docloom-code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(path))
+        _own["shipped"] = spark.sparkContext.applicationId
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts can be long: a bound on the bytes of an Arrow batch bounds a Python worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, mixing
-from docloom.llm.common import table
+from docloom.llm import bpe, exact_dedup, langid, media, mixing, near_dedup, quality
+from docloom.llm.common import crc_mod, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -17,6 +17,26 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The classifier fitted on the rows that aren't held out."""
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    return langid.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,11 +49,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op4_near_dedup": op4_near_dedup,
+        "op6_language": op6_language,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
+        "op10_media": op10_media,
     }
 
 
