@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, langid, media, mixing, near_dedup, quality
+from docloom.llm import bpe, exact_dedup, fixity, html_extract, langid, line_dedup, media, mixing, near_dedup, quality
 from docloom.llm.common import crc_mod, table
 
 
@@ -27,10 +28,23 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
@@ -56,7 +70,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_html": op3_html,
         "op4_near_dedup": op4_near_dedup,
+        "op5_fixity": op5_fixity,
         "op6_language": op6_language,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
@@ -66,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op5_fixity": fixity.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
