@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that states its result."""
 
-from docloom.plans import gates, ingest, retrieval  # noqa: F401
+from docloom.plans import gates, graph, ingest, ops, retrieval  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

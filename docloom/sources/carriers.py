@@ -43,12 +43,12 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each source: role, newest time, a display name for most."""
     c = chunks(spark, sf_dir)
     return c.groupBy("source_path").agg(
-        F.min("doc_role").alias("role"), F.max("uploaded_at").alias("at"),
+        F.min("doc_role").alias("role"), F.max("uploaded_at").alias("at_"),
         F.when(F.length("source_path") > 4, F.concat("source_path", F.lit(".txt"))).alias("display"),
     )
 
 
-UPLOADS = """uploads AS (SELECT source_path, min(doc_role) AS role, max(uploaded_at) AS at,
+UPLOADS = """uploads AS (SELECT source_path, min(doc_role) AS role, max(uploaded_at) AS at_,
   CASE WHEN length(source_path) > 4 THEN source_path || '.txt' END AS display FROM chunks GROUP BY source_path)"""
 
 
@@ -88,7 +88,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RUNS = """runs AS (SELECT event_id AS run_id, 'kb' || (user_id % 5)::VARCHAR AS kb, user_id, epoch(ts)::BIGINT AS created_at,
+RUNS = """runs AS (SELECT event_id AS run_id, 'kb' || (user_id % 5)::VARCHAR AS kb, user_id, floor(epoch(ts))::BIGINT AS created_at,
   event_type AS status, value AS latency, (props->>'$.k')::INT AS k, 'q' || (event_id // 2)::VARCHAR AS query_id,
   CASE WHEN (props->>'$.k')::INT % 3 = 0 THEN 'code' || ((props->>'$.k')::INT % 4)::VARCHAR ELSE '' END AS failure_code FROM events)"""
 
