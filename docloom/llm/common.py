@@ -60,6 +60,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+#: Bits of the filter of ``maybe_in``, and bits of one of its bitmaps.
+FILTER_BITS, BITMAP = 1 << 22, 32_768
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key (a long column of both) may be among keys: a join after it finds the same rows, but moves fewer.
+
+    A bitmap of fixed size (half a megabyte, whatever the number of keys) is broadcast; a full one only lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = keys.select(F.floor(bit / BITMAP).alias("__map"), F.pmod(bit, F.lit(BITMAP)).alias("__at")).groupBy("__map").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    at = F.pmod(bit, F.lit(BITMAP))
+    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))).cast("int") % 2 == 1
+    return rows.withColumn("__map", F.floor(bit / BITMAP)).join(F.broadcast(bits), "__map").filter(hit).select(rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,9 +9,11 @@ the probability of their Jaccard similarity. 32 bands of four registers give the
 for chance collisions; pairs far below the threshold go no further, all others are verified on the full sets.
 
 No group is expanded into pairs. Equal sets are one class. In each band bucket every class is tried against
-the bucket's smallest id; then components are formed, and in buckets that still hold several components each
-member outside the largest is tried against the members of the others, in rounds of a bounded number of probes
-per bucket, until no probe is left. A link that is skipped therefore lies inside a component.
+the bucket's smallest id, and components are formed. Buckets that still hold several components are scanned:
+members whose estimate leaves a link possible are joined into families (a spanning forest leaves the scan, not
+the pairs). Inside a family, members outside its largest component are compared with all others on the full
+sets, in blocks of bounded size; a link is emitted only where it joins two components. A link that is skipped
+therefore lies inside a component.
 
 Cases: texts without words have empty sets, n_shingles 0, and are linked with nothing; fewer than five words
 are one shingle; equal rows and repeated doc_ids share a component; rows with a null doc_id are singletons
@@ -26,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from docloom.llm.common import cut, mix, slices, small_batches, stream, utf8, words
+from docloom.llm.common import cut, maybe_in, mix, slices, small_batches, stream, utf8, words
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -37,8 +38,8 @@ REGISTERS, BAND = 128, 4
 PERCENT = 75
 #: Estimates at least this low rule a pair out (over four standard deviations under the threshold).
 LEAST_ESTIMATE = 0.55
-#: Members of one bucket that are tried against the rest in one round.
-PROBES = 64
+#: Largest bucket that one task scans for families (a larger one is a family as a whole), and shingles in a block of a family.
+SCAN, BLOCK = 2048, 400_000
 _BUCKET_BITS = 7
 _W = stream(SHINGLE + 1, 11)
 _FILL = stream(REGISTERS, 13)
@@ -165,10 +166,17 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the given ids; of rows that repeat an id any one (their sets are of one class, or differ and count by it)."""
+    texts = maybe_in(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), ids, "doc_id")
+    # an inner join: the optimizer would move a semi join below the filter
+    return texts.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) that hold on the full sets of their texts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    texts = cut(_texts(docs, ids), "near-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,48 +210,155 @@ def _near_size(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _spanning(open_rows: DataFrame) -> DataFrame:
+    """Spanning edges (a, b) of the pairs in each bucket whose estimate leaves a link possible. Rows: key, m, low, doc_id, n, regs."""
+
+    def scan(ids: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[list[int], list[int]]:
+        root = list(range(len(ids)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for i in range(1, len(ids)):
+            may = np.flatnonzero((np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * PERCENT) & ((regs[:i] == regs[i]).sum(axis=1) >= LEAST_ESTIMATE * REGISTERS))
+            for j in may.tolist():
+                a, b = find(i), find(j)
+                if a != b:
+                    root[a] = b
+                    out[0].append(int(ids[i]))
+                    out[1].append(int(ids[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch | None:
+            if len(held) < 2:
+                return None
+            ids, n = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            a, b = scan(ids, n, np.frombuffer(b"".join(h[2] for h in held), np.uint16).reshape(-1, REGISTERS))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for t in batches:
+            for k, *row in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                if k != key:
+                    if (out := done()) is not None:
+                        yield out
+                    key, held = k, []
+                held.append(row)
+        if (out := done()) is not None:
+            yield out
+
+    scanned = open_rows.filter(F.col("m") <= SCAN).repartition("key").sortWithinPartitions("key", "doc_id")
+    whole = open_rows.filter((F.col("m") > SCAN) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    return scanned.select("key", "doc_id", "n", "regs").mapInArrow(run, "a long, b long").union(whole).distinct()
+
+
+def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join components inside families. Rows of family: doc_id, n, component, family."""
+    sizes = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    top = sizes.groupBy("family").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = family.join(top.select("family", F.col("top.component").alias("largest")), "family").withColumn("probe", F.col("component") != F.col("largest"))
+    blocks = rows.groupBy("family").agg(
+        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("probe") == k, F.col("n"))) / BLOCK)).cast("int").alias(c) for k, c in ((True, "np"), (False, "nm"))]
+    )
+    rows = cut(rows.join(blocks, "family").select("doc_id", "component", "family", "probe", "np", "nm"), "near-family")
+    # groups (i, j): probe blocks i <= j, and probe block i with main block j (written as -1 - j)
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nm"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    probes = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))),
+        F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda x: F.struct(F.col("mine").alias("i"), (-1 - x).alias("j"))),
+    )
+    mains = F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda x: F.struct(x.alias("i"), (-1 - F.col("mine")).alias("j")))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("probe"), probes).otherwise(mains)))
+    rows = rows.join(_texts(docs, rows.select("doc_id").distinct()), "doc_id").select("family", "g.i", "g.j", "doc_id", "component", "probe", "text")
+
+    def links(ids: list[int], components: list[int], probe: list[bool], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        root = {c: c for c in components}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        n = np.array([len(s) for s in sets])
+        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        out: tuple[list[int], list[int]] = ([], [])
+        for i in np.flatnonzero(probe).tolist():
+            lo, hi = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
+            count = hi - lo
+            at = np.repeat(lo - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(100 * common >= PERCENT * (n[i] + n - common)).tolist():
+                if j != i and (a := find(components[i])) != (b := find(components[j])):
+                    root[a] = b
+                    out[0].append(ids[i])
+                    out[1].append(ids[j])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch | None:
+            if len(held[0]) < 2:
+                return None
+            a, b = links(*held)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for t in batches:
+            data, off = utf8(t.column(6))
+            keys = list(zip(*(t.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+            rest = [t.column(k).to_pylist() for k in (3, 4, 5)]
+            for lo, hi in slices(off, 1 << 20):
+                for i, s in enumerate(shingle_sets(data, off[lo : hi + 1]), lo):
+                    if keys[i] != key:
+                        if (out := done()) is not None:
+                            yield out
+                        key, held = keys[i], ([], [], [], [])
+                    for h, v in zip(held, (rest[0][i], rest[1][i], rest[2][i], s), strict=True):
+                        h.append(v)
+        if (out := done()) is not None:
+            yield out
+
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketches (doc_id, n, rep) and labels (id, component) of the linked class representatives."""
+    """Members (doc_id, n, rep) and labels (id, component) of the linked class representatives."""
     sketch = cut(sketches(docs), "near-sketch")
     # equal sets are one class, under the smallest id
     classes = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     member = cut(sketch.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep"), "near-member")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
-    sketch = cut(sketch.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-classes")
+    sketch = cut(sketch.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "keys"), "near-classes")
     rows = sketch.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    bands = cut(rows.join(shared.select("key", F.col("low.doc_id").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
+    bands = cut(rows.join(shared.select("key", "m", F.col("low.doc_id").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
 
-    tried = cut(bands.filter((F.col("doc_id") != F.col("low")) & _near_size("n", "low_n")).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), "near-pairs")
-    links = cut(_verified(cut(_likely(tried, sketch), "near-likely"), docs), "near-links")
+    stars = bands.filter((F.col("doc_id") != F.col("low")) & _near_size("n", "low_n")).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    links = cut(_verified(cut(_likely(stars, sketch), "near-likely"), docs), "near-links")
     label = components(links)
-    probed = None
-    while True:
-        open_ = bands.select("key", "doc_id", "n").join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        open_ = cut(open_.join(mixed, "key"), "near-open")
-        per = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        largest = per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
-        outside = open_.join(largest, "key").filter("component <> largest")
-        if probed is not None:
-            outside = outside.join(probed, ["key", "doc_id"], "left_anti")
-        first = W.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
-        probes = cut(outside.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= PROBES).drop("turn"), "near-probes")
-        if probes.isEmpty():
-            break
-        mates = open_.select("key", F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
-        pairs = probes.join(mates, "key").filter((F.col("oc") != F.col("component")) & _near_size("n", "on"))
-        pairs = pairs.select(F.greatest("doc_id", "o").alias("a"), F.least("doc_id", "o").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near-pairs")
-        probed = probes.select("key", "doc_id") if probed is None else cut(probed.unionByName(probes.select("key", "doc_id")), "near-probed")
-        if pairs.isEmpty():
-            continue
-        tried = cut(tried.unionByName(pairs), "near-tried")
-        found = cut(_verified(cut(_likely(pairs, sketch), "near-likely"), docs), "near-links")
-        if not found.isEmpty():
-            links = cut(links.unionByName(found), "near-links")
-            label = components(links)
-    return member, label
+
+    component = F.coalesce("component", "doc_id")
+    open_ = bands.select("key", "m", "low", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", component)
+    mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    # in an open bucket of two classes the star has been the only pair
+    open_ = cut(open_.filter("m > 2").join(mixed, "key").select("key", "m", "low", "doc_id"), "near-open")
+    edges = cut(_spanning(open_.join(sketch.select("doc_id", "n", "regs"), "doc_id")), "near-spanning")
+    if edges.isEmpty():
+        return member, label
+    family = components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
+    family = family.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", component).join(sketch.select("doc_id", "n"), "doc_id")
+    found = cut(_family_links(family, docs), "near-links")
+    return member, label if found.isEmpty() else components(links.unionByName(found))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
