@@ -20,69 +20,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, maybe_in
 
 #: Leading tokens that the tree goes down by.
 DEPTH = 3
 CONSTANT, SIMILARITY = 0.5, 0.6
 LEAST_DOCUMENTS = 3
 VARIABLE = "<*>"
-_SPACES = r"[ \t\r\x0B\f]+"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, masked: every line that has a token, with tokens that hold a digit masked."""
+    """doc_id, line_no, masked, h1, h2, leaf: every line that has a token, with tokens that hold a digit masked; the hash of the
+    masked line (96 bits) and of its place in the tree."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    line = F.trim(F.regexp_replace("line", _SPACES, " "))
-    return lines.select("doc_id", "line_no", F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", VARIABLE).alias("masked")).filter("masked <> ''")
+    # one scan finds the few lines that need work
+    odd = F.col("line").rlike(r"[\t\r\x0B\f0-9]|  ")
+    single = F.trim(F.regexp_replace("line", r"[ \t\r\x0B\f]+", " "))
+    masked = F.when(odd, F.regexp_replace(single, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(F.trim("line"))
+    lines = lines.select("doc_id", "line_no", masked.alias("masked")).filter("masked <> ''")
+    size = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(size, F.substring_index("masked", " ", DEPTH))
+    return lines.select("doc_id", "line_no", "masked", F.xxhash64("masked").alias("h1"), F.hash("masked").alias("h2"), leaf.alias("leaf"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """masked, template of the lines whose template recurs (masked: distinct lines; template: tokens with fields)."""
-    # per distinct line: documents it occurs in; digests stand for lines until a leaf is known to be shared
-    seen = lines.groupBy("masked").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.countDistinct("doc_id").alias("n"))
-    tokens = F.split("masked", " ")
-    lead = F.concat_ws(" ", F.slice(tokens, 1, DEPTH))
-    seen = cut(seen.select("masked", "low", "high", "n", F.xxhash64(F.size(tokens), lead).alias("leaf"), F.size(tokens).alias("k")), "line-leaves")
+    """h1, h2, n, template of the distinct lines in shared leaves (template: tokens with fields)."""
+    seen = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.min("leaf").alias("leaf"), F.min(F.struct("doc_id", "line_no")).alias("at"))
+    seen = cut(seen, "line-leaves")
     # leaves that lines of at least LEAST_DOCUMENTS documents reach (an upper bound: sums over distinct lines)
-    shared = seen.groupBy("leaf").agg(F.sum("n").alias("m")).filter(F.col("m") >= LEAST_DOCUMENTS).select("leaf")
-    leaf_lines = cut(seen.join(shared, "leaf"), "line-shared")
-    total = leaf_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
-    # tokens by position
-    cells = leaf_lines.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    counts = cells.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy("leaf", "at").agg(F.max(F.struct(F.col("c"), F.col("token"))).alias("top"))
-    field = best.join(total, "leaf").select("leaf", "at", F.when((F.col("top.c") >= F.col("lines") * CONSTANT) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
+    shared = cut(seen.groupBy("leaf").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("lines")).filter(F.col("m") >= LEAST_DOCUMENTS), "line-shared")
+    # one text for each distinct line, from the place where it comes first
+    firsts = maybe_in(seen, shared, "leaf").join(shared.select("leaf", "lines"), "leaf").select("at.doc_id", "at.line_no", "h1", "h2", "leaf", "n", "lines")
+    texts = maybe_in(lines.select("doc_id", "line_no", "masked", "leaf"), shared, "leaf").drop("leaf")
+    leaf_lines = cut(firsts.join(texts.dropDuplicates(["doc_id", "line_no"]), ["doc_id", "line_no"]).drop("doc_id", "line_no"), "line-texts")
+    # tokens by position; a leaf of one line is its own template
+    several = leaf_lines.filter("lines > 1")
+    counts = several.select("leaf", "lines", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "lines", "at", "token").agg(F.count(F.lit(1)).alias("c"))
+    best = counts.groupBy("leaf", "lines", "at").agg(F.max(F.struct("c", "token")).alias("top"))
+    field = best.select("leaf", "at", F.when((F.col("top.c") >= F.col("lines") * CONSTANT) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
     shape = field.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("s")).select("leaf", F.transform("s", lambda x: x["token"]).alias("shape"))
-    fit = leaf_lines.join(shape, "leaf").withColumn("same", F.expr("size(filter(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '<*>'), x -> x))"))
+    fit = several.join(shape, "leaf").withColumn("k", F.size("shape"))
+    fit = fit.withColumn("same", F.expr("size(filter(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '<*>'), x -> x))"))
     constants = F.expr("size(filter(shape, x -> x <> '<*>'))")
     near = (F.col("same") >= constants * SIMILARITY) & (constants * 2 >= F.col("k"))
-    fit = fit.select("masked", "n", "low", "high", F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
-    return cut(fit, "line-fit")
+    fit = fit.select("h1", "h2", "n", F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
+    alone = leaf_lines.filter("lines = 1").select("h1", "h2", "n", F.col("masked").alias("template"))
+    return cut(fit.unionByName(alone).withColumn("t", F.unhex(F.md5("template"))), "line-fit")
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """masked, template of every line whose template occurs in at least LEAST_DOCUMENTS documents."""
+    """h1, h2, template of every line whose template occurs in at least LEAST_DOCUMENTS documents."""
     fit = templates(lines)
-    # exact numbers of documents per template: a template of one line has them already; others are counted from the lines
-    many = fit.groupBy("template").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    sure = many.filter(F.col("most") >= LEAST_DOCUMENTS).select("template")
-    open_ = many.filter((F.col("most") < LEAST_DOCUMENTS) & (F.col("forms") > 1) & (F.col("all") >= LEAST_DOCUMENTS)).select("template")
-    # at most LEAST_DOCUMENTS - 1 documents per line here
-    forms = fit.join(open_, "template").select("template", "masked")
-    counted = lines.select("masked", "doc_id").join(forms, "masked").groupBy("template").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS).select("template")
-    return cut(fit.join(sure.unionByName(counted), "template", "left_semi").select("masked", "template"), "line-recurring")
+    # a template with a form of enough documents is sure; others are counted from their lines (few documents each)
+    many = fit.groupBy("t").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    sure = many.filter(F.col("most") >= LEAST_DOCUMENTS).select("t")
+    open_ = many.filter((F.col("most") < LEAST_DOCUMENTS) & (F.col("forms") > 1) & (F.col("all") >= LEAST_DOCUMENTS)).select("t")
+    forms = fit.join(open_, "t").select("t", "h1", "h2")
+    counted = lines.select("h1", "h2", "doc_id").join(forms, ["h1", "h2"]).groupBy("t").agg(F.count_distinct("doc_id").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS).select("t")
+    return cut(fit.join(sure.unionByName(counted), "t", "left_semi").select("h1", "h2", "template"), "line-recurring")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with ``text`` free of recurring lines, and the columns n_lines, n_dropped (named with a prefix if docs has them)."""
-    lines = template_lines(docs.filter("doc_id IS NOT NULL"))
-    drop = lines.join(recurring(lines), "masked", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
+    lines = cut(template_lines(docs.filter("doc_id IS NOT NULL")), "line-all")
+    gone = recurring(lines).select("h1", "h2")
+    drop = lines.select("doc_id", "line_no", "h1", "h2").join(gone, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
     out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(drop.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i), x)), lambda x: x.isNotNull())
+    text = F.coalesce("text", F.lit(""))
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__drop", i))
     name = lambda c: c if c not in docs.columns else f"dedup_{c}"
-    out = out.withColumn(name("n_lines"), F.size(parts)).withColumn(name("n_dropped"), F.coalesce(F.size("__drop"), F.lit(0)))
+    out = out.withColumn(name("n_lines"), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).withColumn(name("n_dropped"), F.coalesce(F.size("__drop"), F.lit(0)))
     return out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("__drop")
 
 
