@@ -11,14 +11,22 @@ from docloom.sources import carriers as C
 
 SECTION = r"^(#{1,6}\s+.+|(?:\d+(?:\.\d+){0,3}|[가-힣A-Za-z]\))\s+.+|제\s*\d+\s*(장|절|항|조).+)$"
 LINES = r"""raw AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS raw, unnest(range(len(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')))) + 1 AS line_no FROM documents),
-norm AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM raw),
+marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 9 = 0 THEN '## ' || raw WHEN line_no % 11 = 0 THEN 'Page ' || line_no::VARCHAR || ' of 99' ELSE raw END AS raw FROM raw),
+norm AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM marked),
 flagged AS (SELECT *, regexp_full_match(text, '#{1,6}\s+.+|(?:\d+(?:\.\d+){0,3}|[가-힣A-Za-z]\))\s+.+|제\s*\d+\s*(장|절|항|조).+') AS is_section,
   text = '' OR regexp_full_match(text, '(?i)page\s*\d+\s*(of\s*\d+)?') OR regexp_full_match(text, '\d+\s*/\s*\d+') OR regexp_full_match(text, '[-_=]{3,}') AS chrome FROM norm),
 lines AS (SELECT doc_id, line_no::INT AS line_no, text, is_section FROM flagged WHERE text <> '' AND (is_section OR NOT chrome))"""
 
 
+def _marked(spark, sf):
+    """Documents in which every ninth line is a heading and every eleventh a page line."""
+    d = C.read(spark, sf, "documents")
+    line = lambda x, i: F.when((i + 1) % 9 == 0, F.concat(F.lit("## "), x)).when((i + 1) % 11 == 0, F.concat(F.lit("Page "), (i + 1).cast("string"), F.lit(" of 99"))).otherwise(x)
+    return d.select("doc_id", F.array_join(F.transform(F.split(T.text("text"), "\r\n|\r|\n"), line), "\n").alias("text"))
+
+
 def _lines(spark, sf):
-    return I.lines(C.read(spark, sf, "documents"), "doc_id")
+    return I.lines(_marked(spark, sf), "doc_id")
 
 
 @query("scan_txt", "SELECT doc_id, line_no, is_section, md5(text) AS text_md5 FROM lines", (LINES,))
@@ -33,7 +41,7 @@ def is_section_line(spark, sf):
 
 @query("is_header_footer", "SELECT doc_id, line_no::INT AS line_no, text FROM flagged WHERE chrome AND text <> ''", (LINES,))
 def is_header_footer(spark, sf):
-    raw = C.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(T.text("text"), "\r\n|\r|\n")).alias("at", "raw"))
+    raw = _marked(spark, sf).select("doc_id", F.posexplode(F.split(T.text("text"), "\r\n|\r|\n")).alias("at", "raw"))
     rows = raw.select("doc_id", (F.col("at") + 1).alias("line_no"), T.collapse("raw").alias("text"))
     return rows.filter((F.col("text") != "") & T.is_page_line("text"))
 
