@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, cut
+from docloom.llm.common import SPACE, cut, maybe_in
 
 
 def normalised(text: str = "text") -> Column:
@@ -25,9 +25,9 @@ def normalised(text: str = "text") -> Column:
 
 
 def flush_runs(docs: DataFrame) -> DataFrame:
-    """One row per document with its digest, written as sorted runs with a bloom filter per run."""
+    """One row per document with its digest, written as runs sorted by it; each file keeps its range and a bloom filter."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("digest"))
-    return cut(rows.sortWithinPartitions("digest"), "lsm-run")
+    return cut(rows.sortWithinPartitions("digest"), "lsm-run", {"parquet.bloom.filter.enabled#digest": "true"})
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -35,16 +35,17 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def verify_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Digests whose rows differ in bytes (none, unless SHA-256 collides), with one entry per different text.
+def unequal(docs: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digests whose rows differ in bytes (none, unless SHA-256 collides), and the digested texts of all hits.
 
     min(text) = max(text) within a digest proves that all its texts are equal byte by byte; the partial
     aggregation compares copies inside each task, so a huge group sends one row per task.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("body")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    hashed = texts.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    ids = hits.select("doc_id").distinct()
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), ids, "doc_id").join(ids, "doc_id")
+    hashed = texts.select("doc_id", normalised().alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
     odd = hashed.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("digest")
-    return hashed.join(odd, "digest", "left_semi")
+    return cut(odd, "lsm-collide"), hashed
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -52,17 +53,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     runs = flush_runs(docs)
     index = cut(compact(runs), "lsm-level")
     found = runs.join(index, "digest")
-    hits = found.filter("group_size > 1").filter(F.col("doc_id").isNotNull())
-    split = cut(verify_hits(docs, hits), "lsm-collide")
-    # rows whose digest collides are grouped anew by their whole text
-    texts = split.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
-    own = split.join(texts, ["digest", "body"]).select("digest", "doc_id", "own_keep", "own_size").distinct()
-    out = found.join(own, ["digest", "doc_id"], "left")
-    keep = F.coalesce("own_keep", "keep_id")
-    return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    odd, hashed = unequal(docs, found.filter("group_size > 1 AND doc_id IS NOT NULL"))
+    keep, size = F.col("keep_id"), F.col("group_size")
+    if not odd.isEmpty():  # rows of colliding digests are grouped anew by their whole text
+        split = hashed.join(odd, "digest")
+        texts = split.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
+        own = split.join(texts, ["digest", "body"]).select("digest", "doc_id", "own_keep", "own_size").distinct()
+        found = found.join(own, ["digest", "doc_id"], "left")
+        keep, size = F.coalesce("own_keep", "keep_id"), F.coalesce("own_size", "group_size")
+    return found.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
