@@ -128,27 +128,58 @@ class MergeReplay:
         return sym[kept], np.append(0, np.cumsum(counts))
 
 
+class _Index(dict):
+    """Numbers for words; a new word gets the next number and waits in ``new`` for its ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
+def _gather(flat: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments ``which`` of flat (bounded by off) end to end, and where each ends."""
+    size = off[which + 1] - off[which]
+    ends = np.cumsum(size)
+    return flat[np.repeat(off[which] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 class Codec:
     """Whole texts to ids and back; remembers a bounded number of words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.split, self.known = MergeReplay(ranks), regex.compile(pattern), {}
+        self.replay, self.split = MergeReplay(ranks), regex.compile(pattern)
+        tokens = [self.replay.token.get(r, b"") for r in range(max(ranks.values()) + 1)]
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([len(t) for t in tokens]))
+        names = [f"{r}," for r in range(len(tokens))]
+        self.names = np.frombuffer("".join(names).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in names]))
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _forget(self) -> None:
+        self.index, self.ids, self.off = _Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [self.split.findall(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for c in cut for w in c) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.known.clear()
-            new = list(dict.fromkeys(w for c in cut for w in c))
-        ids, off = self.replay.encode([w.encode() for w in new])
-        ids, off = ids.tolist(), off.tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(new, off, off[1:], strict=False))
-        known = self.known
-        return [[x for w in c for x in known[w]] for c in cut]
+        if len(self.index) > REMEMBERED:
+            self._forget()
+        number = self.index.__getitem__
+        rows = [np.fromiter(map(number, c), np.int32, len(c)) for c in map(self.split.findall, texts)]
+        if self.index.new:
+            ids, off = self.replay.encode([w.encode("utf-8", "surrogatepass") for w in self.index.new])
+            self.index.new = []
+            self.ids, self.off = np.append(self.ids, ids.astype(np.int32)), np.append(self.off, self.off[-1] + off[1:])
+        return [_gather(self.ids, self.off, r)[0] if len(r) else np.zeros(0, np.int32) for r in rows]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return _gather(*self.bytes, ids)[0].tobytes() if len(ids) else b""
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.replay.token.__getitem__, ids))
+    def digits(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, with commas between."""
+        return _gather(*self.names, ids)[0][:-1].tobytes() if len(ids) else b""
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -160,17 +191,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*given.value)
-        names = None
         for batch in batches:
             _, off = utf8(batch.column(1))
             for lo, hi in slices(off, SLICE):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 rows = codec.encode(texts)
-                if names is None:
-                    names = {r: str(r) for r in codec.replay.token}
                 columns = [
                     batch.column(0).slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(names.__getitem__, r)).encode()).hexdigest() for r in rows], pa.string()),
+                    pa.array([hashlib.sha256(codec.digits(r)).hexdigest() for r in rows], pa.string()),
                     pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows], pa.string()),
                 ]
                 if with_ids:
