@@ -64,15 +64,15 @@ def substring_candidates(questions: DataFrame, hits: DataFrame, chunks: DataFram
     return rows.withColumn("rank", rank).filter(F.col("rank") <= max(8, limit)).select("query_id", "id")
 
 
-def lexical(questions: DataFrame, postings: DataFrame, hits: DataFrame, bonus: float = DEFAULTS.substring_bonus) -> DataFrame:
-    """query_id, id, lexical: share of keywords among the row's tokens, plus the bonus for keywords of three characters or more inside its text."""
-    q = questions.select("query_id", F.explode("kw").alias("token"), F.size("kw").alias("total"))
-    equal = q.join(postings, "token").groupBy("query_id", "id", "total").agg(F.count(F.lit(1)).alias("overlap"))
-    within = q.filter(F.length("token") >= 3).withColumnRenamed("token", "term").join(hits, "term").groupBy("query_id", "id", "total").agg(F.count(F.lit(1)).alias("inside"))
-    both = equal.join(within, ["query_id", "id", "total"], "full")
-    overlap, inside = F.coalesce("overlap", F.lit(0)) / F.col("total"), F.coalesce("inside", F.lit(0))
-    extra = F.least(F.lit(bonus), bonus * inside / F.col("total"))
-    return both.select("query_id", "id", F.when(inside > 0, F.least(F.lit(1.0), overlap + extra)).otherwise(overlap).alias("lexical"))
+def lexical_score(kw: Column, tokens: Column, low: Column, bonus: float = DEFAULTS.substring_bonus) -> Column:
+    """Share of keywords among the row's tokens, plus the bonus for keywords of three characters or more inside its lower-case text.
+
+    For candidate pairs only: their number is bounded per question, while pairs that share some frequent word are not.
+    """
+    overlap = F.size(F.array_intersect(kw, tokens)) / F.size(kw)
+    inside = F.size(F.filter(kw, lambda k: (F.length(k) >= 3) & (F.instr(low, k) > 0)))
+    extra = F.least(F.lit(bonus), bonus * inside / F.size(kw))
+    return F.when((F.size(kw) == 0) | (F.size(tokens) == 0), 0.0).when(inside > 0, F.least(F.lit(1.0), overlap + extra)).otherwise(overlap)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -135,7 +135,7 @@ def search(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, ve
     budget = max(2 * s.candidates, 4 * top_k)
     postings = overlap_postings(chunks)
     fts = bm25(q, fts_postings(chunks), budget).select("query_id", "id", F.lit(1.0).alias("fts"))
-    hits = substring_hits(q.select(F.explode("kw").alias("term")).distinct(), postings)
+    hits = substring_hits(q.select(F.explode(F.slice("kw", 1, s.substring_terms)).alias("term")).distinct(), postings)
     near = substring_candidates(q, hits, chunks, budget)
     candidates = fts.select("query_id", "id").union(near)
     for more in (concept, ontology):
@@ -143,15 +143,16 @@ def search(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, ve
             candidates = candidates.union(more.select("query_id", "id"))
     candidates = candidates.distinct()
     semantic = dense(query_vectors, vectors, candidates, max(top_k, s.candidates))
-    rows = candidates.join(fts, ["query_id", "id"], "left").join(lexical(q, postings, hits), ["query_id", "id"], "left").join(semantic, ["query_id", "id"], "left")
+    rows = candidates.join(fts, ["query_id", "id"], "left").join(semantic, ["query_id", "id"], "left")
     for name, more in (("concept", concept), ("ontology", ontology)):
         rows = rows.join(more.select("query_id", "id", F.col("score").alias(name)), ["query_id", "id"], "left") if more is not None else rows.withColumn(name, F.lit(0.0))
-    rows = rows.na.fill(0.0, ["fts", "lexical", "semantic", "concept", "ontology"])
+    rows = rows.na.fill(0.0, ["fts", "semantic", "concept", "ontology"])
     any_fts = F.max("fts").over(W.partitionBy("query_id"))
     fts_w = F.when(any_fts > 0, s.fts_weight).otherwise(0.0)
     rows = rows.withColumn("fts_w", fts_w)
-    q = q.select("query_id", "query", literals("query").alias("lits"))
-    rows = rows.join(q, "query_id").join(chunks.select("id", "text", "uploaded_at", "is_normalized"), "id")
+    q = q.select("query_id", "query", "kw", literals("query").alias("lits"))
+    body = chunks.select("id", "text", "uploaded_at", "is_normalized", F.array_distinct(T.tokens("text")).alias("tokens"), F.lower(T.text("text")).alias("low"))
+    rows = rows.join(q, "query_id").join(body, "id").withColumn("lexical", lexical_score(F.col("kw"), F.col("tokens"), F.col("low")))
     rows = rows.withColumn("literal", literal_score(F.col("text"), F.col("lits"))).withColumn("recency", recency(F.col("uploaded_at"), s.now_ts, s.half_life_days)).withColumn("code", code_match(F.col("query"), F.col("text")))
     score = (
         F.greatest(F.lit(0.0), 1 - s.lexical_weight - F.col("fts_w")) * F.col("semantic") + s.lexical_weight * F.col("lexical") + s.concept_weight * F.col("concept") + s.ontology_weight * F.col("ontology")

@@ -87,11 +87,9 @@ def set_candidate_union(spark, sf):
 
 @query("sc_lexical", "SELECT query_id, id, round(lexical, 6) AS lexical FROM lex", CHAIN[:9])
 def sc_lexical(spark, sf):
-    c, q = C.chunks(spark, sf), _q(spark, sf)
-    postings = R.overlap_postings(c)
-    hits = R.substring_hits(q.select(F.explode("kw").alias("term")).distinct(), postings)
-    lex = R.lexical(q, postings, hits)
-    return set_candidate_union(spark, sf).join(lex, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("lexical", F.lit(0.0)), 6).alias("lexical"))
+    c = C.chunks(spark, sf).select("id", F.array_distinct(T.tokens("text")).alias("tokens"), F.lower("text").alias("low"))
+    rows = set_candidate_union(spark, sf).join(_q(spark, sf), "query_id").join(c, "id")
+    return rows.select("query_id", "id", F.round(R.lexical_score(F.col("kw"), F.col("tokens"), F.col("low")), 6).alias("lexical"))
 
 
 @query("gen_dense_brute", "SELECT query_id, id, round(semantic, 6) AS semantic FROM sem", CHAIN[:10])
