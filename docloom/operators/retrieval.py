@@ -31,10 +31,14 @@ def fts_postings(chunks: DataFrame) -> DataFrame:
     return words.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(questions: DataFrame, postings: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
+def lengths(chunks: DataFrame) -> DataFrame:
+    """rows, avg_dl: number and mean length of the rows that have a token (one row)."""
+    return chunks.select(F.size(T.fts_tokens("text")).alias("dl")).filter("dl > 0").agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
+
+
+def bm25(questions: DataFrame, postings: DataFrame, size: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
     """query_id, id, rank: the best ``limit`` rows by BM25 of up to ``terms`` keywords each (idf floored at 1e-6)."""
     q = questions.select("query_id", F.explode(F.slice("kw", 1, terms)).alias("term"))
-    size = postings.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
     wanted = postings.join(q.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = wanted.join(df, "term").join(F.broadcast(size))  # one row
@@ -134,7 +138,7 @@ def search(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, ve
     q = with_keywords(questions)
     budget = max(2 * s.candidates, 4 * top_k)
     postings = overlap_postings(chunks)
-    fts = bm25(q, fts_postings(chunks), budget).select("query_id", "id", F.lit(1.0).alias("fts"))
+    fts = bm25(q, fts_postings(chunks), lengths(chunks), budget).select("query_id", "id", F.lit(1.0).alias("fts"))
     hits = substring_hits(q.select(F.explode(F.slice("kw", 1, s.substring_terms)).alias("term")).distinct(), postings)
     near = substring_candidates(q, hits, chunks, budget)
     candidates = fts.select("query_id", "id").union(near)

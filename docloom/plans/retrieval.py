@@ -70,7 +70,8 @@ def gen_keywords(spark, sf):
 
 @query("gen_fts", "SELECT query_id, id, 1.0::DOUBLE AS score FROM fts", CHAIN[:6])
 def gen_fts(spark, sf):
-    return R.bm25(_q(spark, sf), R.fts_postings(C.chunks(spark, sf)), 240).select("query_id", "id", F.lit(1.0).alias("score"))
+    c = C.chunks(spark, sf)
+    return R.bm25(_q(spark, sf), R.fts_postings(c), R.lengths(c), 240).select("query_id", "id", F.lit(1.0).alias("score"))
 
 
 @query("gen_substring", "SELECT query_id, id FROM sub", (*BASE, CHAIN[6]))

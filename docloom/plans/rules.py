@@ -131,7 +131,8 @@ def topk_grounded(spark, sf):
 def topk_fts(spark, sf):
     from docloom.operators import retrieval as X
 
-    return X.bm25(X.with_keywords(C.questions(spark, sf)), X.fts_postings(C.chunks(spark, sf)), 8)
+    c = C.chunks(spark, sf)
+    return X.bm25(X.with_keywords(C.questions(spark, sf)), X.fts_postings(c), X.lengths(c), 8)
 
 
 @query("join_query_candidates", "SELECT query_id, id, min(pri)::INT AS generator FROM (SELECT query_id, id, 3 AS pri FROM fts UNION ALL SELECT query_id, id, 4 FROM sub) GROUP BY ALL", P.CHAIN[:8])
