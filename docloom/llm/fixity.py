@@ -61,7 +61,7 @@ def tree(rows: DataFrame) -> list[DataFrame]:
             F.min("begin").alias("begin"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("position", "digest"))).alias("kids")
         )
         joined = F.aggregate("kids", F.lit(b""), lambda a, x: F.concat(a, x["digest"]))
-        level = groups.select("file", "position", "begin", "end", node_digest(F.col("begin"), F.col("end"), joined).alias("digest"))
+        level = cut(groups.select("file", "position", "begin", "end", node_digest(F.col("begin"), F.col("end"), joined).alias("digest")), "warc-nodes")
         out.append(level)
     return out
 
