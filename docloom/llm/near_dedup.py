@@ -336,6 +336,7 @@ def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = cut(sketches(docs), "near-sketch")
     # equal sets are one class, under the smallest id
     classes = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(classes, "near-class-reps")  # so that the join below stands alone and a huge class can be split
     member = cut(sketch.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep"), "near-member")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     sketch = cut(sketch.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "keys"), "near-classes")
