@@ -59,6 +59,7 @@ def templates(lines: DataFrame) -> DataFrame:
     best = counts.groupBy("leaf", "lines", "at").agg(F.max(F.struct("c", "token")).alias("top"))
     field = best.select("leaf", "at", F.when((F.col("top.c") >= F.col("lines") * CONSTANT) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
     shape = field.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("s")).select("leaf", F.transform("s", lambda x: x["token"]).alias("shape"))
+    shape = cut(shape, "line-shapes")  # so that the join below stands alone and a huge leaf can be split
     fit = several.join(shape, "leaf").withColumn("k", F.size("shape"))
     fit = fit.withColumn("same", F.expr("size(filter(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '<*>'), x -> x))"))
     constants = F.expr("size(filter(shape, x -> x <> '<*>'))")
