@@ -5,7 +5,9 @@ blocks of equal length. A schedule of slots is drawn from the golden-ratio seque
 frac(i * phi), which the cumulative target shares map to a source. Slots are ranked within their source
 (prefix counts of slot ranges, then ranks inside a range, so that no task holds a whole source); the slot
 of rank r plays block r modulo the number of blocks. A document is taken as often as the blocks it
-overlaps are played, word by word.
+overlaps are played, word by word. A source with less than LEAST_PARTS blocks in its size or target has
+shorter blocks and is drawn, with its like, in a schedule of slots of their own length, so that a short
+last block and rounding to whole slots stay small beside its own target in a table of any size.
 
 Cases: a null text has size 0 and is taken 0 times; null is a source of its own, sorted last; equal rows
 are rows of their own; a table without words has targets of 0; an empty table gives an empty result;
@@ -14,6 +16,8 @@ other columns stay untouched in ``mixed_rows`` and are ignored by ``mix``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from docloom.llm.common import WORD, cut
 #: Words of a block at full size, and the least number of slots below that.
 BLOCK = 512
 LEAST_SLOTS = 20_000
+#: A source's size and target have at least so many blocks (or blocks of one word).
+LEAST_PARTS = 128
 #: A document is taken at most so often.
 MOST = 3
 WEIGHTS = (5, 2, 1)
@@ -31,6 +37,8 @@ RANGES = 256
 #: Slots of one range of the schedule.
 SLOT_RANGE = 4096
 PHI = 0.6180339887498949
+#: Points times sources that are compared one by one.
+MOST_PAIRS = 1_000_000_000
 
 
 def words_of(text: str = "text") -> Column:
@@ -60,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def schedule(spark: SparkSession, plan: DataFrame, slots: int) -> DataFrame:
     """slot, source_no, rank: the source of every slot and the rank of the slot within that source."""
     points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * F.lit(PHI) - F.floor(F.col("id") * F.lit(PHI))).alias("u"))
-    drawn = points.join(F.broadcast(plan.select("source_no", "lo", "hi")), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))) if plan.count() <= 10_000 else _by_cell(points, plan)
+    drawn = points.join(F.broadcast(plan.select("source_no", "lo", "hi")), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))) if plan.count() * slots <= MOST_PAIRS else _by_cell(points, plan)
     drawn = drawn.select("slot", "source_no", F.floor(F.col("slot") / SLOT_RANGE).alias("part"))
     before = drawn.groupBy("source_no", "part").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inner = F.row_number().over(W.partitionBy("source_no", "part").orderBy("slot")) - 1
@@ -73,6 +81,15 @@ def _by_cell(points: DataFrame, plan: DataFrame, cells: int = 65_536) -> DataFra
     return points.withColumn("cell", F.floor(F.col("u") * cells)).join(spans, "cell").filter("u >= lo AND u < hi")
 
 
+def _fine_plan(plan: DataFrame) -> DataFrame:
+    """source_no, lo, hi, all for sources with blocks of their own: intervals as wide as the slots each wants, and the slots of all."""
+    by_no = W.orderBy("source_no")
+    p = plan.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
+    p = p.withColumn("all", F.sum("want").over(W.partitionBy())).withColumn("hi", F.sum("want").over(by_no.rowsBetween(W.unboundedPreceding, 0)) / F.col("all"))
+    p = p.withColumn("last", F.lead("source_no").over(by_no).isNull()).withColumn("lo", F.coalesce(F.lag("hi").over(by_no), F.lit(0.0)))
+    return p.select("source_no", "lo", F.when(F.col("last"), 1.0).otherwise(F.col("hi")).alias("hi"), "all")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, plays (times that the block at its middle is played) for every row."""
     spark = docs.sparkSession
@@ -86,7 +103,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     plan = plan.withColumn("source_no", F.row_number().over(by_name)).withColumn("hi", F.sum("target").over(by_name.rowsBetween(W.unboundedPreceding, 0)) / max(float(total), 1.0))
     last = F.row_number().over(W.orderBy(F.col("source").desc_nulls_first())) == 1
     plan = plan.withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0.0))).withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi")))
-    plan = cut(plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / length))), "mix-plan")
+    own = F.floor(F.least(F.col("source_size").cast("double"), F.col("target")) / LEAST_PARTS)
+    plan = plan.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(length), own)).cast("long"))
+    plan = cut(plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("length")))), "mix-plan")
 
     part = F.conv(F.substring("key", 1, 2), 16, 10).cast("int")
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source").withColumn("part", F.pmod(part, F.lit(RANGES)))
@@ -95,16 +114,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     inner = W.partitionBy("source_no", "part").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("ends", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0))).join(offsets, ["source_no", "part"])
     placed = placed.withColumn("begin", F.col("offset") + F.col("ends") - F.col("size")).withColumn("end", F.col("begin") + F.col("size"))
-    placed = placed.select("doc_id", "size", "source_size", "target", "source_no", "begin", "end")
+    placed = placed.select("doc_id", "size", "source_size", "target", "source_no", "length", "begin", "end")
 
     # slots play blocks in turn; a slot beyond ``most`` rounds is void
     slots = -(-total // length)
-    played = schedule(spark, plan, slots).join(plan.select("source_no", "blocks"), "source_no").filter(F.col("rank") < F.col("blocks") * most)
+    fine = F.col("length") < length
+    drawn = schedule(spark, plan, slots).join(plan.filter(~fine).select("source_no", "blocks"), "source_no")
+    short = _fine_plan(plan.filter(fine & (F.col("source_size") > 0)))
+    wanted = short.agg(F.max("all")).first()[0]
+    if wanted:
+        drawn = drawn.unionByName(schedule(spark, short, math.ceil(wanted)).join(plan.select("source_no", "blocks"), "source_no"))
+    played = drawn.filter(F.col("rank") < F.col("blocks") * most)
     times = played.groupBy("source_no", F.pmod("rank", "blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((F.col("end") - 1) / length))))
-    inside = F.least("end", (F.col("block") + 1) * length) - F.greatest("begin", F.col("block") * length)
+    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / F.col("length")), F.floor((F.col("end") - 1) / F.col("length")))))
+    inside = F.least("end", (F.col("block") + 1) * F.col("length")) - F.greatest("begin", F.col("block") * F.col("length"))
     middle = F.floor((F.col("begin") + F.col("end") - 1) / 2)
-    holds = F.floor(middle / length) == F.col("block")
+    holds = F.floor(middle / F.col("length")) == F.col("block")
     taken = pieces.join(times, ["source_no", "block"], "left").groupBy("source_no", "begin", "doc_id", "size", "source_size", "target").agg(
         F.sum(inside * F.coalesce("times", F.lit(0))).alias("taken"), F.max(F.when(holds, F.coalesce("times", F.lit(0)))).alias("plays")
     )

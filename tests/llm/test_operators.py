@@ -178,6 +178,23 @@ def test_mixing_targets_and_bounds(spark):
     assert mixing.mixed_rows(frame(spark)).columns == frame(spark).columns
 
 
+@pytest.mark.parametrize("big", [3_000_000, 12_000_000])
+def test_mixing_small_sources_of_large_tables(spark, big):
+    """Sources far below a full block come near their targets beside sources of any size."""
+    small = {"b": 60, "c": 300, "d": 700, "e": 1500, "f": 5000, None: 40}
+    rows = [(i, "w " * (big // 100), None, "a", None) for i in range(100)]
+    rows += [(1000 * k + j, "w " * 20, None, s, None) for k, (s, n) in enumerate(small.items(), 1) for j in range(n // 20)]
+    src = {r[0]: r[3] for r in rows}
+    taken, target = Counter(), {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        taken[src[r.doc_id]] += r.taken
+        target[src[r.doc_id]] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert set(target) == {"a", *small}
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(3, 0.03 * t), (s, t, taken[s])
+
+
 def test_media_round_trip(spark):
     for n in [0, 1, 63, 64, 65, *range(100, 20_000, 613), 16_384, 100_000]:
         raw = bytes(i * 7 % 256 for i in range(n))
