@@ -4,8 +4,10 @@ The tree has fixed depth: a line goes down by its number of tokens, then by its
 digit counts as variable); leaves hold the lines of one shape. In a leaf that lines of several documents
 reach, positions are compared: a position is constant if its commonest token fills at least CONSTANT of the
 leaf's distinct lines, else it is a variable field, as are tokens with digits. A line whose share of matching
-constant positions is at least SIMILARITY belongs to the leaf's template; the rest keep a template of their
-own (the masked line). Templates that occur in at least LEAST_DOCUMENTS documents are recurring: their lines are dropped.
+constant positions is at least SIMILARITY belongs to the leaf's template. The rest go down further, level by
+level: each line by a common token that splits its leaf, and are compared within these smaller leaves, where a
+constant needs more than half of the lines and the leading tokens don't count. A line that fits nowhere keeps
+a template of its own (the masked line). Templates that occur in at least LEAST_DOCUMENTS documents are recurring: their lines are dropped.
 
 Lines are counted per distinct masked line before anything is grouped by leaf, so a line that a third of all
 documents share is one row per task.
@@ -17,7 +19,7 @@ doc_ids differ; rows with a null doc_id are kept whole; other columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, maybe_in
@@ -53,20 +55,64 @@ def templates(lines: DataFrame) -> DataFrame:
     firsts = maybe_in(seen, shared, "leaf").join(shared.select("leaf", "lines"), "leaf").select("at.doc_id", "at.line_no", "h1", "h2", "leaf", "n", "lines")
     texts = maybe_in(lines.select("doc_id", "line_no", "masked", "leaf"), shared, "leaf").drop("leaf")
     leaf_lines = cut(firsts.join(texts.dropDuplicates(["doc_id", "line_no"]), ["doc_id", "line_no"]).drop("doc_id", "line_no"), "line-texts")
-    # tokens by position; a leaf of one line is its own template
+    # a leaf of one line is its own template
     several = leaf_lines.filter("lines > 1")
-    counts = several.select("leaf", "lines", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "lines", "at", "token").agg(F.count(F.lit(1)).alias("c"))
+    shape = cut(_shapes(several, F.col("lines") * CONSTANT), "line-shapes")  # so that the join stands alone and a huge leaf can be split
+    level = cut(_fitted(several, shape, 0), "line-level")
+    kept = ["h1", "h2", "n", "template"]
+    out, rest = level.filter("near"), level.filter("NOT near")
+    own = leaf_lines.filter("lines = 1").select("h1", "h2", "n", F.col("masked").alias("template")).unionByName(rest.select(kept))
+    found = None
+    while not rest.isEmpty():
+        parts = _split(rest)
+        if parts.isEmpty():
+            break
+        level = cut(_fitted(parts, cut(_shapes(parts, F.floor(F.col("lines") / 2) + 1), "line-shapes"), DEPTH), "line-level")
+        near, rest = level.filter("near").select(kept), level.filter("NOT near")
+        found = near if found is None else found.unionByName(near)
+    if found is not None:  # lines that fitted further down no longer stand alone
+        own = own.join(found.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(found)
+    out = out.select(kept).unionByName(own)
+    return cut(out.withColumn("t", F.unhex(F.md5("template"))), "line-fit")
+
+
+def _shapes(rows: DataFrame, least: Column) -> DataFrame:
+    """leaf, shape: by position the commonest token, if at least ``least`` of the leaf's lines have it, else a field."""
+    counts = rows.select("leaf", "lines", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "lines", "at", "token").agg(F.count(F.lit(1)).alias("c"))
     best = counts.groupBy("leaf", "lines", "at").agg(F.max(F.struct("c", "token")).alias("top"))
-    field = best.select("leaf", "at", F.when((F.col("top.c") >= F.col("lines") * CONSTANT) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
-    shape = field.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("s")).select("leaf", F.transform("s", lambda x: x["token"]).alias("shape"))
-    shape = cut(shape, "line-shapes")  # so that the join below stands alone and a huge leaf can be split
-    fit = several.join(shape, "leaf").withColumn("k", F.size("shape"))
-    fit = fit.withColumn("same", F.expr("size(filter(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '<*>'), x -> x))"))
-    constants = F.expr("size(filter(shape, x -> x <> '<*>'))")
-    near = (F.col("same") >= constants * SIMILARITY) & (constants * 2 >= F.col("k"))
-    fit = fit.select("h1", "h2", "n", F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
-    alone = leaf_lines.filter("lines = 1").select("h1", "h2", "n", F.col("masked").alias("template"))
-    return cut(fit.unionByName(alone).withColumn("t", F.unhex(F.md5("template"))), "line-fit")
+    field = best.select("leaf", "at", F.when((F.col("top.c") >= least) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
+    return field.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("s")).select("leaf", F.transform("s", lambda x: x["token"]).alias("shape"))
+
+
+def _fitted(rows: DataFrame, shape: DataFrame, skip: int) -> DataFrame:
+    """rows with near (is the line like the shape of its leaf, judged after the first ``skip`` tokens?) and template."""
+    fit = rows.join(shape, "leaf").withColumn("k", F.size("shape") - skip)
+    same = F.expr(f"size(filter(slice(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '{VARIABLE}'), {skip + 1}, size(shape)), x -> x))")
+    constants = F.expr(f"size(filter(slice(shape, {skip + 1}, size(shape)), x -> x <> '{VARIABLE}'))")
+    near = (same >= constants * SIMILARITY) & (constants * 2 >= F.col("k"))
+    return fit.select("h1", "h2", "n", "leaf", "lines", "masked", near.alias("near"), F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
+
+
+def _split(rest: DataFrame) -> DataFrame:
+    """rest (lines that didn't fit) in smaller leaves; lines is null where a line can't belong to a recurring template any more.
+
+    A leaf that lost its fitting lines is tried again whole. In another, a line goes by its commonest token that at most half of
+    the leaf has (else by the rarest that some lack); lines without one stay together. Each new leaf is smaller than the old one,
+    and mostly half of it. A line can't fit any part of the leaf if too few of its tokens occur twice in it.
+    """
+    now = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("now"))
+    rest = cut(rest.select("h1", "h2", "n", "leaf", "lines", "masked").join(now, "leaf").filter("lines > 2"), "line-rest")
+    tokens = rest.filter("now = lines").select("h1", "h2", "leaf", "now", F.posexplode(F.split("masked", " ")).alias("at", "token")).filter(F.col("at") >= DEPTH)
+    counts = cut(tokens.filter(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "line-anchors")
+    c, half = F.col("c"), F.col("c") * 2 <= F.col("now")
+    rank = F.struct(half.alias("half"), F.when(half, c).otherwise(-c).alias("c"), (-F.col("at")).alias("back"), "token")
+    best = tokens.join(counts, ["leaf", "at", "token"]).groupBy("h1", "h2").agg(F.max(F.when(c < F.col("now"), rank)).alias("anchor"), F.count(F.lit(1)).alias("shared"))
+    rows = rest.join(best, ["h1", "h2"], "left").withColumn("k", F.size(F.split("masked", " ")) - DEPTH)
+    able = (F.col("now") < F.col("lines")) | (F.coalesce("shared", F.lit(0)) >= F.col("k") * CONSTANT * SIMILARITY)
+    part = F.when(F.col("anchor").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "anchor.back", "anchor.token"))
+    rows = cut(rows.filter(able).select("h1", "h2", "n", part.alias("leaf"), F.col("lines").alias("was"), "masked"), "line-split")
+    groups = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("m"), F.max("was").alias("was")).filter((F.col("lines") > 1) & (F.col("lines") < F.col("was")) & (F.col("m") >= LEAST_DOCUMENTS))
+    return cut(rows.drop("was").join(groups.select("leaf", "lines"), "leaf"), "line-parts")
 
 
 def recurring(lines: DataFrame) -> DataFrame:

@@ -291,6 +291,19 @@ def test_line_dedup_templates(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0, 200])
+def test_line_dedup_several_templates_of_a_leaf(spark, noise):
+    """Two templates with the same leading tokens recur, alone and among ordinary lines; the ordinary lines stay."""
+    names = lambda p: (f"{p}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(260))
+    big = [f"we have seen user {x} open the red front door" for x, _ in zip(names("b"), range(60))]
+    small = [f"we have seen {x} files lost on disk of night" for x, _ in zip(names("a"), range(40))]
+    rng = np.random.default_rng(5)
+    other = ["we have seen " + " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6)) + rng.choice([" door", " night"]) for _ in range(noise)]
+    rows = [(i, f"{t}\nOwn line x{i}", None, None, None) for i, t in enumerate([*big, *small, *other])]
+    dropped = {r.doc_id for r in line_dedup.line_dedup(frame(spark, rows)).collect() if "we have seen" not in r.text}
+    assert dropped == set(range(100))
+
+
 def test_fixity_finds_planted_damage(spark):
     pages = spark.createDataFrame([(i if i % 50 else None, f"http://x/{i}", "<p>" + "y" * (i % 40)) for i in range(3000)] + [(7, None, None)] * 2, "page_id long, url string, html string")
     rows = fixity.records(pages, 3)
