@@ -4,8 +4,9 @@ A page's tokens are its tags, told apart by role (the path of elements from the
 its texts, by the role of the slot they fill. Over all pages of a host each role has an occurrence vector (its
 count in every page); vectors are compared by a sum of hashes of (page, count) pairs, which is folded map-side,
 so that a host with a third of all pages sends one row per role and task. Roles with the same vector form an
-equivalence class. Classes that enough pages of the host support are valid; they nest by their paths into the
-host's template. The slots of the template are then sorted: texts that never change, slots that consist of
+equivalence class. Classes that enough pages of the host support are valid, and so are classes of several roles
+that only some pages hold, as a host may have several page templates; they nest by their paths into the host's
+template. The slots of the template are then sorted: texts that never change, slots that consist of
 links and slots under chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
 template, what is left is content. A page's text is what its content slots hold; roles that the template
 doesn't know (few pages have them, or the host is small) are judged by their own path. Inside an article
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, small_batches
 
-#: A class is valid if at least this share of the host's pages, and so many pages, hold it.
-SUPPORT, LEAST_PAGES = 0.5, 3
+#: A class is valid if at least this share of the host's pages, and so many pages, hold it; one of so many roles needs the pages only.
+SUPPORT, LEAST_PAGES, LEAST_ROLES = 0.5, 3, 3
 #: A text must be the same on at least so many pages to count as part of the template; a slot is a menu beyond this share of link text.
 CONSTANT_PAGES, LINK_SHARE = 5, 0.8
 #: Templates are broadcast up to this many rows (hosts), beyond that they are joined by a shuffle.
@@ -203,9 +204,12 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, template: the roles of valid classes, each with its class, the class it nests in, and its sort ('tag', 'content' or 'template')."""
     stats = cut(occurrences(pages), "html-roles")
     hosts = stats.filter("role = ''").select("host", F.col("n").alias("pages"))
-    valid = stats.filter("role <> ''").join(hosts, "host").filter((F.col("n") >= F.col("pages") * SUPPORT) & (F.col("pages") >= LEAST_PAGES))
-    classes = valid.groupBy("host", "n", "vector").agg(F.min("role").alias("cls"), F.count(F.lit(1)).alias("members"))
-    valid = valid.join(classes, ["host", "n", "vector"])
+    roles = stats.filter("role <> ''")
+    classes = roles.groupBy("host", "n", "vector").agg(F.min("role").alias("cls"), F.count(F.lit(1)).alias("members"))
+    common = (F.col("n") >= F.col("pages") * SUPPORT) & (F.col("pages") >= LEAST_PAGES)
+    own = (F.col("n") >= LEAST_PAGES) & (F.col("members") >= LEAST_ROLES)  # a template that some of the host's pages have
+    classes = classes.join(hosts, "host").filter(common | own).drop("pages")
+    valid = roles.join(classes, ["host", "n", "vector"])
     fixed = (F.col("low") == F.col("high")) & (F.col("n") >= CONSTANT_PAGES) & (F.col("kind") != "article")
     linked = (F.col("links") > F.col("chars") * LINK_SHARE) & (F.col("kind") != "article")
     sort = F.when(~F.col("role").endswith("#"), "tag").when(F.col("kind").isin("chrome", "outside") | fixed | linked, "template").otherwise("content")

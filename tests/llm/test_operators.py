@@ -278,6 +278,15 @@ def test_html_template_drops_constant_text_outside_articles(spark):
     assert all(r.text == f"Story number {r.page_id} is here" for r in out)
 
 
+def test_html_template_of_a_minority(spark):
+    """Text that is constant on the pages of one template goes, though most pages of the host have another template."""
+    usual = "<body><div><p>Story number {0} is here</p></div></body>"
+    rare = "<body><section><div>Sold by our shop since long</div><b>{0}</b></section><div><p>Item number {0} is here</p></div></body>"
+    rows = [(i, f"http://c.example/{i}", (rare if i < 6 else usual).format(i)) for i in range(30)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"{i}\n\nItem number {i} is here" if i < 6 else f"Story number {i} is here" for i in range(30)}
+
+
 def test_line_dedup_templates(spark):
     lines = [f"error {i} in module {i * 7} while reading the block" for i in range(6)]
     rows = [(i, f"Own text of document number x{i} only here\n{lines[i]}\n\nShared footer line of all\nlast q{i}z", None, None, None) for i in range(6)]
