@@ -32,8 +32,8 @@ def mixed(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """Token figures of each row of the mix."""
-    return bpe.encode_documents(docs, *tokenizer())
+    """Token ids and figures of each row of the mix."""
+    return bpe.encode_documents(docs, *tokenizer(), with_ids=True)
 
 
 STAGES = [("quality classifier", good), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixed), ("byte-level BPE", tokens)]

@@ -31,6 +31,12 @@ def test_pipeline_equals_its_stages(spark):
     assert len(texts) == len(set(texts))
 
 
+def test_pipeline_ends_with_token_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(rows) == 20 and all(len(r.ids) == r.n_tokens for r in rows) and any(r.n_tokens for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
