@@ -1,19 +1,27 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are its tags, told apart by role (the path of elements from the root, with class and id), and
-its texts, by the role of the slot they fill. Over all pages of a host each role has an occurrence vector (its
-count in every page); vectors are compared by a sum of hashes of (page, count) pairs, which is folded map-side,
-so that a host with a third of all pages sends one row per role and task. Roles with the same vector form an
-equivalence class. Classes that enough pages of the host support are valid, and so are classes of several roles
-that only some pages hold, as a host may have several page templates; they nest by their paths into the host's
-template. The slots of the template are then sorted: texts that never change, slots that consist of
-links and slots under chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
-template, what is left is content. A page's text is what its content slots hold; roles that the template
-doesn't know (few pages have them, or the host is small) are judged by their own path. Inside an article
-nothing is dropped for being the same on many pages.
-
-Cases: null and empty html give an empty text; unclosed and stray tags are tolerated; a null or odd url forms
-a host of its own kind ('' as host); repeated rows get equal results; other columns are ignored.
+A page's tokens are its tags, each with its role (a hash chained over tag, class, id and kind of the enclosing
+elements), and its texts, each with the role of the element that holds it. Over all pages of a host a token has
+an occurrence vector (its count in every page), compared by a sum of hashes of (page, count) pairs that is folded
+map-side, so that a host with a third of all pages sends one row per token and task. Tokens with the same vector
+form an equivalence class. A class is valid if enough pages of the host support it (a class of several tags needs
+less support, as a host may have several page templates) and if it is ordered: its tokens follow each other in the
+same order in every page and repetition. Roles are paths, so ordered classes nest.
+
+The classes make the template. A text belongs to it if its class holds a tag that encloses it, i.e. if it stands
+there whenever that part of the template does. Such texts are no content, wherever they stand: inside an article
+too. What remains are slots, one per block-level tag of the template: slots that consist of links are menus. Of
+the other texts, those go that stand in chrome by the markup's own word (nav, footer, forms, adverts, comments…)
+or outside the page's article or main element. Tags that the template doesn't know (few pages have them, or the
+host is small) belong to the slot of the nearest enclosing tag that it knows.
+
+A class of copies is no template: where a class has more text outside its tags than inside, or where its texts
+are nearly all that its pages have as content, the texts stay (see ``_template_texts``).
+
+Cases: null and empty html give an empty text; unclosed and stray tags are tolerated, an open quote ends at the
+next '>', an unfinished tag or comment at the end is markup; time is linear in the page, however deep or broken; a
+null or odd url forms a host of its own kind ('' as host); repeated rows get equal results; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ import html as markup
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -30,17 +39,23 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, small_batches
 
-#: A class is valid if at least this share of the host's pages, and so many pages, hold it; one of so many roles needs the pages only.
-SUPPORT, LEAST_PAGES, LEAST_ROLES = 0.5, 3, 3
-#: A text must be the same on at least so many pages to count as part of the template; a slot is a menu beyond this share of link text.
+#: A class is valid if at least this share of the host's pages, and so many pages, hold it.
+SUPPORT, LEAST_PAGES = 0.5, 3
+#: A class of so many tags needs this share of the pages only: a template of some pages. It bounds a host's template to
+#: 1 / RARE times the tokens of a mean page.
+LEAST_TAGS, RARE = 3, 0.001
+#: A text must stand on at least so many pages to be template; a slot is a menu beyond this share of link text.
 CONSTANT_PAGES, LINK_SHARE = 5, 0.8
-#: Templates are broadcast up to this many rows (hosts), beyond that they are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Characters a page that template texts may have beside less changing text.
+COPY_CHARS = 1000
+#: Templates are broadcast up to so many tokens in all, beyond that they are joined by a shuffle.
+BROADCAST_TOKENS = 2_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=]*+)")
+_ATTR = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object"}
+_RAW = {"script", "style", "template", "iframe", "textarea", "title", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -54,12 +69,35 @@ _CHROME_WORDS = {
     "respond", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "related", "recommended", "pagination", "pager", "toolbar", "login", "signup", "widget",
 }
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "menu"}
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An opening tag closes the nearest of these, unless one of the borders stands in between.
+_CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+}
 _SCOPES = {"article", "main", "div", "section", "table", "td", "th", "body", "html", "ul", "ol", "dl", "blockquote", "form", "aside", "nav", "header", "footer"}
 
 
+class Element(NamedTuple):
+    """What an open tag means: role (path hash), name, chrome, region ('', 'main' or 'article'), in a link, role of the parent."""
+
+    role: int
+    tag: str
+    chrome: bool
+    region: str
+    link: bool
+    up: int
+
+
+ROOT = Element(0, "", False, "", False, 0)
+
+
+def _h(*parts) -> int:
+    """Hash of 63 bits."""
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
+
+
 def _chrome(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Is the element page chrome? inside: it stands in an article."""
+    """Is the element page chrome by its own name? inside: it stands in an article."""
     if tag in _CHROME_TAGS or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _CHROME_ROLES:
         return True
     words = set(re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) - {""}
@@ -70,85 +108,142 @@ def _chrome(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return bool(words & _CHROME_WORDS) or "header" in words and not inside
 
 
+def _element(up: Element, tag: str, source: str) -> Element:
+    """The element of a tag in its parent; ``source``: its attributes as they stand."""
+    attrs = {a[0].lower(): markup.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(source)} if source else {}
+    names = " ".join(sorted(set(attrs.get("class", "").split())))
+    own = attrs.get("id", "")
+    chrome = up.chrome or _chrome(tag, attrs, up.region == "article")
+    region = "article" if tag == "article" or up.region == "article" else "main" if tag == "main" or attrs.get("role") == "main" or up.region == "main" else ""
+    role = _h(up.role, tag, names, "" if re.search(r"\d", own) else own, chrome, region)
+    return Element(role, tag, chrome, region, up.link or tag == "a", up.role)
+
+
 class Page:
-    """Roles and slots of one page: ``counts`` of roles, ``texts`` as (block number, role, kind, in link, text)."""
+    """``tags``: elements in page order; ``texts``: (block number, element, text, place among the tags) of every piece of text."""
+
+    _known: dict[tuple[int, str, str], Element] = {}
 
     def __init__(self, source: str):
-        self.counts: dict[str, int] = defaultdict(int)
-        self.texts: list[tuple[int, str, str, bool, str]] = []
+        self.tags: list[Element] = []
+        self.texts: list[tuple[int, Element, str, int]] = []
         self._block = 0
-        # tag, role, chrome, region ('', 'main' or 'article'), in link
-        stack: list[tuple[str, str, bool, str, bool]] = [("", "", False, "", False)]
-        at, n = 0, len(source)
-        while at < n:
-            m = _TOKEN.search(source, at)
-            self._text(source[at : m.start() if m else n], stack[-1])
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
-                if m[0].startswith("<![CDATA["):
-                    self._text(m[0][9:].removesuffix("]]>"), stack[-1], False)
+        self._stack: list[Element] = [ROOT]
+        self._open: dict[str, list[int]] = defaultdict(list)  # places of open tags by name
+        self._scopes = [0]
+        begin = at = 0
+        n = len(source)
+        while (lt := source.find("<", at)) >= 0:
+            m = _TAG.match(source, lt)
+            if m:
+                end, close, tag, rest = m.end(), m[1], m[2].lower(), m[3]
+            elif named := _NAME.match(source, lt):  # an open quote, or an unfinished tag
+                if (end := source.find(">", lt) + 1) == 0:
+                    break
+                close, tag, rest = named[1], named[2].lower(), ""
+            elif source.startswith(("<!", "<?", "</"), lt):
+                self._text(source[begin:lt])
+                if source.startswith("<![CDATA[", lt):
+                    end = source.find("]]>", lt)
+                    self._text(source[lt + 9 : end if end >= 0 else n], False)
+                    begin = at = end + 3 if end >= 0 else n
+                elif source.startswith("<!--", lt):
+                    begin = at = n if (end := source.find("-->", lt + 2)) < 0 else end + 3
+                else:
+                    begin = at = source.find(">", lt) + 1 or n
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                self._close(stack, {tag})
+            else:  # a sign in the text
+                at = lt + 1
+                continue
+            self._text(source[begin:lt])
+            begin = at = end
+            if close:
+                self._end(tag)
                 self._block += tag in _BLOCK
                 continue
             if tag in _BLOCK:
                 self._block += 1
-                if any(e[0] == "p" for e in stack):
-                    self._close(stack, {"p"})
+                self._end("p")
             if tag in _CLOSES:
-                self._close(stack, _CLOSES[tag])
-            attrs = {a[0].lower(): markup.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])}
-            names = " ".join(sorted(set(f"{attrs.get('class', '')}".split()))[:4])
-            _, role, chrome, region, link = stack[-1]
-            role = f"{role}/{tag}" + (f".{names}" if names else "") + (f"#{attrs['id']}" if attrs.get("id") and not re.search(r"\d", attrs["id"]) else "")
-            self.counts[role] += 1
-            if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                continue
+                self._implied(*_CLOSES[tag])
+            up = self._stack[-1]
             if tag == "br":
-                self._text(" ", stack[-1])
-            if tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCK:
-                continue
-            chrome = chrome or _chrome(tag, attrs, region == "article")
-            region = "article" if tag == "article" or region == "article" else "main" if tag == "main" or attrs.get("role") == "main" or region == "main" else ""
-            stack.append((tag, role, chrome, region, link or tag == "a"))
-
-    def _close(self, stack: list, tags: set[str]) -> None:
-        """Pop up to the nearest open element of tags, if no container stands in between (an end tag of a container reaches through)."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in _SCOPES and not tags & _SCOPES:
-                return
-
-    def _text(self, s: str, top: tuple, decode: bool = True) -> None:
-        if not s:
-            return
-        if decode and "&" in s:
-            s = markup.unescape(s)
-        _, role, chrome, region, link = top
-        self.texts.append((self._block, f"{role}#", "chrome" if chrome else region, link, s))
+                self.texts.append((self._block, up, " ", len(self.tags)))
+            known = self._known.get((up.role, tag, rest))
+            if known is None:
+                known = _element(up, tag, rest)
+                if len(rest) < 1000:
+                    if len(self._known) >= 50_000:
+                        self._known.clear()
+                    self._known[up.role, tag, rest] = known
+            self.tags.append(known)
+            if tag in _RAW:
+                last = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                begin = at = last.end() if last else n
+            elif tag not in _VOID and not (rest.endswith("/") and tag not in _BLOCK):
+                self._open[tag].append(len(self._stack))
+                if tag in _SCOPES:
+                    self._scopes.append(len(self._stack))
+                self._stack.append(known)
+        self._text(source[begin : lt if lt >= 0 else n])
+
+    def _cut(self, place: int) -> None:
+        """Close all elements from this place of the stack on."""
+        for e in self._stack[place:]:
+            self._open[e.tag].pop()
+        del self._stack[place:]
+        while self._scopes[-1] >= place:
+            self._scopes.pop()
+
+    def _end(self, tag: str) -> None:
+        """An end tag closes the nearest open element of its name; only a container's reaches through containers."""
+        places = self._open[tag]
+        if places and (tag in _SCOPES or places[-1] > self._scopes[-1]):
+            self._cut(places[-1])
+
+    def _implied(self, tags: tuple[str, ...], borders: tuple[str, ...]) -> None:
+        last = lambda names: max((self._open[t][-1] for t in names if self._open[t]), default=0)
+        if (place := last(tags)) > last(borders):
+            self._cut(place)
+
+    def _text(self, s: str, decode: bool = True) -> None:
+        if s:
+            self.texts.append((self._block, self._stack[-1], markup.unescape(s) if decode and "&" in s else s, len(self.tags)))
 
     def region(self) -> str:
         """The narrowest region that the page has outside its chrome."""
-        kinds = {k for _, _, k, _, s in self.texts if not s.isspace()}
+        kinds = {e.region for _, e, s, _ in self.texts if not e.chrome and e.region and not s.isspace()}
         return next((k for k in ("article", "main") if k in kinds), "")
 
-    def extract(self, slots: set[str], known: set[str]) -> str:
-        """Texts of the content slots, a block each; roles that the template doesn't know go by their path."""
-        region = self.region()
+    def keys(self) -> list[int]:
+        """Token of each text; 0 for blank ones."""
+        return [0 if s.isspace() else _h(e.role, " ".join(s.split())) for _, e, s, _ in self.texts]
+
+    def slots(self, known: set[int]) -> dict[int, int]:
+        """The slot of each role of the page: the nearest enclosing block-level role that the template knows, else 0."""
+        out = {0: 0}
+        for e in self.tags:  # parents come first
+            if e.role not in out:
+                out[e.role] = e.role if e.tag in _BLOCK and e.role in known else out[e.up]
+        return out
+
+    def main(self, e: Element, region: str) -> bool:
+        """Does a text of this element stand in the page's narrowest region, outside chrome?"""
+        return not e.chrome and (e.region == region or region == "main" and e.region == "article")
+
+    def extract(self, known: set[int], menus: set[int], fixed: set[int]) -> tuple[str, int]:
+        """The text that template and chrome leave, a block each, and the number of texts that the template takes."""
+        region, slots = self.region(), self.slots(known)
+        keys = self.keys() if fixed else [0] * len(self.texts)
         blocks: dict[int, list[str]] = {}
-        for number, role, kind, _, s in self.texts:
-            if role in slots or role not in known and kind != "chrome" and (kind == region or region == "main" and kind == "article"):
+        taken = 0
+        for (number, e, s, _), key in zip(self.texts, keys, strict=True):
+            if key in fixed or e.region != "article" and slots[e.role] in menus:
+                taken += not s.isspace()
+            elif self.main(e, region):
                 blocks.setdefault(number, []).append(s)
         done = (_BLANK.sub(" ", "".join(b)).strip(" ") for b in blocks.values())
-        return "\n\n".join(b for b in done if b)
+        return "\n\n".join(b for b in done if b), taken
 
 
 def host_column():
@@ -156,92 +251,186 @@ def host_column():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def _h(*parts) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 16
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [k for k, _ in schema])
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Per host and role: pages, vector fingerprint, characters, link characters, least and greatest text hash, kind."""
+    """Per host and token (key): is it a tag, pages that hold it, fingerprint of its occurrence vector. Key 0 stands for the pages."""
     small_batches(pages.sparkSession)
+    schema = [("host", pa.string()), ("key", pa.int64()), ("tag", pa.bool_()), ("n", pa.int64()), ("v", pa.int64()), ("w", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "role", "n", "vector", "chars", "links", "low", "high", "kind"]
         for t in batches:
-            found: dict[tuple[str, str], list] = {}
+            found: dict[tuple[str, int], list] = {}
             for host, page_id, url, source in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 page = Page(source or "")
-                own: dict[str, list] = {r: [c, 0, 0, "", ""] for r, c in page.counts.items()}
-                own[""] = [1, 0, 0, "", ""]  # the page itself
-                texts: dict[str, list[str]] = defaultdict(list)
-                region = page.region()
-                for _, role, kind, link, s in page.texts:
-                    if not s.isspace():
-                        x = own.setdefault(role, [0, 0, 0, "", ""])
-                        x[0] += 1
-                        x[1] += len(s)
-                        x[2] += len(s) * link
-                        x[4] = kind if kind in ("chrome", "article") else "content" if kind == region else "outside"
-                        texts[role].append(s)
-                for role, x in own.items():
-                    text = _h(*texts[role]) if role in texts else 0
-                    y = found.setdefault((host, role), [0, 0, 0, 0, text, text, x[4]])
+                own: dict[tuple[int, bool], int] = defaultdict(int)
+                own[0, True] = 1
+                for e in page.tags:
+                    own[e.role, True] += 1
+                for key in page.keys():
+                    if key:
+                        own[key, False] += 1
+                marks: dict[int, int] = {}
+                for (key, tag), count in own.items():
+                    if count not in marks:
+                        marks[count] = _h(page_id, url, count)
+                    y = found.setdefault((host, key), [tag, 0, 0, 0])
+                    y[1] += 1
+                    y[2] += marks[count] & 0x7FFFFFFF
+                    y[3] += marks[count] >> 31
+            yield _batch([(h, k, x, n, v & 0x7FFFFFFF, w & 0xFFFFFFFF) for (h, k), (x, n, v, w) in found.items()], schema)
+
+    parts = pages.select(host_column().alias("host"), "page_id", "url", "html").mapInArrow(run, "host string, key long, tag boolean, n long, v long, w long")
+    vector = F.shiftleft(F.pmod(F.sum("v"), F.lit(1 << 31)), 32).bitwiseXOR(F.pmod(F.sum("w"), F.lit(1 << 32)))
+    return parts.groupBy("host", "key", "tag").agg(F.sum("n").alias("n"), vector.alias("vector"))
+
+
+def classes(stats: DataFrame) -> DataFrame:
+    """host, tokens: (key, cls, tag) of the tokens in classes with enough support that hold a tag."""
+    hosts = stats.filter("key = 0").select("host", F.col("n").alias("pages"))
+    rows = stats.filter((F.col("key") != 0) & (F.col("n") >= LEAST_PAGES))
+    groups = rows.groupBy("host", "n", "vector").agg(F.count_if("tag").alias("tags")).filter("tags > 0").join(hosts, "host")
+    common, own = F.col("n") >= F.col("pages") * SUPPORT, (F.col("tags") >= LEAST_TAGS) & (F.col("n") >= F.col("pages") * RARE)
+    valid = rows.join(groups.filter(common | own).select("host", "n", "vector"), ["host", "n", "vector"]).filter(F.col("tag") | (F.col("n") >= CONSTANT_PAGES))
+    return valid.groupBy("host").agg(F.collect_list(F.struct("key", F.xxhash64("n", "vector").alias("cls"), "tag")).alias("tokens"))
+
+
+def _with_hosts(pages: DataFrame, found: DataFrame, size: str, how: str) -> DataFrame:
+    """pages (page_id, url, html, host) with the columns of their host's row."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_column().alias("host"))
+    # one row per host: broadcast while all are small, else AQE splits the join of a large host
+    small = (found.agg(F.sum(F.expr(size))).first()[0] or 0) <= BROADCAST_TOKENS
+    return rows.join(F.broadcast(found) if small else found, "host", how)
+
+
+def checks(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Second reading, with the classes known. Per host and kind 'c' (class): order of its tokens (low = high if always the same), characters of its
+    texts inside its tags (``fixed``, of these ``main`` are content by their place) and outside (``loose``), and of its pages' other content
+    (``data``, with least and greatest digest); kind 's' (slot): characters, and those in links; kind 't': a text inside a tag of its class."""
+    small_batches(pages.sparkSession)
+    names = ["low", "high", "fixed", "main", "loose", "data", "first", "last", "chars", "links"]
+    schema = [("host", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[dict, dict]] = {}
+        for t in batches:
+            out: dict[tuple, list[int]] = {}
+            for source, host, tokens in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2), strict=True):
+                if host not in held:
+                    if len(held) > 1000:
+                        held.clear()
+                    every = tokens.as_py()
+                    held[host] = {x["key"]: x["cls"] for x in every if x["tag"]}, {x["key"]: x["cls"] for x in every if not x["tag"]}
+                tags, fixed = held[host]
+                page = Page(source or "")
+                region, slots, keys = page.region(), page.slots(tags.keys()), page.keys()
+                up = {e.role: e.up for e in page.tags}
+                inside: dict[tuple[int, int], bool] = {}
+
+                def encloses(cls: int, role: int, tags=tags, up=up, inside=inside) -> bool:
+                    """Does a tag of the class enclose the role? Answers are kept along the path."""
+                    path = []
+                    while role and (cls, role) not in inside and tags.get(role) != cls:
+                        path.append(role)
+                        role = up[role]
+                    answer = inside.get((cls, role), role != 0)
+                    inside.update(((cls, r), answer) for r in path)
+                    return answer
+
+                order: dict[int, list[int]] = defaultdict(list)
+                sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+                at = data = digest = 0
+                for (_, e, s, place), key in zip(page.texts, keys, strict=True):
+                    for tag in page.tags[at:place]:
+                        if tag.role in tags:
+                            order[tags[tag.role]].append(tag.role)
+                    at = place
+                    if not key:
+                        continue
+                    cls = fixed.get(key)
+                    if cls is not None:
+                        order[cls].append(key)
+                        if encloses(cls, e.role):
+                            sums[cls][0] += len(s)
+                            sums[cls][1] += len(s) * page.main(e, region)
+                            out.setdefault((host, "t", key, cls), [0] * 11)
+                            continue
+                        sums[cls][2] += len(s)
+                    if page.main(e, region):
+                        data += len(s)
+                        digest = digest + key & (1 << 62) - 1
+                    if e.region != "article":
+                        y = out.setdefault((host, "s", slots[e.role], 0), [0] * 11)
+                        y[9] += len(s)
+                        y[10] += len(s) * e.link
+                for tag in page.tags[at:]:
+                    if tag.role in tags:
+                        order[tags[tag.role]].append(tag.role)
+                for cls, seq in order.items():
+                    times = seq.count(seq[0])
+                    unit = seq[: len(seq) // times]
+                    same = _h(*unit) if unit * times == seq else -1
+                    y = out.setdefault((host, "c", 0, cls), [0, same, same, 0, 0, 0, 0, digest, digest, 0, 0])
                     y[0] += 1
-                    y[1] = y[1] + _h(page_id, url, x[0]) & (1 << 48) - 1
-                    y[2] += x[1]
-                    y[3] += x[2]
-                    y[4], y[5] = min(y[4], text), max(y[5], text)
-                    y[6] = min(y[6], x[4])  # 'article' before 'chrome' before 'content' before 'outside'
-            rows = [(h, r, *y) for (h, r), y in found.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                    y[1], y[2] = min(y[1], same), max(y[2], same)
+                    if cls in sums:
+                        for k, v in zip((3, 4, 5, 6), (*sums[cls], data), strict=True):
+                            y[k] += v
+                    y[7], y[8] = min(y[7], digest), max(y[8], digest)
+            yield _batch([(*k, *v) for k, v in out.items()], schema)
 
-    parts = pages.select(host_column().alias("host"), "page_id", "url", "html").mapInArrow(run, "host string, role string, n long, vector long, chars long, links long, low long, high long, kind string")
-    one = F.pmod(F.sum("vector"), F.lit(1 << 48)).alias("vector")
-    return parts.groupBy("host", "role").agg(F.sum("n").alias("n"), one, F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("kind").alias("kind"))
+    rows = _with_hosts(pages, found, "size(tokens)", "inner").select("html", "host", "tokens")
+    parts = rows.mapInArrow(run, ", ".join(f"{k} {'string' if k in ('host', 'kind') else 'long'}" for k, _ in schema))
+    least, most = ("low", "first"), ("high", "last")
+    folded = [(F.min if k in least else F.max if k in most else F.sum)(k).alias(k) for k in ("n", *names)]
+    return parts.groupBy("host", "kind", "key", "cls").agg(*folded)
+
+
+def _template_texts():
+    """Are a class's texts template? Not if the class is more text than its tags enclose (the pages are copies), nor if its texts outweigh
+    the changing content of its pages (a host of copies), unless they are short and every page has content of its own."""
+    short = (F.col("main") <= F.col("n") * COPY_CHARS) & (F.col("first") < F.col("last"))
+    return (F.col("loose") <= F.col("fixed")) & ((F.col("main") <= F.col("data")) | short)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the roles of valid classes, each with its class, the class it nests in, and its sort ('tag', 'content' or 'template')."""
-    stats = cut(occurrences(pages), "html-roles")
-    hosts = stats.filter("role = ''").select("host", F.col("n").alias("pages"))
-    roles = stats.filter("role <> ''")
-    classes = roles.groupBy("host", "n", "vector").agg(F.min("role").alias("cls"), F.count(F.lit(1)).alias("members"))
-    common = (F.col("n") >= F.col("pages") * SUPPORT) & (F.col("pages") >= LEAST_PAGES)
-    own = (F.col("n") >= LEAST_PAGES) & (F.col("members") >= LEAST_ROLES)  # a template that some of the host's pages have
-    classes = classes.join(hosts, "host").filter(common | own).drop("pages")
-    valid = roles.join(classes, ["host", "n", "vector"])
-    fixed = (F.col("low") == F.col("high")) & (F.col("n") >= CONSTANT_PAGES) & (F.col("kind") != "article")
-    linked = (F.col("links") > F.col("chars") * LINK_SHARE) & (F.col("kind") != "article")
-    sort = F.when(~F.col("role").endswith("#"), "tag").when(F.col("kind").isin("chrome", "outside") | fixed | linked, "template").otherwise("content")
-    # a class nests in the class of the nearest enclosing tag
-    enclosing = F.regexp_replace(F.col("role"), r"(/[^/]*|#)$", "")
-    up = valid.select("host", F.col("role").alias("enclosing"), F.col("cls").alias("nested_in"))
-    nodes = valid.select("host", "role", "cls", sort.alias("sort"), enclosing.alias("enclosing")).join(up, ["host", "enclosing"], "left")
-    # a slot counts only where the classes around it nest; a slot of an unknown tag is left to the page
-    nodes = nodes.filter("sort = 'tag' OR nested_in IS NOT NULL")
-    return cut(nodes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("role", "cls", "nested_in", "sort"))).alias("template")), "html-templates")
+    """host, known (roles of the template's tags), menus (slots that consist of links), fixed (the template's texts)."""
+    found = cut(classes(cut(occurrences(pages), "html-tokens")), "html-classes")
+    seen = cut(checks(pages, found), "html-checks")
+    ordered = seen.filter("kind = 'c' AND low = high AND low >= 0")
+    tokens = found.select("host", F.explode("tokens").alias("x")).select("host", "x.key", "x.cls", "x.tag")
+    known = tokens.filter("tag").join(ordered, ["host", "cls"], "left_semi").select("host", F.lit("known").alias("sort"), "key")
+    menus = seen.filter((F.col("kind") == "s") & (F.col("key") != 0) & (F.col("links") > F.col("chars") * LINK_SHARE)).select("host", F.lit("menus").alias("sort"), "key")
+    fixed = seen.filter("kind = 't'").select("host", "cls", "key").join(ordered.filter(_template_texts()), ["host", "cls"], "left_semi").select("host", F.lit("fixed").alias("sort"), "key")
+    rows = known.unionByName(menus).unionByName(fixed).groupBy("host")
+    return cut(rows.agg(*[F.array_sort(F.collect_list(F.when(F.col("sort") == k, F.col("key")))).alias(k) for k in ("known", "menus", "fixed")]), "html-templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, template_slots for every row of pages."""
+    """page_id, url, text, n_chars, template_slots, template_texts for every row of pages.
+
+    template_slots: tags of the host's template; template_texts: texts of the page that the template takes.
+    """
     small_batches(pages.sparkSession)
-    found = templates(pages).select("host", F.expr("transform(filter(template, x -> x.sort = 'content'), x -> x.role)").alias("slots"), F.expr("transform(filter(template, x -> x.sort = 'template'), x -> x.role)").alias("fixed"))
-    # one row per host: broadcast while the hosts are few, else AQE splits the join of a large host
-    right = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_column().alias("host")).join(right, "host", "left")
+    rows = _with_hosts(pages, templates(pages), "size(known) + size(menus) + size(fixed)", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[set, set]] = {}
+        held: dict[str, tuple[set, set, set]] = {}
         for t in batches:
-            texts, sizes = [], []
-            for source, host, slots, fixed in zip(*(t.column(k).to_pylist() for k in (2, 3)), t.column(4), t.column(5), strict=True):
+            done, sizes = [], []
+            for source, host, *parts in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), *(t.column(k) for k in (4, 5, 6)), strict=True):
                 if host not in held:
                     if len(held) > 1000:
                         held.clear()
-                    content = set(slots.as_py() or ())
-                    held[host] = (content, content | set(fixed.as_py() or ()))
-                texts.append(Page(source or "").extract(*held[host]))
+                    held[host] = tuple(set(p.as_py() or ()) for p in parts)
+                done.append(Page(source or "").extract(*held[host]))
                 sizes.append(len(held[host][0]))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars", "template_slots"])
+            texts = [x for x, _ in done]
+            columns = [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sizes, pa.int64()), pa.array([x for _, x in done], pa.int64())]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *columns], ["page_id", "url", "text", "n_chars", "template_slots", "template_texts"])
 
-    return rows.select("page_id", "url", "html", "host", "slots", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long, template_slots long")
+    schema = "page_id long, url string, text string, n_chars long, template_slots long, template_texts long"
+    return rows.select("page_id", "url", "html", "host", "known", "menus", "fixed").mapInArrow(run, schema)
