@@ -250,8 +250,9 @@ def test_language_kernel(spark):
 
 
 def test_language_kernel_is_presence():
-    x = langid.presence(["abc abc", "abc", "", "é É"])
-    assert x[0].sum() >= x[1].sum() > 0 and not x[2].any() and (langid.presence(["É"]) == langid.presence(["é"])).all()
+    x, letters = langid.presence(["abc abc", "abc", "", "é É", "12 !"])
+    assert x[0].sum() >= x[1].sum() > 0 and not x[2].any() and letters.tolist() == [6, 3, 0, 2, 0] and not x[4].any()
+    assert (langid.presence(["É"])[0] == langid.presence(["é"])[0]).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site">Top</header>
