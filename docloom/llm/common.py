@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
@@ -24,19 +24,31 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where the session names none, a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="docloom-shared-")
     return _own["dir"]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application has cut; results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,6 +89,18 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("__map", F.floor(bit / BITMAP)).join(F.broadcast(bits), "__map").filter(hit).select(rows.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of doc_id and text: tells rows apart that share an id, or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of ``keys`` (null is a value), the same at every run: the one whose columns hash lowest."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    first = F.min_by(whole, F.xxhash64(F.to_json(whole)))
+    return rows.groupBy(*keys).agg(first.alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,8 +13,10 @@ Lines are counted per distinct masked line before anything is grouped by leaf, s
 documents share is one row per task.
 
 Cases: null and empty texts have no lines and stay as they are; blank lines are kept; lines end at \n; a line
-that repeats inside one document only isn't recurring; equal rows count as documents of their own when their
-doc_ids differ; rows with a null doc_id are kept whole; other columns stay.
+that repeats inside one document only isn't recurring; a document is a doc_id with its text: rows with one doc_id
+and several texts are several documents, rows equal in both are one (and get equal results), equal texts under
+several doc_ids are several; rows with a null doc_id are kept whole; other columns stay. A text is rebuilt in time
+linear in its lines.
 """
 
 from __future__ import annotations
@@ -32,29 +34,30 @@ VARIABLE = "<*>"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, masked, h1, h2, leaf: every line that has a token, with tokens that hold a digit masked; the hash of the
+    """doc_id, v (hash of the text, which tells rows of one id apart), line_no, masked, h1, h2, leaf: every line that has a token, with tokens that hold a digit masked; the hash of the
     masked line (96 bits) and of its place in the tree."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     # one scan finds the few lines that need work
     odd = F.col("line").rlike(r"[\t\r\x0B\f0-9]|  ")
     single = F.trim(F.regexp_replace("line", r"[ \t\r\x0B\f]+", " "))
     masked = F.when(odd, F.regexp_replace(single, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(F.trim("line"))
-    lines = lines.select("doc_id", "line_no", masked.alias("masked")).filter("masked <> ''")
+    lines = lines.select("doc_id", "v", "line_no", masked.alias("masked")).filter("masked <> ''")
     size = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64(size, F.substring_index("masked", " ", DEPTH))
-    return lines.select("doc_id", "line_no", "masked", F.xxhash64("masked").alias("h1"), F.hash("masked").alias("h2"), leaf.alias("leaf"))
+    return lines.select("doc_id", "v", "line_no", "masked", F.xxhash64("masked").alias("h1"), F.hash("masked").alias("h2"), leaf.alias("leaf"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
     """h1, h2, n, template of the distinct lines in shared leaves (template: tokens with fields)."""
-    seen = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.min("leaf").alias("leaf"), F.min(F.struct("doc_id", "line_no")).alias("at"))
+    seen = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id", "v").alias("n"), F.min("leaf").alias("leaf"), F.min(F.struct("doc_id", "v", "line_no")).alias("at"))
     seen = cut(seen, "line-leaves")
     # leaves that lines of at least LEAST_DOCUMENTS documents reach (an upper bound: sums over distinct lines)
     shared = cut(seen.groupBy("leaf").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("lines")).filter(F.col("m") >= LEAST_DOCUMENTS), "line-shared")
     # one text for each distinct line, from the place where it comes first
-    firsts = maybe_in(seen, shared, "leaf").join(shared.select("leaf", "lines"), "leaf").select("at.doc_id", "at.line_no", "h1", "h2", "leaf", "n", "lines")
-    texts = maybe_in(lines.select("doc_id", "line_no", "masked", "leaf"), shared, "leaf").drop("leaf")
-    leaf_lines = cut(firsts.join(texts.dropDuplicates(["doc_id", "line_no"]), ["doc_id", "line_no"]).drop("doc_id", "line_no"), "line-texts")
+    firsts = maybe_in(seen, shared, "leaf").join(shared.select("leaf", "lines"), "leaf").select("at.doc_id", "at.v", "at.line_no", "h1", "h2", "leaf", "n", "lines")
+    place = ["doc_id", "v", "line_no"]
+    texts = maybe_in(lines.select(*place, "masked", "leaf"), shared, "leaf").drop("leaf")
+    leaf_lines = cut(firsts.join(texts.dropDuplicates(place), place).drop(*place), "line-texts")
     # a leaf of one line is its own template
     several = leaf_lines.filter("lines > 1")
     shape = cut(_shapes(several, F.col("lines") * CONSTANT), "line-shapes")  # so that the join stands alone and a huge leaf can be split
@@ -123,7 +126,7 @@ def recurring(lines: DataFrame) -> DataFrame:
     sure = many.filter(F.col("most") >= LEAST_DOCUMENTS).select("t")
     open_ = many.filter((F.col("most") < LEAST_DOCUMENTS) & (F.col("forms") > 1) & (F.col("all") >= LEAST_DOCUMENTS)).select("t")
     forms = fit.join(open_, "t").select("t", "h1", "h2")
-    counted = lines.select("h1", "h2", "doc_id").join(forms, ["h1", "h2"]).groupBy("t").agg(F.count_distinct("doc_id").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS).select("t")
+    counted = lines.select("h1", "h2", "doc_id", "v").join(forms, ["h1", "h2"]).groupBy("t").agg(F.count_distinct("doc_id", "v").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS).select("t")
     return cut(fit.join(sure.unionByName(counted), "t", "left_semi").select("h1", "h2", "template"), "line-recurring")
 
 
@@ -131,13 +134,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with ``text`` free of recurring lines, and the columns n_lines, n_dropped (named with a prefix if docs has them)."""
     lines = cut(template_lines(docs.filter("doc_id IS NOT NULL")), "line-all")
     gone = recurring(lines).select("h1", "h2")
-    drop = lines.select("doc_id", "line_no", "h1", "h2").join(gone, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
-    out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(drop.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+    drop = lines.select("doc_id", "v", "line_no", "h1", "h2").join(gone, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).agg(F.collect_set("line_no").alias("__drop"))
+    out = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__v", F.xxhash64("text")).join(drop, ["__id", "__v"], "left").drop("__id", "__v")
     text = F.coalesce("text", F.lit(""))
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__drop", i))
     name = lambda c: c if c not in docs.columns else f"dedup_{c}"
     out = out.withColumn(name("n_lines"), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).withColumn(name("n_dropped"), F.coalesce(F.size("__drop"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("__drop")
+    out = out.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split(text, "\n")))
+    # what stays lies between neighbouring dropped lines
+    out = out.withColumn("__drop", F.array_sort(F.concat(F.array(F.lit(-1)), "__drop", F.array(F.size("__lines")))))
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__drop") - 1), lambda j: F.slice("__lines", F.col("__drop")[j - 1] + 2, F.col("__drop")[j] - F.col("__drop")[j - 1] - 1)))
+    return out.withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("__drop", "__lines")
 
 
 ORACLE = r"""

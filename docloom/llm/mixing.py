@@ -10,8 +10,9 @@ shorter blocks and is drawn, with its like, in a schedule of slots of their own
 last block and rounding to whole slots stay small beside its own target in a table of any size.
 
 Cases: a null text has size 0 and is taken 0 times; null is a source of its own, sorted last; equal rows
-are rows of their own; a table without words has targets of 0; an empty table gives an empty result;
-other columns stay untouched in ``mixed_rows`` and are ignored by ``mix``.
+are rows of their own with plays of their own, as are rows that share an id or have none (these are shuffled by a
+hash of the row); a table without words has targets of 0; an empty table gives an empty result; other columns stay
+untouched in ``mixed_rows`` and are ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, cut
+from docloom.llm.common import WORD, cut, one_of_each
 
 #: Words of a block at full size, and the least number of slots below that.
 BLOCK = 512
@@ -32,8 +33,8 @@ LEAST_PARTS = 128
 #: A document is taken at most so often.
 MOST = 3
 WEIGHTS = (5, 2, 1)
-#: Ranges of the shuffled axis; each (source, range) is ordered on its own.
-RANGES = 256
+#: Ranges of the shuffled axis, at least; each (source, range) is ordered on its own and has about so many rows at most.
+RANGES, RANGE_ROWS = 256, 100_000
 #: Slots of one range of the schedule.
 SLOT_RANGE = 4096
 PHI = 0.6180339887498949
@@ -90,13 +91,22 @@ def _fine_plan(plan: DataFrame) -> DataFrame:
     return p.select("source_no", "lo", F.when(F.col("last"), 1.0).otherwise(F.col("hi")).alias("hi"), "all")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of the whole row."""
+    kinds = dict(docs.dtypes)
+    return F.xxhash64(*[F.to_json(f"`{c}`") if "map<" in kinds[c] else F.col(f"`{c}`") for c in docs.columns])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, plays (times that the block at its middle is played) for every row."""
+    """doc_id, size, source_size, target, taken, plays (times that the block at its middle is played), row (hash of the row) for every row."""
     spark = docs.sparkSession
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = cut(docs.select("doc_id", "source", words_of().alias("size"), key.alias("key")), "mix-sizes")
+    rows = docs.select("doc_id", "source", words_of().alias("size"), _row_hash(docs).alias("row"))
+    # a null id has no digest of its own: its row has
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))))
+    rows = cut(rows.withColumn("key", key), "mix-sizes")
     plan = targets(rows.select("source", "size"), weights, most)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(RANGES, count // RANGE_ROWS)
     length = max(1, min(block, total // LEAST_SLOTS))
     # a number for each source, so that null joins; and its interval of [0, 1)
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -107,14 +117,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     plan = plan.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(length), own)).cast("long"))
     plan = cut(plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("length")))), "mix-plan")
 
-    part = F.conv(F.substring("key", 1, 2), 16, 10).cast("int")
-    placed = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source").withColumn("part", F.pmod(part, F.lit(RANGES)))
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(float(1 << 32)))
+    placed = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source").withColumn("part", part)
     offsets = placed.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
     offsets = offsets.select("source_no", "part", F.coalesce(F.sum("words").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inner = W.partitionBy("source_no", "part").orderBy("key", "doc_id", "size")
+    inner = W.partitionBy("source_no", "part").orderBy("key", "doc_id", "size", "row")
     placed = placed.withColumn("ends", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0))).join(offsets, ["source_no", "part"])
     placed = placed.withColumn("begin", F.col("offset") + F.col("ends") - F.col("size")).withColumn("end", F.col("begin") + F.col("size"))
-    placed = placed.select("doc_id", "size", "source_size", "target", "source_no", "length", "begin", "end")
+    placed = placed.select("doc_id", "size", "row", "source_size", "target", "source_no", "length", "begin", "end")
 
     # slots play blocks in turn; a slot beyond ``most`` rounds is void
     slots = -(-total // length)
@@ -130,18 +140,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     inside = F.least("end", (F.col("block") + 1) * F.col("length")) - F.greatest("begin", F.col("block") * F.col("length"))
     middle = F.floor((F.col("begin") + F.col("end") - 1) / 2)
     holds = F.floor(middle / F.col("length")) == F.col("block")
-    taken = pieces.join(times, ["source_no", "block"], "left").groupBy("source_no", "begin", "doc_id", "size", "source_size", "target").agg(
+    taken = pieces.join(times, ["source_no", "block"], "left").groupBy("source_no", "begin", "doc_id", "size", "row", "source_size", "target").agg(
         F.sum(inside * F.coalesce("times", F.lit(0))).alias("taken"), F.max(F.when(holds, F.coalesce("times", F.lit(0)))).alias("plays")
     )
-    out = ["doc_id", "size", "source_size", "target", "taken", "plays"]
+    out = ["doc_id", "size", "source_size", "target", "taken", "plays", "row"]
     none = placed.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "plays": F.lit(0).cast("long")})
     return taken.select(out).unionByName(none.select(out))
 
 
+def plays(docs: DataFrame) -> DataFrame:
+    """docs with the column plays; rows that are equal in all columns become one, with the plays of all."""
+    found = mix(docs).groupBy(F.col("row").alias("__row")).agg(F.sum("plays").alias("__plays"), F.count(F.lit(1)).alias("__rows"))
+    found = cut(found.filter("__plays > 0"), "mix-plays")
+    rows = docs.withColumn("__hash", _row_hash(docs))
+    once, equal = found.filter("__rows = 1"), found.filter("__rows > 1")
+    out = rows.join(once, F.col("__hash") == F.col("__row")).select(*docs.columns, F.col("__plays").alias("plays"))
+    if equal.isEmpty():
+        return out
+    several = rows.join(equal, F.col("__hash") == F.col("__row"))
+    return out.unionByName(one_of_each(several, ["__hash"], [*docs.columns, "__plays"]).withColumnRenamed("__plays", "plays"))
+
+
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix as rows: each document as often as the block at its middle word is played, with the columns of docs."""
-    plays = mix(docs).filter("plays > 0").groupBy("doc_id").agg(F.max("plays").alias("__plays"))
-    return docs.join(plays, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__plays").cast("int")))).select(docs.columns)
+    return plays(docs.withColumnRenamed("plays", "__own")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("plays").cast("int")))).drop("plays").withColumnRenamed("__own", "plays").select(docs.columns)
 
 
 ORACLE = r"""

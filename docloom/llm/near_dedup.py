@@ -16,8 +16,11 @@ sets, in blocks of bounded size; a link is emitted only where it joins two compo
 therefore lies inside a component.
 
 Cases: texts without words have empty sets, n_shingles 0, and are linked with nothing; fewer than five words
-are one shingle; equal rows and repeated doc_ids share a component; rows with a null doc_id are singletons
-with null component_id; other columns are ignored.
+are one shingle. Rows, not ids, are linked: a class of equal sets has a number of its own, so rows that share a
+doc_id but not their text belong to the components of their texts, and component_id is the smallest doc_id among
+a component's rows. Null ids never lend it their name while another row does; a component of null ids only has a
+null component_id. Equal rows share a component; other columns are ignored. ``drop_near_copies`` leaves exactly
+one row of each component, also where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, maybe_in, mix, slices, small_batches, stream, utf8, words
+from docloom.llm.common import cut, maybe_in, mix, one_of_each, row_key, slices, small_batches, stream, utf8, words
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -127,12 +130,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprints of the set), regs, keys for every row."""
+    """k (row key), doc_id, n, f1, f2 (fingerprints of the set), regs, keys for every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
+            data, off = utf8(batch.column(2))
             for lo, hi in slices(off, 1 << 20):
                 sets = shingle_sets(data, off[lo : hi + 1])
                 regs = registers(sets)
@@ -141,18 +144,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 f2 = [int(np.bitwise_xor.reduce(mix(s * _W[0])).view(np.int64)) if len(s) else 0 for s in sets]
                 keys = band_keys(regs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                      pa.array([r.tobytes() if k else None for r, k in zip(regs, n, strict=True)], pa.binary()),
                      pa.array([r if k else None for r, k in zip(keys, n, strict=True)], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "f1", "f2", "regs", "keys"],
+                    ["k", "doc_id", "n", "f1", "f2", "regs", "keys"],
                 )
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, regs binary, keys array<long>")
+    rows = docs.select(row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "k long, doc_id long, n long, f1 long, f2 long, regs binary, keys array<long>")
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs (a, b) whose register estimate does not rule them out."""
-    one = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    one = lambda x: sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "na", "nb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +170,19 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the given ids; of rows that repeat an id any one (their sets are of one class, or differ and count by it)."""
-    texts = maybe_in(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), ids, "doc_id")
+def _texts(docs: DataFrame, sketch: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the given nodes: the text of the row that stands for the class."""
+    wanted = sketch.join(nodes.distinct(), "node").select("node", "k", F.col("doc_id").alias("own"))
+    texts = maybe_in(docs.select(row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "k")
     # an inner join: the optimizer would move a semi join below the filter
-    return texts.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(wanted, "k").filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs (a, b) that hold on the full sets of their texts."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(_texts(docs, ids), "near-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    texts = cut(_texts(docs, sketch, nodes), "near-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -211,7 +216,7 @@ def _near_size(a: str, b: str):
 
 
 def _spanning(open_rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of the pairs in each bucket whose estimate leaves a link possible. Rows: key, m, low, doc_id, n, regs."""
+    """Spanning edges (a, b) of the pairs in each bucket whose estimate leaves a link possible. Rows: key, m, low, node, n, regs."""
 
     def scan(ids: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[list[int], list[int]]:
         root = list(range(len(ids)))
@@ -253,22 +258,22 @@ def _spanning(open_rows: DataFrame) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    scanned = open_rows.filter(F.col("m") <= SCAN).repartition("key").sortWithinPartitions("key", "doc_id")
-    whole = open_rows.filter((F.col("m") > SCAN) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    return scanned.select("key", "doc_id", "n", "regs").mapInArrow(run, "a long, b long").union(whole).distinct()
+    scanned = open_rows.filter(F.col("m") <= SCAN).repartition("key").sortWithinPartitions("key", "node")
+    whole = open_rows.filter((F.col("m") > SCAN) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return scanned.select("key", "node", "n", "regs").mapInArrow(run, "a long, b long").union(whole).distinct()
 
 
-def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join components inside families. Rows of family: doc_id, n, component, family."""
+def _family_links(family: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Links (a, b) that join components inside families. Rows of family: node, n, component, family."""
     sizes = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
     top = sizes.groupBy("family").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     rows = family.join(top.select("family", F.col("top.component").alias("largest")), "family").withColumn("probe", F.col("component") != F.col("largest"))
     blocks = rows.groupBy("family").agg(
         *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("probe") == k, F.col("n"))) / BLOCK)).cast("int").alias(c) for k, c in ((True, "np"), (False, "nm"))]
     )
-    rows = cut(rows.join(blocks, "family").select("doc_id", "component", "family", "probe", "np", "nm"), "near-family")
+    rows = cut(rows.join(blocks, "family").select("node", "component", "family", "probe", "np", "nm"), "near-family")
     # groups (i, j): probe blocks i <= j, and probe block i with main block j (written as -1 - j)
-    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nm"))).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nm"))).cast("int")
     rows = rows.withColumn("mine", mine)
     probes = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))),
@@ -276,7 +281,7 @@ def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
     )
     mains = F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda x: F.struct(x.alias("i"), (-1 - F.col("mine")).alias("j")))
     rows = rows.withColumn("g", F.explode(F.when(F.col("probe"), probes).otherwise(mains)))
-    rows = rows.join(_texts(docs, rows.select("doc_id").distinct()), "doc_id").select("family", "g.i", "g.j", "doc_id", "component", "probe", "text")
+    rows = rows.join(_texts(docs, sketch, rows.select("node")), "node").select("family", "g.i", "g.j", "node", "component", "probe", "text")
 
     def links(ids: list[int], components: list[int], probe: list[bool], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         root = {c: c for c in components}
@@ -331,46 +336,69 @@ def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n, rep) and labels (id, component) of the linked class representatives."""
+def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (k, doc_id, n, node), classes (node, least: smallest doc_id) and labels (id, component) of the linked nodes."""
     sketch = cut(sketches(docs), "near-sketch")
-    # equal sets are one class, under the smallest id
-    classes = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes, "near-class-reps")  # so that the join below stands alone and a huge class can be split
-    member = cut(sketch.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep"), "near-member")
-    reps = member.filter("doc_id = rep").select("doc_id").distinct()
-    sketch = cut(sketch.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "keys"), "near-classes")
-    rows = sketch.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    bands = cut(rows.join(shared.select("key", "m", F.col("low.doc_id").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
-
-    stars = bands.filter((F.col("doc_id") != F.col("low")) & _near_size("n", "low_n")).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    links = cut(_verified(cut(_likely(stars, sketch), "near-likely"), docs), "near-links")
+    # equal sets are one class, a node of the link graph; the row with the smallest id stands for it
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+    classes = sketch.filter("n > 0").groupBy("n", "f1", "f2").agg(one.alias("one"))
+    # written, so that numbers stay and the joins below stand alone: a huge class can be split
+    classes = cut(classes.select("n", "f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("one.doc_id").alias("least"), F.col("one.k").alias("rep")), "near-class-reps")
+    member = cut(sketch.select("k", "doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left").select("k", "doc_id", "n", "node"), "near-member")
+    reps = classes.select("node", F.col("rep").alias("k"), "least")
+    sketch = sketch.join(reps, "k").filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    sketch = cut(sketch.select("node", "k", "doc_id", "n", "regs", "keys"), "near-classes")
+    classes = classes.select("node", "least")
+    rows = sketch.select("node", "n", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-shared")
+    bands = cut(rows.join(shared.select("key", "m", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
+
+    stars = bands.filter((F.col("node") != F.col("low")) & _near_size("n", "low_n")).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    links = cut(_verified(cut(_likely(stars, sketch), "near-likely"), docs, sketch), "near-links")
     label = components(links)
 
-    component = F.coalesce("component", "doc_id")
-    open_ = bands.select("key", "m", "low", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", component)
+    component = F.coalesce("component", "node")
+    open_ = bands.select("key", "m", "low", "node").join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", component)
     mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     # in an open bucket of two classes the star has been the only pair
-    open_ = cut(open_.filter("m > 2").join(mixed, "key").select("key", "m", "low", "doc_id"), "near-open")
-    edges = cut(_spanning(open_.join(sketch.select("doc_id", "n", "regs"), "doc_id")), "near-spanning")
+    mixed = cut(mixed, "near-mixed")
+    open_ = cut(bands.select("key", "m", "low", "node").filter("m > 2").join(mixed, "key"), "near-open")
+    edges = cut(_spanning(open_.join(sketch.select("node", "n", "regs"), "node")), "near-spanning")
     if edges.isEmpty():
-        return member, label
-    family = components(edges).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
-    family = family.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", component).join(sketch.select("doc_id", "n"), "doc_id")
-    found = cut(_family_links(family, docs), "near-links")
-    return member, label if found.isEmpty() else components(links.unionByName(found))
+        return member, classes, label
+    family = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
+    family = family.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", component).join(sketch.select("node", "n"), "node")
+    found = cut(_family_links(family, docs, sketch), "near-links")
+    return member, classes, label if found.isEmpty() else components(links.unionByName(found))
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """k, doc_id, n, root (number of the component), component_id, kept for every row."""
+    member, classes, label = links_and_components(docs)
+    roots = cut(classes.join(label.withColumnRenamed("id", "node"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "near-roots")
+    names = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")), "near-names")
+    named = cut(roots.join(names, "root").select("node", "root", "component_id"), "near-named")
+    out = member.join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("k", "doc_id", "n", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    member, label = links_and_components(docs)
-    out = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return verdicts(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each component; rows with null ids stay."""
-    gone = near_dedup(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component: the one with the smallest doc_id; rows without words stay."""
+    found = cut(verdicts(docs), "near-verdicts")
+    rows = docs.withColumn("__k", row_key(docs))
+    same = lambda t: (rows["__k"] == t["__gk"]) & rows["doc_id"].cast("long").eqNullSafe(t["__gid"])
+    ids = lambda t: t.select(F.col("k").alias("__gk"), F.col("doc_id").alias("__gid"), F.col("root").alias("__root")).distinct()
+    gone = ids(found.filter("NOT kept"))
+    # rows that share the name of their component: equal rows, or several near copies under one id
+    kept = found.filter("kept AND root IS NOT NULL")
+    twins = cut(ids(kept.join(kept.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root"), "root")), "near-twins")
+    if twins.isEmpty():
+        return rows.join(gone, same(gone), "left_anti").select(docs.columns)
+    others = gone.unionByName(twins)
+    single = rows.join(others, same(others), "left_anti")
+    return single.select(docs.columns).unionByName(one_of_each(rows.join(twins, same(twins)), ["__root"], docs.columns))
