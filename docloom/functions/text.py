@@ -5,6 +5,8 @@ Unicode white space is meant wherever the semantics say white space: ``(?U)\\s``
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,10 +47,35 @@ def keywords(c) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: ~t.isin(*STOP_WORDS)))
 
 
+def _folds() -> tuple[str, str]:
+    """For translate(): letters with marks to their base letters, and the marks that are dropped, by the rule of canonical decomposition."""
+    letters, bases, marks = [], [], []
+    for c in map(chr, (*range(0xC0, 0xAC00), *range(0xF900, 0xFB50))):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif c.isalpha() and len(parts := unicodedata.normalize("NFD", c)) > 1 and parts[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            letters.append(c)
+            bases.append(parts[0])
+    return "".join(letters + marks), "".join(bases)
+
+
+FOLDS = _folds()
+
+
+def fold(c) -> Column:
+    """Lower case, diacritics off."""
+    low = F.lower(text(c))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *FOLDS)).otherwise(low)
+
+
 def fts_tokens(c) -> Column:
     """Full-text tokens: lower case, diacritics off, runs of letters and digits."""
-    folded = F.translate(F.lower(text(c)), "äçèéêíñóöüàâîïôùûáúëœ", "aceeeinoouaaiiouuaueo")
-    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def fts_length(c) -> Column:
+    """Number of full-text tokens, without making them."""
+    return F.regexp_count(text(c), F.lit(r"(?:[\p{L}\p{N}]\p{Mn}*+)+"))
 
 
 def chunk_tokens(c) -> Column:

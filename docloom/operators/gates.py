@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.rules import weak_hint
 from docloom.settings import DEFAULTS, Settings
 
 # fixed values: hint lists of questions and texts
@@ -98,14 +99,6 @@ def rerank_grounded(results: DataFrame) -> DataFrame:
     return rerank(rows.withColumn("__old", F.col("rank")), F.desc("grounded"), F.desc("score"), F.col("__old")).drop("__old")
 
 
-def weak_hint(text) -> Column:
-    """Is the text only a placeholder for a page that OCR would have to read?"""
-    v = F.trim(T.text(text))
-    solid = ~T.any_in(v, ("표행:", "표행요약:", "표헤더:", "표값:", "표의미:"))
-    lines = F.filter(F.transform(F.split(v, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return v.contains("OCR후보:") & solid & (F.forall(lines, lambda x: x.startswith("OCR후보:")) | (F.length(v) <= 240))
-
-
 def parent_limit(results: DataFrame, limit: int = 1, top_k: int = DEFAULTS.top_k) -> DataFrame:
     """At most ``limit`` rows of a non-empty parent, in rank order, until top_k."""
     n = F.row_number().over(W.partitionBy("query_id", "parent_key").orderBy("rank"))

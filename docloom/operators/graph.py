@@ -25,25 +25,27 @@ def concept_terms(chunks: DataFrame, most: int = DEFAULTS.concept_terms) -> Data
     occurrence) until max(2, most / 2); then two-word phrases (1.25, early +0.25, +0.10) before words.
     """
     words = chunks.select("id", F.filter(T.tokens("text"), lambda t: ~t.isin(*CONCEPT_STOP)).alias("w")).filter(F.size("w") > 0)
-    at = words.select("id", "w", F.posexplode("w").alias("i", "t"))
-    score = 1.0 + F.when(F.col("i") < 8, 0.35).otherwise(0.0) + F.when(F.length("t") >= 4, 0.15).otherwise(0.0)
-    single = at.groupBy("id", "t").agg(F.round(F.sum(score), 4).alias("s"), F.min("i").alias("first"))
-    pairs = at.filter(F.col("i") + 1 < F.size("w")).select("id", "i", F.concat_ws(" ", "t", F.element_at("w", F.col("i") + 2)).alias("t"))
-    pair_score = 1.25 + F.when(F.col("i") < 6, 0.25).otherwise(0.0) + 0.10
-    double = pairs.filter(F.length("t") >= 4).groupBy("id", "t").agg(F.round(F.sum(pair_score), 4).alias("s"))
-    order = [F.desc("s"), F.length("t").desc(), F.desc("t")]
-    lead = F.col("first") < 3
-    n = F.row_number().over(W.partitionBy("id", "lead").orderBy(*order))
-    single = single.withColumn("lead", lead).withColumn("n", n).withColumn("leads", F.sum(lead.cast("int")).over(W.partitionBy("id")))
+    # dealt by id once, so that nothing below is shuffled again
+    at = words.repartition("id").select("id", "w", F.posexplode("w").alias("i", "t"))
+    early = lambda n, more: F.when(F.col("i") < n, more).otherwise(0.0)
+    single = at.select("id", "i", "t", F.lit(1).alias("k"), (1.0 + early(8, 0.35) + F.when(F.length("t") >= 4, 0.15).otherwise(0.0)).alias("s"))
+    second = F.element_at("w", F.col("i") + 2)
+    double = at.filter(F.col("i") + 1 < F.size("w")).select("id", "i", F.concat_ws(" ", "t", second).alias("t"), F.lit(2).alias("k"), (1.25 + early(6, 0.25) + 0.10).alias("s")).filter(F.length("t") >= 4)
+    scored = single.unionByName(double).groupBy("id", "k", "t").agg(F.round(F.sum("s"), 4).alias("s"), F.min("i").alias("first"))
+    lead = (F.col("k") == 1) & (F.col("first") < 3)
+    item = F.struct("s", F.length("t").alias("n"), "t")  # best first when sorted backwards
+    lists = scored.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(lead, F.struct("first", "t")))).alias("leads"),
+        F.sort_array(F.collect_list(F.when((F.col("k") == 1) & ~lead, item)), False).alias("ones"), F.sort_array(F.collect_list(F.when(F.col("k") == 2, item)), False).alias("twos"),
+    )
     preferred = max(1, min(most, max(2, most // 2)))
     # words below the preferred number come after the leading ones; one more is always taken, as the limit is checked after the append
-    room = F.greatest(F.lit(1), preferred - F.col("leads"))
-    bucket = F.when(F.col("lead"), 0).when(F.col("n") <= room, 1).otherwise(3)
-    rows = single.select("id", "t", bucket.alias("b"), F.when(F.col("lead"), F.col("first")).otherwise(F.col("n")).alias("o"))
-    two = double.select("id", "t", F.lit(2).alias("b"), F.row_number().over(W.partitionBy("id").orderBy(*order)).alias("o"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("b", "o"))
-    out = rows.unionByName(two).withColumn("n", rank).filter(F.col("n") <= most)
-    return out.select("id", "n", F.col("t").alias("term"), F.greatest(F.lit(0.15), 1 - 0.12 * (F.col("n") - 1)).alias("weight"))
+    room = F.greatest(F.lit(1), preferred - F.size("leads"))
+    names = lambda c: F.transform(c, lambda x: x["t"])
+    rest = F.slice(F.col("ones"), room + 1, most)
+    every = F.slice(F.concat(names("leads"), names(F.slice("ones", F.lit(1), room)), names(F.slice("twos", 1, most)), names(rest)), 1, most)
+    out = lists.select("id", F.posexplode(every).alias("at", "term"))
+    return out.select("id", (F.col("at") + 1).alias("n"), "term", F.greatest(F.lit(0.15), 1 - 0.12 * F.col("at")).alias("weight"))
 
 
 def concept_edges(terms: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Texts are matched through postings, never by joining questions with texts: full-text and overlap tokens are
 equi-joined; a term occurs inside a text exactly where it occurs inside one of its tokens, so substring
-matches are found in the vocabulary (by a shared n-gram) and taken to the rows through the postings.
+matches are found in the vocabulary (by a shared n-gram) and taken to the rows through the postings. Only the
+postings of the questions' terms are kept; candidates, whose number per question is bounded, are written once, and
+all that looks at texts reads the rows of candidates only.
 """
 
 from __future__ import annotations
@@ -12,7 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import rules
+from docloom.operators.ingest import name_aliases
 from docloom.settings import DEFAULTS, Settings
+from docloom.tables import cut
+
+#: Terms of a batch of questions that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def with_keywords(questions: DataFrame) -> DataFrame:
@@ -25,23 +33,37 @@ def overlap_postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", F.explode(F.array_distinct(F.transform(T.extract_all("text", T.TOKEN), lambda t: F.lower(t)))).alias("token"))
 
 
-def fts_postings(chunks: DataFrame) -> DataFrame:
-    """id, term, tf, dl of each row."""
-    words = chunks.select("id", T.fts_tokens("text").alias("ts"))
-    return words.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def _small(terms: DataFrame) -> DataFrame:
+    """Distinct terms, broadcast while they are few."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def fts_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf of each row; of ``terms`` (distinct, column term) only if given."""
+    words = chunks.select("id", F.explode(T.fts_tokens("text")).alias("term"))
+    if terms is not None:
+        words = words.join(_small(terms), "term")
+    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    """rows, avg_dl: number and mean length of the rows that have a token (one row)."""
-    return chunks.select(F.size(T.fts_tokens("text")).alias("dl")).filter("dl > 0").agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
+    """id, dl: full-text tokens of the rows that have any."""
+    return chunks.select("id", T.fts_length("text").alias("dl")).filter("dl > 0")
+
+
+def fts_candidates(questions: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.fts_terms) -> DataFrame:
+    """query_id, id, rank by BM25 over the postings of the questions' terms; questions have their keywords."""
+    wanted = cut(questions.select(F.explode(F.slice("kw", 1, terms)).alias("term")).distinct(), "fts-terms")
+    return bm25(questions, cut(fts_postings(chunks, wanted), "fts-postings"), cut(lengths(chunks), "fts-lengths"), limit, terms=terms)
 
 
-def bm25(questions: DataFrame, postings: DataFrame, size: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
+def bm25(questions: DataFrame, postings: DataFrame, sizes: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
     """query_id, id, rank: the best ``limit`` rows by BM25 of up to ``terms`` keywords each (idf floored at 1e-6)."""
     q = questions.select("query_id", F.explode(F.slice("kw", 1, terms)).alias("term"))
     wanted = postings.join(q.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = wanted.join(df, "term").join(F.broadcast(size))  # one row
+    size = sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
+    hits = wanted.join(df, "term").join(sizes, "id").join(F.broadcast(size))  # one row
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
@@ -54,10 +76,14 @@ def substring_hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """term, id: rows in whose lower-case text the term (of token characters) occurs. terms: distinct ``term`` rows of two characters or more."""
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - n + 1, F.lit(1))), lambda i: F.substring(F.col("token"), i, F.lit(n)))
     vocabulary = postings.select("token").distinct().filter(F.length("token") >= 2)
-    grams = vocabulary.select("token", F.explode(F.array_distinct(F.concat(gram(2), gram(3)))).alias("gram"))
-    keyed = terms.select("term", F.substring("term", 1, 3).alias("gram")).distinct()
-    found = grams.join(keyed, "gram").filter(F.instr(F.col("token"), F.col("term")) > 0).select("term", "token").distinct()
-    return postings.join(found, "token").select("term", "id").distinct()
+    keyed = cut(terms.select("term", F.substring("term", 1, 3).alias("gram")).distinct().withColumn("no", F.monotonically_increasing_id()), "sub-terms")
+    # grams of the vocabulary that no term begins with go before anything is joined with a term
+    grams = vocabulary.select("token", F.explode(F.array_distinct(F.concat(gram(2), gram(3)))).alias("gram")).join(_small(keyed.select("gram").distinct()), "gram")
+    found = grams.join(_small(keyed), "gram").filter(F.instr(F.col("token"), F.col("term")) > 0)
+    found = cut(found.groupBy("token").agg(F.collect_set("no").alias("nos")), "sub-found")
+    # a row's terms are gathered by number before they move
+    rows = postings.join(_small(found), "token").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
+    return rows.select("id", F.explode("nos").alias("no")).join(_small(keyed.select("no", "term")), "no").select("term", "id")
 
 
 def substring_candidates(questions: DataFrame, hits: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.substring_terms) -> DataFrame:
@@ -68,15 +94,28 @@ def substring_candidates(questions: DataFrame, hits: DataFrame, chunks: DataFram
     return rows.withColumn("rank", rank).filter(F.col("rank") <= max(8, limit)).select("query_id", "id")
 
 
+def near_candidates(questions: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.substring_terms) -> DataFrame:
+    """query_id, id: the newest rows in which one of the questions' first keywords occurs."""
+    hits = substring_hits(questions.select(F.explode(F.slice("kw", 1, terms)).alias("term")).distinct(), overlap_postings(chunks))
+    return substring_candidates(questions, hits, chunks, limit, terms)
+
+
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Few bytes with much work a row: a number of tasks that isn't cut down by their size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def lexical_score(kw: Column, tokens: Column, low: Column, bonus: float = DEFAULTS.substring_bonus) -> Column:
     """Share of keywords among the row's tokens, plus the bonus for keywords of three characters or more inside its lower-case text.
 
     For candidate pairs only: their number is bounded per question, while pairs that share some frequent word are not.
     """
     overlap = F.size(F.array_intersect(kw, tokens)) / F.size(kw)
-    inside = F.size(F.filter(kw, lambda k: (F.length(k) >= 3) & (F.instr(low, k) > 0)))
+    inside = F.size(F.filter(kw, lambda k: (F.length(k) >= 3) & (low.contains(k))))
     extra = F.least(F.lit(bonus), bonus * inside / F.size(kw))
-    return F.when((F.size(kw) == 0) | (F.size(tokens) == 0), 0.0).when(inside > 0, F.least(F.lit(1.0), overlap + extra)).otherwise(overlap)
+    # without a hit inside the bonus is 0
+    return F.when((F.size(kw) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.least(F.lit(1.0), overlap + extra))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,14 +123,63 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dense_pairs(query_vectors: DataFrame, vectors: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, id, semantic: dot products of the given pairs whose dimensions agree."""
+    q = query_vectors.select("query_id", F.col("v").alias("qv"), F.col("dim").alias("qdim"))
+    pairs = found.select("query_id", "id").distinct().join(vectors, "id").join(q, "query_id").filter("dim = qdim")
+    return pairs.select("query_id", "id", dot(F.col("v"), F.col("qv")).alias("semantic"))
+
+
 def dense(query_vectors: DataFrame, vectors: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
     """query_id, id, semantic: the best ``limit`` of the candidates by dot product; dimensions must agree."""
-    pairs = candidates.select("query_id", "id").distinct().join(vectors, "id").join(query_vectors.select("query_id", F.col("v").alias("qv"), F.col("dim").alias("qdim")), "query_id").filter("dim = qdim")
-    scored = pairs.select("query_id", "id", dot(F.col("v"), F.col("qv")).alias("semantic"))
+    scored = dense_pairs(query_vectors, vectors, candidates)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("semantic", 9).desc(), F.col("id")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
 
 
+def dense_blocks(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 4096) -> DataFrame:
+    """query_id, id, semantic: the best ``limit`` of all vectors for every query, exact.
+
+    Queries (query_id, v, dim) go in blocks of at most ``block`` vectors, which are sent to the executors; each Arrow batch of vectors is
+    multiplied with the block and keeps its best rows per query, so that what is shuffled grows with batches times ``limit``, not with pairs.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    numbered = cut(queries.select("query_id", "v", "dim"), "dense-queries")
+    blocks = -(-numbered.count() // block)
+    out = None
+    for no in range(blocks):
+        held = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == no).collect()  # about one block
+        by_dim = {d: ([r.query_id for r in held if r.dim == d], np.array([r.v for r in held if r.dim == d], float)) for d in {r.dim for r in held}}
+        given = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                ids, dims = t.column(0).to_numpy(zero_copy_only=False), t.column(2).to_numpy(zero_copy_only=False)
+                for d, (names, q) in given.value.items():
+                    at = np.flatnonzero(dims == d)
+                    if not len(at):
+                        continue
+                    v = np.array(t.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), d)
+                    scores = v @ q.T
+                    k = min(limit, len(at))
+                    # ties at the limit are kept here and cut by the window below
+                    floor = np.partition(scores, len(at) - k, axis=0)[len(at) - k]
+                    row, col = np.nonzero(scores >= floor[None, :] - 1e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in col.tolist()], pa.int64()), pa.array(ids[at][row], pa.int64()), pa.array(scores[row, col])], ["query_id", "id", "semantic"])
+
+        part = vectors.select(F.col("id").cast("long").alias("id"), "v", F.col("dim").cast("int").alias("dim")).mapInArrow(run, "query_id long, id long, semantic double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, semantic double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("semantic", 9).desc(), F.col("id")))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
+
+
 def recency(uploaded_at: Column, now_ts: int, half_life_days: float) -> Column:
     """Half-life decay of the age; 0 without a time."""
     days = F.greatest(F.lit(now_ts) - uploaded_at, F.lit(0)) / 86400.0
@@ -113,8 +201,12 @@ def literals(c) -> Column:
 def literal_score(text: Column, lits: Column) -> Column:
     """Share of the anchors found; digits must stand alone."""
     low = F.lower(T.text(text))
-    digits = F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0))
-    hit = F.filter(lits, lambda x: F.when(x.rlike("^[0-9]+$"), F.array_contains(digits, x)).otherwise(F.instr(low, x) > 0))
+    return literal_share(low, F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)), lits)
+
+
+def literal_share(low: Column, digits: Column, lits: Column) -> Column:
+    """The same from the lower-case text and its digit runs."""
+    hit = F.filter(lits, lambda x: F.when(x.rlike("^[0-9]+$"), F.array_contains(digits, x)).otherwise(low.contains(x)))
     return F.when(F.size(lits) > 0, F.size(hit) / F.size(lits)).otherwise(0.0)
 
 
@@ -124,46 +216,128 @@ CODE_HINTS = ("code", "class", "category", "number", "id")
 
 def code_match(query: Column, text: Column) -> Column:
     """2: a code of the question stands in the text; 1: the question names none and the text has one; else 0."""
-    asks = T.any_in(T.compact(query), CODE_HINTS)
-    mine, theirs = codes(query), codes(text)
+    return code_level(T.any_in(T.compact(query), CODE_HINTS), codes(query), codes(text))
+
+
+def code_level(asks: Column, mine: Column, theirs: Column) -> Column:
+    """The same from the codes of both."""
     return F.when(asks & (F.size(mine) > 0) & F.arrays_overlap(mine, theirs), 2).when(asks & (F.size(mine) == 0) & (F.size(theirs) > 0), 1).otherwise(0)
 
 
-def search(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None, s: Settings = DEFAULTS, top_k: int | None = None) -> DataFrame:
+# fixed values: table markers and header words of numeric questions
+ROW_SUMMARY, ROW_MEANING = "표행요약:", "표의미: kind=table_row"
+HEADER_WORDS = ("rate", "amount", "cost", "period", "date", "cycle", "count", "base", "month", "quarter", "year", "interval")
+PAGED = ("pdf", "hwpx", "xlsx")
+
+
+def alias_boost(query, text, key: Column | None = None) -> Column:
+    """0.06 if the question or one of its words stands in a table text, separators aside; 0.04 if they share an alias. key: the text's, if at hand."""
+    mine, body = T.alias_key(query), T.alias_key(text) if key is None else key
+    words = F.filter(F.transform(T.extract_all(query, "[0-9A-Za-z가-힣]{3,}"), lambda x: T.alias_key(x)), lambda x: F.length(x) >= 3)
+    keys = lambda c: F.filter(F.transform(name_aliases(T.text(c)), lambda x: T.alias_key(x)), lambda x: x != "")
+    inside = (F.instr(body, mine) > 0) | F.exists(words, lambda w: F.instr(body, w) > 0)
+    return F.when(F.length(mine) < 2, 0.0).when(inside, 0.06).when(F.arrays_overlap(keys(query), keys(text)), 0.04).otherwise(0.0)
+
+
+def _headers(c) -> Column:
+    """The header words that stand in a question or a text."""
+    return F.filter(F.array(*map(F.lit, HEADER_WORDS)), lambda w: F.instr(T.text(c), w) > 0)
+
+
+def tabular_features(text, source_type: Column, page_parser: Column, table_like: Column) -> Column:
+    """What the table boost needs of a text: marked, summary, aliased (it has a mark that aliases look for), page, headers."""
+    v = T.text(text)
+    paged = source_type.isin(*PAGED)
+    summary = v.contains(ROW_SUMMARY) | v.contains(ROW_MEANING) | paged & v.contains("|") & (F.length(v) >= 40)
+    aliased = T.any_in(v, ("표행요약:", "표값:", "표의미:"))
+    return F.struct(T.any_in(v, rules.TABLE_MARKS).alias("marked"), summary.alias("summary"), aliased.alias("aliased"), (paged & (summary | page_parser.startswith("paddleocr") | table_like)).alias("page"), _headers(v).alias("headers"))
+
+
+def tabular_score(numeric: Column, headers: Column, t: Column, query, text) -> Column:
+    """Boost from the question's part (does it ask for figures? its header words) and the text's."""
+    shared = F.size(F.array_intersect(headers, t["headers"]))
+    header = F.when(shared > 0, F.least(F.lit(0.12), 0.03 * shared)).when(t["summary"] & t["marked"], 0.06).otherwise(0.0)
+    more = F.when(t["marked"], 0.08).otherwise(0.0) + F.when(t["summary"], 0.06).otherwise(0.0) + header + F.when(t["aliased"], alias_boost(query, text)).otherwise(0.0) + F.when(t["page"], 0.03).otherwise(0.0)
+    return F.when(t["marked"] & t["summary"], 0.08).otherwise(0.0) + F.when(numeric, more).otherwise(0.0)
+
+
+def tabular_boost(query, text, source_type: Column, page_parser: Column, table_like: Column) -> Column:
+    """Boost of table texts, above all for questions that ask for figures."""
+    return tabular_score(rules.numeric_question(query), _headers(query), tabular_features(text, source_type, page_parser, table_like), query, text)
+
+
+def weak_penalty(weak: Column, signal: Column) -> Column:
+    """A placeholder text counts less if nothing else speaks for it."""
+    return F.when(weak & (signal <= 0.001), 0.08).when(weak & (signal <= 0.03), 0.04).otherwise(0.0)
+
+
+def candidates(questions: DataFrame, chunks: DataFrame, budget: int, concept: DataFrame | None = None, ontology: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """query_id, id and the scores fts, concept, ontology of the rows that any generator finds. questions have their keywords."""
+    zero = F.lit(0.0)
+    parts = [
+        fts_candidates(questions, chunks, budget, s.fts_terms).select("query_id", "id", F.lit(1.0).alias("fts"), zero.alias("concept"), zero.alias("ontology")),
+        near_candidates(questions, chunks, budget, s.substring_terms).select("query_id", "id", zero.alias("fts"), zero.alias("concept"), zero.alias("ontology")),
+    ]
+    if concept is not None:
+        parts.append(concept.select("query_id", "id", zero.alias("fts"), F.col("score").alias("concept"), zero.alias("ontology")))
+    if ontology is not None:
+        parts.append(ontology.select("query_id", "id", zero.alias("fts"), zero.alias("concept"), F.col("score").alias("ontology")))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("fts", "concept", "ontology")])
+
+
+def search(
+    questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None,
+    boosts: DataFrame | None = None, roles: tuple[str, ...] = (), s: Settings = DEFAULTS, top_k: int | None = None,
+) -> DataFrame:
     """The fused ranking: query_id, id, rank, score and a column for each component.
 
-    questions: query_id, query. chunks: id, text, uploaded_at, is_normalized. concept, ontology: query_id, id, score.
+    questions: query_id, query. chunks: id, text, uploaded_at, is_normalized, and if they have them heading (text of the heading path),
+    source_type, page_parser, table_like, doc_role. concept, ontology: query_id, id, score. boosts: id, boost. roles: only these are ranked.
     """
     top_k = top_k or s.top_k
-    q = with_keywords(questions)
-    budget = max(2 * s.candidates, 4 * top_k)
-    postings = overlap_postings(chunks)
-    fts = bm25(q, fts_postings(chunks), lengths(chunks), budget).select("query_id", "id", F.lit(1.0).alias("fts"))
-    hits = substring_hits(q.select(F.explode(F.slice("kw", 1, s.substring_terms)).alias("term")).distinct(), postings)
-    near = substring_candidates(q, hits, chunks, budget)
-    candidates = fts.select("query_id", "id").union(near)
-    for more in (concept, ontology):
-        if more is not None:
-            candidates = candidates.union(more.select("query_id", "id"))
-    candidates = candidates.distinct()
-    semantic = dense(query_vectors, vectors, candidates, max(top_k, s.candidates))
-    rows = candidates.join(fts, ["query_id", "id"], "left").join(semantic, ["query_id", "id"], "left")
-    for name, more in (("concept", concept), ("ontology", ontology)):
-        rows = rows.join(more.select("query_id", "id", F.col("score").alias(name)), ["query_id", "id"], "left") if more is not None else rows.withColumn(name, F.lit(0.0))
-    rows = rows.na.fill(0.0, ["fts", "semantic", "concept", "ontology"])
-    any_fts = F.max("fts").over(W.partitionBy("query_id"))
-    fts_w = F.when(any_fts > 0, s.fts_weight).otherwise(0.0)
+    target = max(s.candidates, top_k, 6 * top_k if roles else 0)
+    q = cut(with_keywords(questions), "search-questions")
+    found = cut(candidates(q, chunks, max(2 * target, 4 * top_k), concept, ontology, s), "search-candidates")
+    semantic = dense(query_vectors, vectors, found, target)
+    rows = found.join(semantic, ["query_id", "id"], "left").na.fill(0.0, ["semantic"])
+    fts_w = F.when(F.max("fts").over(W.partitionBy("query_id")) > 0, s.fts_weight).otherwise(0.0)
     rows = rows.withColumn("fts_w", fts_w)
-    q = q.select("query_id", "query", "kw", literals("query").alias("lits"))
-    body = chunks.select("id", "text", "uploaded_at", "is_normalized", F.array_distinct(T.tokens("text")).alias("tokens"), F.lower(T.text("text")).alias("low"))
-    rows = rows.join(q, "query_id").join(body, "id").withColumn("lexical", lexical_score(F.col("kw"), F.col("tokens"), F.col("low")))
-    rows = rows.withColumn("literal", literal_score(F.col("text"), F.col("lits"))).withColumn("recency", recency(F.col("uploaded_at"), s.now_ts, s.half_life_days)).withColumn("code", code_match(F.col("query"), F.col("text")))
+    own = lambda name, default: F.col(name) if name in chunks.columns else F.lit(default).alias(name)
+    # what depends on the row alone is computed once for each row that is a candidate
+    body = chunks.join(found.select("id").distinct(), "id", "left_semi")
+    if roles:
+        body = body.filter(F.col("doc_role").isin(*roles))
+    low = F.lower(T.text("text"))
+    body = body.select("id", "text", "uploaded_at", "is_normalized", own("heading", ""), own("source_type", ""), own("page_parser", ""), own("table_like", False))
+    body = body.select(
+        "id", "uploaded_at", "is_normalized", low.alias("low"), F.array_distinct(T.tokens("text")).alias("tokens"), F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)).alias("digits"), codes("text").alias("codes"),
+        F.lower("heading").alias("heading"), F.array_distinct(T.tokens("heading")).alias("heads"), recency(F.col("uploaded_at"), s.now_ts, s.half_life_days).alias("recency"),
+        rules.weak_hint("text").alias("weak"), tabular_features("text", F.col("source_type"), F.col("page_parser"), F.col("table_like")).alias("table"),
+    )
+    body = cut(body, "search-rows")
+    if boosts is not None:
+        body = body.join(boosts.select("id", F.col("boost").alias("memory")), "id", "left").na.fill(0.0, ["memory"])
+    else:
+        body = body.withColumn("memory", F.lit(0.0))
+    asked = q.select("query_id", "query", "kw", literals("query").alias("lits"), codes("query").alias("asked_codes"), T.any_in(T.compact("query"), CODE_HINTS).alias("asks"), rules.numeric_question("query").alias("numeric"), _headers("query").alias("asked_headers"))
+    asked = cut(asked, "search-asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS // 50 else asked
+    rows = spread(rows).join(asked, "query_id").join(body, "id")
+    heading = lexical_score(F.col("kw"), F.col("heads"), F.col("heading"), s.substring_bonus)
+    rows = rows.withColumns({
+        "lexical": lexical_score(F.col("kw"), F.col("tokens"), F.col("low"), s.substring_bonus), "literal": literal_share(F.col("low"), F.col("digits"), F.col("lits")), "code": code_level(F.col("asks"), F.col("asked_codes"), F.col("codes")),
+        "structure": F.least(F.lit(s.structure_boost), s.structure_boost * heading), "tabular": tabular_score(F.col("numeric"), F.col("asked_headers"), F.col("table"), "query", "low"),
+    })
+    weak = weak_penalty(F.col("weak"), F.greatest("concept", "semantic", "fts", "lexical", "literal"))
     score = (
         F.greatest(F.lit(0.0), 1 - s.lexical_weight - F.col("fts_w")) * F.col("semantic") + s.lexical_weight * F.col("lexical") + s.concept_weight * F.col("concept") + s.ontology_weight * F.col("ontology")
-        + F.col("fts_w") * F.col("fts") + s.literal_boost * F.col("literal") + s.recency_boost * F.col("recency")
+        + F.col("fts_w") * F.col("fts") + s.literal_boost * F.col("literal") + s.recency_boost * F.col("recency") + F.col("structure") + F.col("memory") + F.col("tabular") - weak
         + F.when(F.col("code") == 2, s.code_boost).when(F.col("code") == 1, s.code_boost * s.code_hint_ratio).otherwise(0.0) - s.normalized_penalty * F.col("is_normalized")
     )
     rows = rows.withColumn("score", F.round(score, 6))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("uploaded_at").desc(), F.col("id").desc()))
-    keep = ["query_id", "id", "rank", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "code", "uploaded_at"]
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= top_k).select(keep)
+    keep = ["query_id", "id", "rank", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "structure", "memory", "tabular", "code", "uploaded_at"]
+    return cut(rows.select([c for c in keep if c != "rank"]).withColumn("rank", rank).filter(F.col("rank") <= top_k).select(keep), "search-ranked")

@@ -160,6 +160,14 @@ def truncate_to_tokens(c, limit: int) -> Column:
     return F.when(n <= limit, v).otherwise(F.substring(v, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(v) * limit / n)).cast("int")))
 
 
+def weak_hint(text) -> Column:
+    """Is the text only a placeholder for a page that OCR would have to read?"""
+    v = F.trim(T.text(text))
+    solid = ~T.any_in(v, TABLE_MARKS)
+    lines = F.filter(F.transform(F.split(v, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return v.contains("OCR후보:") & solid & (F.forall(lines, lambda x: x.startswith("OCR후보:")) | (F.length(v) <= 240))
+
+
 def chrome_line(c) -> Column:
     """Header, footer, address, image or numeral lines of pages."""
     v = T.collapse(c)

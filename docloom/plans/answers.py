@@ -141,14 +141,15 @@ def identity_key(spark, sf):
     return C.chunks(spark, sf).select("source_path", T.identity_key(F.concat(F.lit("Dir\\Sub/"), F.upper("source_path"), F.lit(".TXT"))).alias("key")).distinct()
 
 
-@query("find_previous_source", """SELECT key, source_path, pri FROM (SELECT lower(substr(source_path, 1, 4)) AS key, source_path, min(CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END) AS pri FROM chunks WHERE id % 13 = 0 GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY key ORDER BY pri, source_path) = 1""", CH)
+@query("find_previous_source", """SELECT key, name, pri FROM (SELECT lower(name) AS key, name, min(id % 2) AS pri FROM (SELECT id, CASE WHEN id % 2 = 0 THEN source_path ELSE 'Old/' || upper(source_path) END AS name FROM chunks) GROUP BY name)
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(key, '^old/', '') ORDER BY pri, name) = 1""".replace("SELECT key, name, pri", "SELECT regexp_replace(key, '^old/', '') AS key, name, pri"), CH)
 def find_previous_source(spark, sf):
-    """Of the records of one logical document in two tables (even and odd ids) the first; the first table wins."""
-    c = C.chunks(spark, sf).filter("id % 13 = 0").withColumn("key", T.identity_key(F.substring("source_path", 1, 4)))
-    rows = c.groupBy("key", "source_path").agg(F.min(F.when(F.col("id") % 2 == 0, 0).otherwise(1)).alias("pri"))
-    n = F.row_number().over(W.partitionBy("key").orderBy("pri", "source_path"))
-    return rows.withColumn("n", n).filter("n = 1").select("key", "source_path", "pri")
+    """Of the records of one logical document in two tables (even and odd ids, under two names) the first; the first table wins."""
+    odd = F.col("id") % 2
+    c = C.chunks(spark, sf).select(odd.alias("pri"), F.when(odd == 0, F.col("source_path")).otherwise(F.concat(F.lit("Old/"), F.upper("source_path"))).alias("name"))
+    rows = c.groupBy("name").agg(F.min("pri").alias("pri")).withColumn("key", T.identity_key("name"))
+    n = F.row_number().over(W.partitionBy("key").orderBy("pri", "name"))
+    return rows.withColumn("n", n).filter("n = 1").select("key", "name", "pri")
 
 
 @query("semi_id_list", "SELECT id FROM chunks WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)", CH)
@@ -207,34 +208,21 @@ def agg_answer_quality(spark, sf):
     return C.answers(spark, sf).select("status", F.explode("flags").alias("flag")).groupBy("status", "flag").agg(F.count("*").alias("n"))
 
 
-BOOST = """tg AS (SELECT 'chunk' AS kind, chunk_id::VARCHAR AS target, greatest(1, reused) AS w FROM answers WHERE status = 'published' AND reused > 0 AND chunk_id > 0
-  UNION ALL SELECT 'source', source_path, greatest(1, reused) FROM answers WHERE status = 'published' AND reused > 0
-  UNION ALL SELECT 'chunk', id::VARCHAR, 1 FROM chunks WHERE id % 11 = 0 AND id > 0 UNION ALL SELECT 'source', source_path, 1 FROM chunks WHERE id % 11 = 0)"""
-
-
-def _boost(spark, sf):
-    pages = C.chunks(spark, sf).filter("id % 11 = 0").select(F.col("id").alias("chunk_id"), "source_path", F.lit("published").alias("status"))
-    return A.boost_targets(C.answers(spark, sf), pages)
-
-
-@query("join_boost_answers", "SELECT kind, target, sum(w)::BIGINT AS weight FROM tg GROUP BY ALL", (C.CHUNKS, C.ANSWERS, BOOST))
+@query("join_boost_answers", "SELECT kind, target, sum(w)::BIGINT AS weight FROM tg GROUP BY ALL", (C.CHUNKS, C.ANSWERS, P.BOOST))
 def join_boost_answers(spark, sf):
-    return _boost(spark, sf)
+    return P.boost_weights(spark, sf)
 
 
-@query("join_boost_pages", "SELECT source_path AS target, count(*) AS weight FROM chunks WHERE id % 11 = 0 GROUP BY 1", CH)
+@query("join_boost_pages", "SELECT kind, target, sum(w)::BIGINT AS weight FROM (SELECT unnest(['chunk', 'source']) AS kind, unnest([id::VARCHAR, source_path]) AS target, 1 AS w FROM chunks WHERE id > 0 UNION ALL SELECT 'source', source_path, 1 FROM chunks WHERE id = 0) GROUP BY ALL", CH)
 def join_boost_pages(spark, sf):
-    return C.chunks(spark, sf).filter("id % 11 = 0").groupBy(F.col("source_path").alias("target")).agg(F.count("*").alias("weight"))
+    """Every row as a published page without answers."""
+    pages = C.chunks(spark, sf).select(F.col("id").alias("chunk_id"), "source_path", F.lit("published").alias("status"))
+    return A.boost_targets(C.answers(spark, sf).limit(0), pages)
 
 
-@query("sc_wiki", """SELECT id, round(least(0.05::DOUBLE, 0.025::DOUBLE * greatest(coalesce(a.weight, 0), coalesce(b.weight, 0))), 6) AS boost FROM chunks
-  LEFT JOIN (SELECT target, sum(w) AS weight FROM tg WHERE kind = 'chunk' GROUP BY 1) a ON a.target = id::VARCHAR LEFT JOIN (SELECT target, sum(w) AS weight FROM tg WHERE kind = 'source' GROUP BY 1) b ON b.target = source_path""", (C.CHUNKS, C.ANSWERS, BOOST))
+@query("sc_wiki", "SELECT id, boost FROM mem", (C.CHUNKS, C.ANSWERS, P.BOOST))
 def sc_wiki(spark, sf):
-    b = _boost(spark, sf)
-    chunk = b.filter("kind = 'chunk'").select(F.col("target").cast("long").alias("id"), F.col("weight").alias("a"))
-    source = b.filter("kind = 'source'").select(F.col("target").alias("source_path"), F.col("weight").alias("b"))
-    rows = C.chunks(spark, sf).join(chunk, "id", "left").join(source, "source_path", "left")
-    return rows.select("id", F.round(F.least(F.lit(0.05), 0.025 * F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))), 6).alias("boost"))
+    return P.memory_boosts(spark, sf)
 
 
 @query("sc_structure", f"""SELECT query_id, id, round(least(0.10::DOUBLE, 0.10::DOUBLE * len(list_intersect(kw, [lower(source_path), lower(kb_id)])) / len(kw)), 6) AS boost FROM res JOIN kw k USING (query_id) JOIN (SELECT id, kb_id FROM chunks) c USING (id)""", P.RANKED24)
@@ -353,10 +341,10 @@ def set_subset(spark, sf):
 
 @query("evidence_alignment", r"""SELECT query_id, id, CASE WHEN len(q) = 0 THEN 1.0 ELSE round(len(list_filter(q, lambda t: len(list_filter(e, lambda x: contains(x, t) OR contains(t, x))) > 0)) / len(q), 6) END AS score FROM (
   SELECT query_id, id, list_distinct(list_filter(list_transform(regexp_extract_all(query, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS q,
-    list_distinct(list_filter(list_transform(regexp_extract_all(substr(text, 1, 400), '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS e FROM res WHERE rank <= 3)""", P.RANKED24)
+    list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS e FROM res WHERE rank <= 3)""", P.RANKED24)
 def evidence_alignment(spark, sf):
     r = P.results(spark, sf, 3)
-    return r.select("query_id", "id", F.round(A.alignment(F.col("query"), F.substring("text", 1, 400)), 6).alias("score"))
+    return r.select("query_id", "id", F.round(A.alignment(F.col("query"), F.col("text")), 6).alias("score"))
 
 
 @query("citation_labels", """SELECT id, CASE WHEN source_type = 'pdf' THEN source_path || ' ' || (id % 9 + 1)::VARCHAR || '페이지' WHEN source_type = 'xlsx' THEN source_path || ' / Sheet1 / ' || (id % 5 + 1)::VARCHAR || '-' || (id % 5 + 3)::VARCHAR || '행'
@@ -393,15 +381,15 @@ def win_column_split(spark, sf):
     return rows.groupBy("source_path").agg(F.max("gap").alias("gap"), F.max_by("mid", F.struct("gap", (-F.col("mid")).alias("m"))).alias("split"))
 
 
-@query("join_left_right_layout", """WITH l AS (SELECT source_path, id AS lid, (id * 37 % 1000)::DOUBLE AS y FROM chunks WHERE id % 3 = 0), r AS (SELECT source_path, id AS rid, (id * 53 % 1000)::DOUBLE AS y FROM chunks WHERE id % 3 = 1),
+@query("join_left_right_layout", """WITH l AS (SELECT source_path, id AS lid, (id * 37 % 1000)::DOUBLE AS y FROM chunks WHERE id // 20 % 2 = 0), r AS (SELECT source_path, id AS rid, (id * 53 % 1000)::DOUBLE AS y FROM chunks WHERE id // 20 % 2 = 1),
 s AS (SELECT source_path, lid, y - 4 AS y0, coalesce(lead(y) OVER (PARTITION BY source_path ORDER BY y, lid) - 4, 1e9) AS y1 FROM l)
 SELECT s.source_path, lid, rid FROM s JOIN r ON s.source_path = r.source_path AND r.y >= y0 AND r.y < y1""", CH)
 def join_left_right_layout(spark, sf):
     from docloom.operators.layout import pair_columns
 
     c = C.chunks(spark, sf)
-    left = c.filter("id % 3 = 0").select("source_path", F.col("id").alias("lid"), (F.col("id") * 37 % 1000).cast("double").alias("y"))
-    right = c.filter("id % 3 = 1").select("source_path", F.col("id").alias("rid"), (F.col("id") * 53 % 1000).cast("double").alias("y"))
+    left = c.filter("floor(id / 20) % 2 = 0").select("source_path", F.col("id").alias("lid"), (F.col("id") * 37 % 1000).cast("double").alias("y"))
+    right = c.filter("floor(id / 20) % 2 = 1").select("source_path", F.col("id").alias("rid"), (F.col("id") * 53 % 1000).cast("double").alias("y"))
     return pair_columns(left, right, "source_path", 4.0)
 
 

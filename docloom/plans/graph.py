@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import graph as G
 from docloom.plans.registry import query
-from docloom.plans.retrieval import KW
+from docloom.plans.retrieval import CT, FS, GEN, KW, concepts
 from docloom.sources import carriers as C
 
-CSTOP = ", ".join(f"'{w}'" for w in G.CONCEPT_STOP)
-CT = f"""w AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN ({CSTOP})) AS w FROM chunks),
-a AS (SELECT id, w, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
-s1 AS (SELECT id, t, round(sum(1.0::DOUBLE + CASE WHEN i < 8 THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN length(t) >= 4 THEN 0.15::DOUBLE ELSE 0 END), 4) AS s, min(i) AS first FROM a GROUP BY id, t),
-s2 AS (SELECT id, t2 AS t, round(sum(1.25::DOUBLE + CASE WHEN i < 6 THEN 0.25::DOUBLE ELSE 0 END + 0.10::DOUBLE), 4) AS s FROM (SELECT id, i, t || ' ' || w[i + 2] AS t2 FROM a WHERE i + 1 < len(w)) WHERE length(t2) >= 4 GROUP BY id, t2),
-r1 AS (SELECT *, first < 3 AS lead, row_number() OVER (PARTITION BY id, first < 3 ORDER BY s DESC, length(t) DESC, t DESC) AS n, sum((first < 3)::INT) OVER (PARTITION BY id) AS leads FROM s1),
-o AS (SELECT id, t, CASE WHEN lead THEN 0 WHEN n <= greatest(1, 3 - leads) THEN 1 ELSE 3 END AS b, CASE WHEN lead THEN first ELSE n END AS o FROM r1
-  UNION ALL SELECT id, t, 2, row_number() OVER (PARTITION BY id ORDER BY s DESC, length(t) DESC, t DESC) FROM s2),
-cterms AS (SELECT id, n, term, greatest(0.15::DOUBLE, 1 - 0.12::DOUBLE * (n - 1)) AS weight FROM (SELECT id, t AS term, row_number() OVER (PARTITION BY id ORDER BY b, o) AS n FROM o) WHERE n <= 6),
-edges AS (SELECT id, regexp_replace(term, '\\s+', '', 'g') AS concept, min(weight) AS weight FROM cterms GROUP BY ALL)""".replace("\\\\", "\\")
-
-
 @query("concept_terms", "SELECT id, n::INT AS n, term, round(weight, 6) AS weight FROM cterms", (C.CHUNKS, CT))
 def concept_terms(spark, sf):
     return G.concept_terms(C.chunks(spark, sf)).withColumn("weight", F.round("weight", 6))
@@ -32,24 +20,15 @@ def concept_sync(spark, sf):
     return G.concept_edges(G.concept_terms(C.chunks(spark, sf))).withColumn("weight", F.round("weight", 6))
 
 
-GEN = """SELECT query_id, id, round(score, 6) AS score FROM (SELECT query_id, id, max(weight) AS score FROM (SELECT query_id, unnest(kw) AS concept FROM kw) JOIN edges USING (concept) GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 240"""
-
-
-def _concepts(spark, sf):
-    terms = C.questions(spark, sf).select("query_id", F.explode(T.keywords("query")).alias("concept"), F.lit(1.0).alias("match"))
-    return G.concept_candidates(terms, G.concept_edges(G.concept_terms(C.chunks(spark, sf))), 240)
-
-
 @query("gen_concept", GEN, (C.CHUNKS, CT, C.QUESTIONS, KW))
 def gen_concept(spark, sf):
-    return _concepts(spark, sf).select("query_id", "id", "score")
+    return concepts(spark, sf).select("query_id", "id", "score")
 
 
 @query("join_concept_edges", """SELECT query_id, id, list(concept ORDER BY weight DESC, concept)[1:4] AS labels FROM (SELECT query_id, unnest(kw) AS concept FROM kw) JOIN edges USING (concept) GROUP BY query_id, id
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(weight), 6) DESC, id) <= 240""", (C.CHUNKS, CT, C.QUESTIONS, KW))
 def join_concept_edges(spark, sf):
-    return _concepts(spark, sf).select("query_id", "id", "labels")
+    return concepts(spark, sf).select("query_id", "id", "labels")
 
 
 @query("anti_orphan_concept", "SELECT DISTINCT concept FROM edges WHERE concept NOT IN (SELECT concept FROM edges WHERE id % 2 = 0)", (C.CHUNKS, CT))
@@ -70,20 +49,6 @@ def fact_upsert_entity(spark, sf):
 
 
 QF = "fq AS (SELECT n_nationkey::BIGINT AS query_id, 'nation of ' || n_name || ' and 상위개념 ' || r_name AS query FROM nation JOIN region ON n_regionkey = r_regionkey)"
-FS = r"""q AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(query, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2) AS qt, lower(regexp_replace(query, '\s+', '', 'g')) AS qc FROM fq),
-live AS (SELECT fact_id, confidence, lower(regexp_replace(subject, '\s+', '', 'g')) AS s, lower(regexp_replace(predicate, '\s+', '', 'g')) AS p, lower(regexp_replace(object, '\s+', '', 'g')) AS o FROM facts
-  WHERE status = 'published' OR status = 'active' AND confidence >= 0.62),
-links AS (SELECT lower(regexp_replace(object, '\s+', '', 'g')) AS o, lower(regexp_replace(subject, '\s+', '', 'g')) AS s FROM facts WHERE predicate = '상위개념' AND status IN ('active', 'published')),
-h AS (SELECT query_id, fact_id, confidence, s,
-    CASE WHEN contains(qc, s) THEN 2 ELSE 0 END + len(list_filter(qt, lambda t: contains(s, t))) AS d,
-    contains(qc, p)::INT + len(list_filter(qt, lambda t: NOT contains(s, t) AND contains(p, t))) AS pr,
-    contains(qc, o)::INT + len(list_filter(qt, lambda t: NOT contains(s, t) AND NOT contains(p, t) AND contains(o, t))) AS v,
-    (EXISTS (SELECT 1 FROM links l WHERE l.s = live.s AND list_contains(qt, l.o)))::INT AS r0 FROM q, live),
-sc AS (SELECT query_id, fact_id, CASE WHEN d > 0 THEN 1 ELSE 2 END AS hops, least(1.0::DOUBLE, 0.12::DOUBLE * (d + pr + v + CASE WHEN d > 0 THEN 0 ELSE r0 END) + 0.45::DOUBLE * confidence) AS base FROM h WHERE d > 0 OR r0 > 0 AND pr > 0),
-fs AS (SELECT query_id, fact_id, hops, round(CASE WHEN hops = 2 THEN base * 0.72::DOUBLE ELSE base END, 6) AS score FROM sc),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id DESC) AS rank FROM fs QUALIFY rank <= 20)"""
-
-
 def _fact_questions(spark, sf):
     n, r = C.read(spark, sf, "nation"), C.read(spark, sf, "region")
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("nation of "), "n_name", F.lit(" and 상위개념 "), "r_name").alias("query"))

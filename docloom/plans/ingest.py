@@ -91,9 +91,9 @@ def hpath(spark, sf):
 
 
 @query("chunk_structure", """SELECT parent_key, min(id) AS line_start, max(id) AS line_end, md5(string_agg(t, ' | ' ORDER BY id) FILTER (t <> '')) AS text_md5
-  FROM (SELECT parent_key, id, trim(substr(text, 1, 60)) AS t FROM chunks) GROUP BY parent_key""", (C.CHUNKS,))
+  FROM (SELECT parent_key, id, trim(text) AS t FROM chunks) GROUP BY parent_key""", (C.CHUNKS,))
 def chunk_structure(spark, sf):
-    cells = C.chunks(spark, sf).select("parent_key", F.col("id").alias("cell_no"), F.col("id").alias("line_start"), F.col("id").alias("line_end"), F.substring("text", 1, 60).alias("text"))
+    cells = C.chunks(spark, sf).select("parent_key", F.col("id").alias("cell_no"), F.col("id").alias("line_start"), F.col("id").alias("line_end"), "text")
     return I.merge_table_rows(cells).select("parent_key", "line_start", "line_end", F.md5("text").alias("text_md5"))
 
 
@@ -157,10 +157,11 @@ def norm_txt(spark, sf):
     return I.pack_bundles(rows, "source_path")
 
 
-@query("win_cluster_cells", """SELECT source_path, id, sum(jump) OVER (PARTITION BY source_path ORDER BY id) AS island FROM (
-  SELECT source_path, id, CASE WHEN id - lag(id) OVER (PARTITION BY source_path ORDER BY id) <= 40 THEN 0 ELSE 1 END AS jump FROM chunks WHERE id % 3 > 0)""", (C.CHUNKS,))
+@query("win_cluster_cells", """SELECT source_path, x, sum(jump) OVER (PARTITION BY source_path ORDER BY x) AS island FROM (
+  SELECT source_path, x, CASE WHEN x - lag(x) OVER (PARTITION BY source_path ORDER BY x) <= 20000 THEN 0 ELSE 1 END AS jump FROM (SELECT source_path, id * 7919 % 1000003 AS x FROM chunks))""", (C.CHUNKS,))
 def win_cluster_cells(spark, sf):
-    return I.islands(C.chunks(spark, sf).filter("id % 3 > 0").select("source_path", "id"), ["source_path"], "id", 40)
+    cells = C.chunks(spark, sf).select("source_path", (F.col("id") * 7919 % 1000003).alias("x"))
+    return I.islands(cells, ["source_path"], "x", 20_000)
 
 
 @query("canonical_rows", "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS reading_order, CASE WHEN is_section THEN 'heading' ELSE 'paragraph' END AS block_type, line_no FROM lines", (LINES,))

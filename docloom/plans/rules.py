@@ -90,11 +90,10 @@ def ocr_runtime_summary(spark, sf):
     return t.select("kb", *R.ocr_rates(F.col("pages"), F.col("seconds")))
 
 
-@query("location_label", "SELECT id, CASE id % 3 WHEN 0 THEN '라인 ' || (id % 9)::VARCHAR || '-' || (id % 9 + 4)::VARCHAR WHEN 1 THEN section ELSE '위치 정보 없음' END AS label FROM chunks WHERE id % 3 > 0 OR id % 9 > 0", CH)
+@query("location_label", "SELECT id, CASE WHEN id % 3 = 0 AND id % 9 > 0 THEN '라인 ' || (id % 9)::VARCHAR || '-' || (id % 9 + 4)::VARCHAR WHEN id % 3 = 1 THEN section ELSE '위치 정보 없음' END AS label FROM chunks", CH)
 def location_label(spark, sf):
     i = F.col("id")
-    rows = C.chunks(spark, sf).filter("id % 3 > 0 OR id % 9 > 0")
-    return rows.select("id", R.location(F.when(i % 3 == 0, i % 9).otherwise(0), i % 9 + 4, F.when(i % 3 == 1, F.col("section")).otherwise("")).alias("label"))
+    return C.chunks(spark, sf).select("id", R.location(F.when(i % 3 == 0, i % 9).otherwise(0), i % 9 + 4, F.when(i % 3 == 1, F.col("section")).otherwise("")).alias("label"))
 
 
 @query("lazy_ocr_needed", "SELECT id, source_type = 'pdf' AND id % 4 = 1 AND id % 8 = 1 AS needed FROM chunks", CH)
@@ -131,8 +130,7 @@ def topk_grounded(spark, sf):
 def topk_fts(spark, sf):
     from docloom.operators import retrieval as X
 
-    c = C.chunks(spark, sf)
-    return X.bm25(X.with_keywords(C.questions(spark, sf)), X.fts_postings(c), X.lengths(c), 8)
+    return X.fts_candidates(X.with_keywords(C.questions(spark, sf)), C.chunks(spark, sf), 8)
 
 
 @query("join_query_candidates", "SELECT query_id, id, min(pri)::INT AS generator FROM (SELECT query_id, id, 3 AS pri FROM fts UNION ALL SELECT query_id, id, 4 FROM sub) GROUP BY ALL", P.CHAIN[:8])
@@ -141,13 +139,12 @@ def join_query_candidates(spark, sf):
     return a.unionByName(P.gen_substring(spark, sf).withColumn("pri", F.lit(4))).groupBy("query_id", "id").agg(F.min("pri").alias("generator"))
 
 
-@query("join_dense", "SELECT q.query_id, v.id, round(list_dot_product(q.qv::DOUBLE[], v.v::DOUBLE[]), 6) AS semantic FROM qv q JOIN vectors v ON q.qdim = v.dim WHERE v.id % 25 = q.query_id % 25", P.CHAIN[:10])
+@query("join_dense", "SELECT query_id, id, round(list_dot_product(v::DOUBLE[], qv::DOUBLE[]), 6) AS semantic FROM cand JOIN vectors USING (id) JOIN qv USING (query_id) WHERE dim = qdim", P.CHAIN[:10])
 def join_dense(spark, sf):
     from docloom.operators import retrieval as X
 
-    q = P.query_vectors(spark, sf).select("query_id", F.col("v").alias("qv"), F.col("dim").alias("qdim"), (F.col("query_id") % 25).alias("cell"))
-    v = C.vectors(spark, sf).withColumn("cell", F.col("id") % 25)
-    return v.join(q, "cell").filter("dim = qdim").select("query_id", "id", F.round(X.dot(F.col("v"), F.col("qv")), 6).alias("semantic"))
+    found = P.candidate_rows(spark, sf).select("query_id", "id")
+    return X.dense_pairs(P.query_vectors(spark, sf), C.vectors(spark, sf), found).select("query_id", "id", F.round("semantic", 6).alias("semantic"))
 
 
 @query("topk_concepts", "SELECT id, term FROM (SELECT id, term, n FROM cterms) WHERE n <= 2", (C.CHUNKS, GP.CT))

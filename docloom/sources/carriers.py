@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 BASE_TS = 1_704_067_200
 
 
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A single file may be a single row group and so a single task: texts in one file are dealt anew, many files never."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS and len(rows.inputFiles()) == 1 else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as retrieval rows."""
+    """Documents as retrieval rows; the first words of a text are its heading."""
     d = read(spark, sf_dir, "documents")
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     return d.select(
@@ -28,6 +34,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 10 == 9).cast("int").alias("is_normalized"),
         F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 3).cast("string")).alias("parent_key"),
         F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string")).alias("section"),
+        F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("heading"),
         F.col("text"),
     )
 
@@ -36,7 +43,7 @@ CHUNKS = """chunks AS (
   SELECT doc_id AS id, lang AS kb_id, source AS source_path, (['txt','pdf','hwpx','xlsx'])[doc_id % 4 + 1] AS source_type,
          CASE WHEN regexp_extract(source, '([0-9]+)$', 1)::INT % 2 = 0 THEN 'guide' ELSE 'casebook' END AS doc_role,
          1704067200 + (doc_id * 7919) % 90 * 86400 AS uploaded_at, (doc_id % 10 = 9)::INT AS is_normalized,
-         source || ':' || (doc_id // 3)::VARCHAR AS parent_key, 's' || (doc_id % 7)::VARCHAR AS section, text FROM documents)"""
+         source || ':' || (doc_id // 3)::VARCHAR AS parent_key, 's' || (doc_id % 7)::VARCHAR AS section, array_to_string(string_split(text, ' ')[1:8], ' ') AS heading, text FROM documents)"""
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
