@@ -42,7 +42,7 @@ PERCENT = 75
 #: Estimates at least this low rule a pair out (over four standard deviations under the threshold).
 LEAST_ESTIMATE = 0.55
 #: Largest bucket that one task scans for families (a larger one is a family as a whole), and shingles in a block of a family.
-SCAN, BLOCK = 2048, 400_000
+SCAN, BLOCK = 2048, 100_000
 _BUCKET_BITS = 7
 _W = stream(SHINGLE + 1, 11)
 _FILL = stream(REGISTERS, 13)
