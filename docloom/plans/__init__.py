@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that states its result."""
 
-from docloom.plans import answers, gates, graph, ingest, ops, retrieval, rules  # noqa: F401
+from docloom.plans import answers, dialog, gates, graph, ingest, ops, pages, retrieval, rules  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
