@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import slices, small_batches, utf8
+from docloom.llm.common import slices, small_batches, tidy, utf8
 
 #: Bytes of text in a slice, and words remembered between slices of a task.
-SLICE = 8 << 20
+SLICE = 4 << 20
 REMEMBERED = 300_000
 
 
@@ -45,13 +45,13 @@ class MergeReplay:
         pairs = [(ranks[t[:k]] << self.shift | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         pairs.sort()
         self.pair_key = np.array([p for p, _ in pairs], np.int64)
-        self.pair_rank = np.array([r for _, r in pairs], np.int64)
+        self.pair_rank = np.array([r for _, r in pairs], np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it isn't mergeable."""
-        key = left << self.shift | right
+        key = left.astype(np.int64) << self.shift | right
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], -1)
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], np.int32(-1))
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and offsets (one more than words)."""
@@ -60,19 +60,19 @@ class MergeReplay:
         n = int(ends[-1]) if len(words) else 0
         if not n:
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         last = np.zeros(n, bool)
         last[ends[lengths > 0] - 1] = True
         # the linked list; position n is the end of every word
-        nxt = np.arange(1, n + 2)
+        nxt = np.arange(1, n + 2, dtype=np.int32)
         nxt[:-1][last] = n
-        prv = np.arange(-1, n)
+        prv = np.arange(-1, n, dtype=np.int32)
         prv[1:][np.append(last, True)[:n]] = n
         prv[0] = n
-        prv = np.append(prv[:n], n)
-        sym = np.append(sym, 0)
-        rank = np.full(n + 1, -1, np.int64)
+        prv = np.append(prv[:n], np.int32(n))
+        sym = np.append(sym, np.int32(0))
+        rank = np.full(n + 1, -1, np.int32)
         at = np.flatnonzero(~last)
         rank[at] = self._rank(sym[at], sym[nxt[at]])
         index: dict[int, list[np.ndarray]] = {}
@@ -206,4 +206,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(run), schema)

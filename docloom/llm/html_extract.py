@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches
+from docloom.llm.common import cut, small_batches, tidy
 
 #: A class is valid if at least this share of the host's pages, and so many pages, hold it.
 SUPPORT, LEAST_PAGES = 0.5, 3
@@ -283,7 +283,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     y[3] += marks[count] >> 31
             yield _batch([(h, k, x, n, v & 0x7FFFFFFF, w & 0xFFFFFFFF) for (h, k), (x, n, v, w) in found.items()], schema)
 
-    parts = pages.select(host_column().alias("host"), "page_id", "url", "html").mapInArrow(run, "host string, key long, tag boolean, n long, v long, w long")
+    parts = pages.select(host_column().alias("host"), "page_id", "url", "html").mapInArrow(tidy(run), "host string, key long, tag boolean, n long, v long, w long")
     vector = F.shiftleft(F.pmod(F.sum("v"), F.lit(1 << 31)), 32).bitwiseXOR(F.pmod(F.sum("w"), F.lit(1 << 32)))
     return parts.groupBy("host", "key", "tag").agg(F.sum("n").alias("n"), vector.alias("vector"))
 
@@ -383,7 +383,7 @@ def checks(pages: DataFrame, found: DataFrame) -> DataFrame:
             yield _batch([(*k, *v) for k, v in out.items()], schema)
 
     rows = _with_hosts(pages, found, "size(tokens)", "inner").select("html", "host", "tokens")
-    parts = rows.mapInArrow(run, ", ".join(f"{k} {'string' if k in ('host', 'kind') else 'long'}" for k, _ in schema))
+    parts = rows.mapInArrow(tidy(run), ", ".join(f"{k} {'string' if k in ('host', 'kind') else 'long'}" for k, _ in schema))
     least, most = ("low", "first"), ("high", "last")
     folded = [(F.min if k in least else F.max if k in most else F.sum)(k).alias(k) for k in ("n", *names)]
     return parts.groupBy("host", "kind", "key", "cls").agg(*folded)
@@ -433,4 +433,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *columns], ["page_id", "url", "text", "n_chars", "template_slots", "template_texts"])
 
     schema = "page_id long, url string, text string, n_chars long, template_slots long, template_texts long"
-    return rows.select("page_id", "url", "html", "host", "known", "menus", "fixed").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "html", "host", "known", "menus", "fixed").mapInArrow(tidy(run), schema)

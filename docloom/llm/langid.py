@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches
+from docloom.llm.common import cut, small_batches, tidy
 
 #: Labelled texts drawn of each language (by hash order), how many windows of them are landmarks, and windows drawn of a text.
 PER_LANGUAGE, LANDMARKS, PER_TEXT = 300, 32, 3
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     # at most SAMPLE pairs of an id and a language: small whatever the input
     texts = docs.join(F.broadcast(sample(docs, per_language)), ["doc_id", "lang"], "left_semi").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "lang", "text")
-    rows = sorted(set(map(tuple, texts.mapInArrow(run, "doc_id long, k int, lang string, x binary").distinct().collect())))
+    rows = sorted(set(map(tuple, texts.mapInArrow(tidy(run), "doc_id long, k int, lang string, x binary").distinct().collect())))
     order = sorted(rows, key=lambda r: (r[1], r[0]))  # landmarks come from first windows
     x = np.array([np.unpackbits(np.frombuffer(bytes(r[3]), np.uint8)) for r in order], bool).reshape(len(order), SLOTS)
     return Model(x, [r[2] for r in order])
@@ -192,4 +192,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs, s = given.value.predict([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(s, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import small_batches
+from docloom.llm.common import small_batches, tidy
 
 PACKET, BODY = 188, 184
 PMT_PID, ES_PID = 0x1000, 0x0100
@@ -187,4 +187,4 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 rows = [one(a, b) for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, maybe_in, mix, one_of_each, row_key, slices, small_batches, stream, utf8, words
+from docloom.llm.common import cut, maybe_in, mix, one_of_each, row_key, slices, small_batches, stream, tidy, utf8, words
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "k long, doc_id long, n long, f1 long, f2 long, regs binary, keys array<long>")
+    return rows.mapInArrow(tidy(run), "k long, doc_id long, n long, f1 long, f2 long, regs binary, keys array<long>")
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 ok = pa.array(estimate(ra, rb, n, m) >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _texts(docs: DataFrame, sketch: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _near_size(a: str, b: str):
@@ -260,7 +260,7 @@ def _spanning(open_rows: DataFrame) -> DataFrame:
 
     scanned = open_rows.filter(F.col("m") <= SCAN).repartition("key").sortWithinPartitions("key", "node")
     whole = open_rows.filter((F.col("m") > SCAN) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return scanned.select("key", "node", "n", "regs").mapInArrow(run, "a long, b long").union(whole).distinct()
+    return scanned.select("key", "node", "n", "regs").mapInArrow(tidy(run), "a long, b long").union(whole).distinct()
 
 
 def _family_links(family: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def _family_links(family: DataFrame, docs: DataFrame, sketch: DataFrame) -> Data
         if (out := done()) is not None:
             yield out
 
-    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

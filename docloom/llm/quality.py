@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import _LOWER, cut, slices, small_batches, utf8, words
+from docloom.llm.common import _LOWER, cut, slices, small_batches, tidy, utf8, words
 
 #: Most labelled documents of each label in the sample that the classifier is fitted on, by hash order.
 SAMPLE = 1500
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                 c = term_counts(data, off[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([t.column(0).slice(lo, hi - lo), t.column(1).slice(lo, hi - lo), pa.array([np.minimum(r, 65504).astype(np.float16).tobytes() for r in c], pa.binary())], ["doc_id", "y", "c"])
 
-    rows = sorted(sample(docs, labels, most).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, c binary").collect())
+    rows = sorted(sample(docs, labels, most).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "y", "text").mapInArrow(tidy(run), "doc_id long, y int, c binary").collect())
     counts = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.float16).reshape(-1, DIM).astype(np.float32)
     return Model(counts, np.array([r.y for r in rows]))
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = np.concatenate([m.score(term_counts(data, off[k : min(k + 512, hi) + 1])) for k in range(lo, hi, 512)])
                 yield pa.RecordBatch.from_arrays([t.column(0).slice(lo, hi - lo), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -179,4 +179,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             if s:
                 yield t.filter(pa.array(np.concatenate(s) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
