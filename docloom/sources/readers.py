@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.functions import text as T
 
@@ -30,56 +31,81 @@ def decode(raw: bytes) -> tuple[str, str]:
     return raw.decode("utf-8", "replace"), "replace"
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, encoding of every file under path."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def parse_texts(files: DataFrame) -> DataFrame:
+    """path, text, encoding of files (path, content)."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             found = [decode(bytes(c)) for c in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "text": [t for t, _ in found], "encoding": [e for _, e in found]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, encoding string")
+    return files.select("path", "content").mapInPandas(run, "path string, text string, encoding string")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text, encoding of every file under path."""
+    return parse_texts(spark.read.format("binaryFile").load(path))
+
+
+def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines (value) of JSON as the schema's columns and ``bad`` (the line, where it holds no object); an array of objects gives a row each."""
+    body = F.trim("value")
+    one = F.from_json(body, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    many = F.from_json(body, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    names = list(StructType.fromDDL(schema).names)
+    row = lambda s, bad: F.struct(*[s[n].alias(n) for n in names], bad.alias("bad"))
+    none = F.lit(None).cast("string")
+    parsed = lines.filter(body != "").select(body.alias("value"), one.alias("one"), F.when(body.startswith("["), many).alias("many"))
+    broken = F.when(~F.col("value").startswith("{") | F.col("one.__bad").isNotNull(), F.col("value"))
+    items = F.when(F.col("many").isNotNull(), F.transform("many", lambda x: row(x, none))).otherwise(F.array(row(F.col("one"), broken)))
+    return parsed.select(F.explode(items).alias("r")).select("r.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, order: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The newest ``limit`` rows, and the malformed lines."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    lines = spark.read.text(path)
-    bad = lines.filter(F.trim("value") != "").filter(F.from_json("value", schema, {"mode": "PERMISSIVE"}).isNull() | ~F.trim("value").startswith("{"))
-    return rows.filter("_corrupt IS NULL").drop("_corrupt").orderBy(F.col(order).desc()).limit(limit), bad
+    """The newest ``limit`` rows, and the malformed lines; every line is parsed by the same expression."""
+    rows = parse_lines(spark.read.text(path), schema)
+    return rows.filter("bad IS NULL").drop("bad").orderBy(F.col(order).desc()).limit(limit), rows.filter("bad IS NOT NULL").select(F.col("bad").alias("value"))
+
+
+def parse_cases(lines: DataFrame, schema: str) -> DataFrame:
+    """Evaluation cases of lines (value) without blank and comment lines; ``fault`` names a missing field or a repeated id."""
+    rows = parse_lines(lines.filter(~F.trim("value").startswith("#")), schema)
+    twice = F.count("*").over(W.partitionBy("id")) > 1
+    fault = F.when(F.col("bad").isNotNull(), "not an object").when(F.col("id").isNull() | F.col("query").isNull(), "a case needs id and query").when(twice, "duplicate case id")
+    return rows.withColumn("fault", fault).drop("bad")
 
 
 def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Evaluation cases of a JSON-lines file without blank and comment lines; a repeated id is an error."""
-    lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    cases = lines.select(F.from_json("value", schema).alias("c")).select("c.*")
-    if (twice := cases.groupBy("id").count().filter("count > 1").first()) is not None:
-        raise ValueError(f"duplicate case id: {twice[0]}")
-    if cases.filter("id IS NULL OR query IS NULL").first() is not None:
-        raise ValueError("a case needs id and query")
-    return cases
-
-
-def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int]]:
-    """section, order, kind ('paragraph' or 'cell'), text, row, cell of the section parts of a zipped XML document."""
+    """Evaluation cases of a JSON-lines file; the first faulty one is an error."""
+    cases = parse_cases(spark.read.text(path), schema)
+    if (wrong := cases.filter("fault IS NOT NULL").first()) is not None:
+        raise ValueError(f"{wrong['fault']}: {wrong['id']}")
+    return cases.drop("fault")
+
+
+def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int, int]]:
+    """section, order, kind ('paragraph' or 'cell'), text, table, row, cell of the section parts of a zipped XML document."""
     out = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = sorted((n for n in z.namelist() if re.search(r"section\d+\.xml$", n)), key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]))
         for k, name in enumerate(names):
+            tables = 0
             local = lambda e: e.tag.rsplit("}", 1)[-1]
             words = lambda e: " ".join("".join(x.itertext()) for x in e.iter() if local(x) == "t").strip()
 
             def walk(e, k=k) -> None:
+                nonlocal tables
                 if local(e) == "tbl":
+                    tables += 1
                     for i, tr in enumerate([x for x in e.iter() if local(x) == "tr"], 1):
                         for j, tc in enumerate([x for x in tr if local(x) == "tc"], 1):
                             if body := words(tc):
-                                out.append((k, len(out), "cell", body, i, j))
+                                out.append((k, len(out), "cell", body, tables, i, j))
                     return
                 if local(e) == "p" and not any(local(x) == "tbl" for x in e.iter()):
                     if body := words(e):
-                        out.append((k, len(out), "paragraph", body, 0, 0))
+                        out.append((k, len(out), "paragraph", body, 0, 0, 0))
                     return
                 for x in e:
                     walk(x)
@@ -88,32 +114,24 @@ def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int]]:
     return out
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of zipped XML documents with the heading that holds at each (the last section line before it)."""
+def parse_archives(files: DataFrame) -> DataFrame:
+    """Records of zipped XML documents (path, content) with the heading that holds at each (the last section line before it)."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = [(p, *r) for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in archive_records(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "section", "seq", "kind", "text", "row_no", "cell_no"])
+            yield pd.DataFrame(rows, columns=["path", "section", "seq", "kind", "text", "table_no", "row_no", "cell_no"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, section int, seq int, kind string, text string, row_no int, cell_no int")
+    rows = files.select("path", "content").mapInPandas(run, "path string, section int, seq int, kind string, text string, table_no int, row_no int, cell_no int")
     w = W.partitionBy("path", "section").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     heading = F.last(F.when((F.col("kind") == "paragraph") & T.is_section("text"), F.col("text")), ignorenulls=True).over(w)
     return rows.withColumn("heading", F.coalesce(heading, F.lit("")))
 
 
-def sheet_cells(raw: bytes) -> list[tuple[str, int, int, str]]:
-    """sheet, row, column, value of a spreadsheet; merged cells take their top-left value. Needs openpyxl."""
-    import openpyxl
-
-    book, out = openpyxl.load_workbook(io.BytesIO(raw), data_only=True), []
-    for sheet in book.worksheets[:20]:
-        values = {(c.row, c.column): c.value for r in sheet.iter_rows() for c in r}
-        for m in sheet.merged_cells.ranges:
-            top = values.get((m.min_row, m.min_col))
-            values |= {(r, c): top for r in range(m.min_row, m.max_row + 1) for c in range(m.min_col, m.max_col + 1)}
-        out += [(sheet.title, r, c, str(v)) for (r, c), v in sorted(values.items()) if v is not None]
-    return out
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Records of every archive under path."""
+    return parse_archives(spark.read.format("binaryFile").load(path))
 
 
 def sheet_tables(cells: DataFrame, key: list[str]) -> DataFrame:
