@@ -21,7 +21,7 @@ KW = f"""kw0 AS (SELECT query_id, query, list_filter(list_transform(regexp_extra
 kw AS (SELECT query_id, query, list_filter(ks, lambda x, i: list_position(ks, x) = i) AS kw FROM kw0)"""
 TOKENS = "toks AS (SELECT id, list_distinct(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x))) AS tokens, lower(text) AS low FROM chunks)"
 FTS = """ft AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS ts FROM chunks),
-post AS (SELECT id, term, len(any_value(ts)) AS dl, count(*) AS tf FROM (SELECT id, ts, unnest(ts) AS term FROM ft) GROUP BY id, term),
+post AS MATERIALIZED (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM ft) GROUP BY id, term, dl),
 qt AS (SELECT query_id, unnest(kw[1:24]) AS term FROM kw),
 stats AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM (SELECT DISTINCT id, dl FROM post)),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -32,9 +32,9 @@ SUB = """sub AS (SELECT query_id, id FROM kw JOIN (SELECT t.id, low, uploaded_at
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY uploaded_at DESC, id DESC) <= 240)"""
 CSTOP = ", ".join(f"'{w}'" for w in G.CONCEPT_STOP)
 CT = f"""w AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN ({CSTOP})) AS w FROM chunks),
-a AS (SELECT id, w, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
+a AS (SELECT id, unnest(w) AS t, unnest(w[2:]) AS u, unnest(range(len(w))) AS i FROM w),
 s1 AS (SELECT id, t, round(sum(1.0::DOUBLE + CASE WHEN i < 8 THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN length(t) >= 4 THEN 0.15::DOUBLE ELSE 0 END), 4) AS s, min(i) AS first FROM a GROUP BY id, t),
-s2 AS (SELECT id, t2 AS t, round(sum(1.25::DOUBLE + CASE WHEN i < 6 THEN 0.25::DOUBLE ELSE 0 END + 0.10::DOUBLE), 4) AS s FROM (SELECT id, i, t || ' ' || w[i + 2] AS t2 FROM a WHERE i + 1 < len(w)) WHERE length(t2) >= 4 GROUP BY id, t2),
+s2 AS (SELECT id, t2 AS t, round(sum(1.25::DOUBLE + CASE WHEN i < 6 THEN 0.25::DOUBLE ELSE 0 END + 0.10::DOUBLE), 4) AS s FROM (SELECT id, i, t || ' ' || u AS t2 FROM a WHERE u IS NOT NULL) WHERE length(t2) >= 4 GROUP BY id, t2),
 r1 AS (SELECT *, first < 3 AS lead, row_number() OVER (PARTITION BY id, first < 3 ORDER BY s DESC, length(t) DESC, t DESC) AS n, sum((first < 3)::INT) OVER (PARTITION BY id) AS leads FROM s1),
 o AS (SELECT id, t, CASE WHEN lead THEN 0 WHEN n <= greatest(1, 3 - leads) THEN 1 ELSE 3 END AS b, CASE WHEN lead THEN first ELSE n END AS o FROM r1
   UNION ALL SELECT id, t, 2, row_number() OVER (PARTITION BY id ORDER BY s DESC, length(t) DESC, t DESC) FROM s2),
