@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,10 +51,21 @@ def clear(spark: SparkSession) -> None:
 
 def cut(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives executors."""
+    return cut_at(df, label, options)[0]
+
+
+def cut_at(df: DataFrame, label: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """As ``cut``, with the folder of the table."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options or {}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``cut_at`` wrote and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -147,6 +159,15 @@ def slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def windows(raw: bytes, gap: re.Pattern, most: int = 1 << 22) -> Iterator[bytes]:
+    """raw in parts of about ``most`` bytes, cut where ``gap`` (a pattern of one byte) matches, so that no word is cut."""
+    lo = 0
+    while len(raw) - lo > most and (m := gap.search(raw, lo + most)):
+        yield raw[lo : m.start()]
+        lo = m.start()
+    yield raw[lo:] if lo else raw
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (invertible)."""
     h = h ^ (h >> np.uint64(33))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fixity, html_extract, langid, line_dedup, media, mixing, near_dedup, quality
+from docloom.llm import bpe, exact_dedup, fixity, html_extract, langid, lexical, line_dedup, media, mixing, near_dedup, quality
 from docloom.llm.common import crc_mod, table
 
 
@@ -67,6 +67,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -79,8 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
         "op10_media": op10_media,
+        "op11_lexical": op11_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op5_fixity": fixity.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op5_fixity": fixity.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_lexical": lexical.ORACLE}
