@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fixity, html_extract, langid, lexical, line_dedup, media, mixing, near_dedup, quality
+from docloom.llm import bpe, codes, exact_dedup, fixity, html_extract, langid, lexical, line_dedup, media, mixing, near_dedup, quality, simhash
 from docloom.llm.common import crc_mod, table
 
 
@@ -71,6 +71,14 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -84,8 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_media": op10_media,
         "op11_lexical": op11_lexical,
+        "op12_codes": op12_codes,
+        "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op5_fixity": fixity.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_lexical": lexical.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op5_fixity": fixity.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_lexical": lexical.ORACLE, "op12_codes": codes.ORACLE}
