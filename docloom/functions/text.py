@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 TOKEN = "[0-9A-Za-zㄱ-ㆎ가-힣]+"
 GATE_TOKEN = "[0-9A-Za-z가-힣]+"
 PACK_TOKEN = "[0-9A-Za-z_]+"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with")
+STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "what", "how", "when", "where", "which", "guide", "manual", "summary", "document", "upload")
 SPACE = r"(?U)\s+"
 
 
+def strip(c) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def text(c) -> Column:
     """Null is the empty string."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -13,7 +13,7 @@ from docloom.functions import text as T
 from docloom.settings import DEFAULTS, Settings
 
 # fixed values: words that are no concepts, and aliases of question words
-CONCEPT_STOP = (*T.STOP_WORDS, "document", "file", "upload", "content", "info")
+CONCEPT_STOP = ("guide", "manual", "summary", "question", "answer", "document", "file", "upload", "content", "info")
 QUERY_ALIASES = {"답례품": ("지급단가", "단가", "금액", "답례품"), "얼마": ("지급단가", "단가", "금액"), "농어가경제조사": ("농가경제조사", "농어가경제조사")}
 PARENT = "상위개념"
 
@@ -24,9 +24,13 @@ def concept_terms(chunks: DataFrame, most: int = DEFAULTS.concept_terms) -> Data
     The first three distinct words lead; then words by score (1, early +0.35, four characters or more +0.15 per
     occurrence) until max(2, most / 2); then two-word phrases (1.25, early +0.25, +0.10) before words.
     """
-    words = chunks.select("id", F.filter(T.tokens("text"), lambda t: ~t.isin(*CONCEPT_STOP)).alias("w")).filter(F.size("w") > 0)
+    return concept_terms_of(chunks.select("id", F.filter(T.tokens("text"), lambda t: ~t.isin(*CONCEPT_STOP)).alias("w")), most)
+
+
+def concept_terms_of(words: DataFrame, most: int = DEFAULTS.concept_terms) -> DataFrame:
+    """The same from the words of each row (id, w)."""
     # dealt by id once, so that nothing below is shuffled again
-    at = words.repartition("id").select("id", "w", F.posexplode("w").alias("i", "t"))
+    at = words.filter(F.size("w") > 0).repartition("id").select("id", "w", F.posexplode("w").alias("i", "t"))
     early = lambda n, more: F.when(F.col("i") < n, more).otherwise(0.0)
     single = at.select("id", "i", "t", F.lit(1).alias("k"), (1.0 + early(8, 0.35) + F.when(F.length("t") >= 4, 0.15).otherwise(0.0)).alias("s"))
     second = F.element_at("w", F.col("i") + 2)

@@ -1,10 +1,10 @@
 """Hybrid retrieval for batches of questions.
 
-Texts are matched through postings, never by joining questions with texts: full-text and overlap tokens are
-equi-joined; a term occurs inside a text exactly where it occurs inside one of its tokens, so substring
-matches are found in the vocabulary (by a shared n-gram) and taken to the rows through the postings. Only the
-postings of the questions' terms are kept; candidates, whose number per question is bounded, are written once, and
-all that looks at texts reads the rows of candidates only.
+Texts are matched through the postings of a stored index, never by joining questions with texts: full-text and overlap
+tokens are equi-joined; a term occurs inside a text exactly where it occurs inside one of its tokens, so substring
+matches are found in the vocabulary (by a shared n-gram) and taken to the rows through the postings. The terms of a batch
+of questions have numbers, and a row's are gathered once: substring candidates and lexical scores come from these.
+Candidates, whose number per question is bounded, are written once.
 """
 
 from __future__ import annotations
@@ -15,89 +15,74 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import rules
+from docloom.operators.index import BROADCAST_TERMS, Index, build, small, vocabulary_grams
 from docloom.operators.ingest import name_aliases
 from docloom.settings import DEFAULTS, Settings
 from docloom.tables import cut
 
-#: Terms of a batch of questions that are broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
-
-
 def with_keywords(questions: DataFrame) -> DataFrame:
     """questions (query_id, query) with their keywords."""
     return questions.withColumn("kw", T.keywords("query"))
 
 
-def overlap_postings(chunks: DataFrame) -> DataFrame:
-    """id, token: distinct overlap tokens (of any length) of each row."""
-    return chunks.select("id", F.explode(F.array_distinct(F.transform(T.extract_all("text", T.TOKEN), lambda t: F.lower(t)))).alias("token"))
-
-
-def _small(terms: DataFrame) -> DataFrame:
-    """Distinct terms, broadcast while they are few."""
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-
-
-def fts_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """id, term, tf of each row; of ``terms`` (distinct, column term) only if given."""
-    words = chunks.select("id", F.explode(T.fts_tokens("text")).alias("term"))
-    if terms is not None:
-        words = words.join(_small(terms), "term")
-    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+def numbered_terms(questions: DataFrame) -> DataFrame:
+    """term, no: the distinct keywords of a batch of questions."""
+    return cut(questions.select(F.explode("kw").alias("term")).distinct().withColumn("no", F.monotonically_increasing_id()), "batch-terms")
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """id, dl: full-text tokens of the rows that have any."""
-    return chunks.select("id", T.fts_length("text").alias("dl")).filter("dl > 0")
 
-
-def fts_candidates(questions: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.fts_terms) -> DataFrame:
-    """query_id, id, rank by BM25 over the postings of the questions' terms; questions have their keywords."""
-    wanted = cut(questions.select(F.explode(F.slice("kw", 1, terms)).alias("term")).distinct(), "fts-terms")
-    return bm25(questions, cut(fts_postings(chunks, wanted), "fts-postings"), cut(lengths(chunks), "fts-lengths"), limit, terms=terms)
-
-
-def bm25(questions: DataFrame, postings: DataFrame, sizes: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
+def bm25(questions: DataFrame, index: Index, limit: int, k1: float = 1.2, b: float = 0.75, terms: int = DEFAULTS.fts_terms) -> DataFrame:
     """query_id, id, rank: the best ``limit`` rows by BM25 of up to ``terms`` keywords each (idf floored at 1e-6)."""
-    q = questions.select("query_id", F.explode(F.slice("kw", 1, terms)).alias("term"))
-    wanted = postings.join(q.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
-    hits = wanted.join(df, "term").join(sizes, "id").join(F.broadcast(size))  # one row
+    q = cut(questions.select("query_id", F.explode(F.slice("kw", 1, terms)).alias("term")), "fts-terms")
+    postings = index.words.join(small(q.select("term").distinct()), "term")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = index.rows.filter("dl > 0").agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avg_dl"))
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(1e-6)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = hits.select("id", "term", weight.alias("w")).join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("bm25"))
+    q = cut(q.join(df, "term").join(F.broadcast(size)).select("query_id", "term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avg_dl"), "fts-asked")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    scored = index.words.join(small(q), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("bm25"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bm25").desc(), F.col("id").desc()))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= max(8, limit)).select("query_id", "id", "rank")
 
 
+def terms_inside(terms: DataFrame, grams: DataFrame) -> DataFrame:
+    """token, exact, nos: for tokens of the vocabulary the number of the term that they are (null if none), and of all terms (term, no) that stand in them."""
+    keyed = cut(terms.withColumn("gram", F.substring("term", 1, 3)), "inside-terms")
+    found = grams.join(small(keyed), "gram").filter(F.instr(F.col("token"), F.col("term")) > 0)
+    return cut(found.groupBy("token").agg(F.max(F.when(F.col("token") == F.col("term"), F.col("no"))).alias("exact"), F.collect_set("no").alias("nos")), "inside-found")
+
+
+def rows_of_terms(terms: DataFrame, index: Index) -> DataFrame:
+    """id, exact, inside: numbers of the batch's terms that are tokens of a row, and that occur in its text. At most the batch's terms for each row."""
+    hits = index.tokens.join(small(terms_inside(terms, index.grams)), "token")
+    return hits.groupBy("id").agg(F.collect_set("exact").alias("exact"), F.array_distinct(F.flatten(F.collect_list("nos"))).alias("inside"))
+
+
 def substring_hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """term, id: rows in whose lower-case text the term (of token characters) occurs. terms: distinct ``term`` rows of two characters or more."""
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - n + 1, F.lit(1))), lambda i: F.substring(F.col("token"), i, F.lit(n)))
-    vocabulary = postings.select("token").distinct().filter(F.length("token") >= 2)
-    keyed = cut(terms.select("term", F.substring("term", 1, 3).alias("gram")).distinct().withColumn("no", F.monotonically_increasing_id()), "sub-terms")
-    # grams of the vocabulary that no term begins with go before anything is joined with a term
-    grams = vocabulary.select("token", F.explode(F.array_distinct(F.concat(gram(2), gram(3)))).alias("gram")).join(_small(keyed.select("gram").distinct()), "gram")
-    found = grams.join(_small(keyed), "gram").filter(F.instr(F.col("token"), F.col("term")) > 0)
-    found = cut(found.groupBy("token").agg(F.collect_set("no").alias("nos")), "sub-found")
+    """term, id: rows in whose lower-case text the term (of token characters) occurs. terms: distinct ``term`` rows of two characters or more; postings: id, token."""
+    keyed = cut(terms.select("term").distinct().withColumn("no", F.monotonically_increasing_id()), "sub-terms")
+    found = terms_inside(keyed, vocabulary_grams(postings))
     # a row's terms are gathered by number before they move
-    rows = postings.join(_small(found), "token").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
-    return rows.select("id", F.explode("nos").alias("no")).join(_small(keyed.select("no", "term")), "no").select("term", "id")
+    rows = postings.join(small(found), "token").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
+    return rows.select("id", F.explode("nos").alias("no")).join(small(keyed), "no").select("term", "id")
+
 
+def overlap_postings(chunks: DataFrame) -> DataFrame:
+    """id, token: distinct overlap tokens (of any length) of each row."""
+    return chunks.select("id", F.explode(F.array_distinct(F.transform(T.extract_all("text", T.TOKEN), lambda t: F.lower(t)))).alias("token"))
 
-def substring_candidates(questions: DataFrame, hits: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.substring_terms) -> DataFrame:
-    """query_id, id: the newest rows that hold any of the first ``terms`` keywords."""
-    q = questions.select("query_id", F.explode(F.slice("kw", 1, terms)).alias("term"))
-    rows = q.join(hits, "term").select("query_id", "id").distinct().join(chunks.select("id", "uploaded_at"), "id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("uploaded_at").desc(), F.col("id").desc()))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= max(8, limit)).select("query_id", "id")
 
+def substring_candidates(questions: DataFrame, terms: DataFrame, held: DataFrame, index: Index, limit: int, most: int = DEFAULTS.substring_terms) -> DataFrame:
+    """query_id, id: the newest rows that hold any of the first ``most`` keywords. held: rows_of_terms.
 
-def near_candidates(questions: DataFrame, chunks: DataFrame, limit: int, terms: int = DEFAULTS.substring_terms) -> DataFrame:
-    """query_id, id: the newest rows in which one of the questions' first keywords occurs."""
-    hits = substring_hits(questions.select(F.explode(F.slice("kw", 1, terms)).alias("term")).distinct(), overlap_postings(chunks))
-    return substring_candidates(questions, hits, chunks, limit, terms)
+    The newest rows of a question are among the newest of its terms, so every term gives at most ``limit`` rows before questions are joined.
+    """
+    q = questions.select("query_id", F.explode(F.slice("kw", 1, most)).alias("term")).join(small(terms), "term").select("query_id", "no")
+    q = cut(q, "sub-asked")
+    newest = lambda key: F.row_number().over(W.partitionBy(key).orderBy(F.col("uploaded_at").desc(), F.col("id").desc()))
+    rows = held.select("id", F.explode("inside").alias("no")).join(small(q.select("no").distinct()), "no").join(index.rows.select("id", "uploaded_at"), "id")
+    rows = cut(rows.withColumn("rank", newest("no")).filter(F.col("rank") <= max(8, limit)).drop("rank"), "sub-newest")
+    rows = rows.join(q, "no").select("query_id", "id", "uploaded_at").distinct()
+    return rows.withColumn("rank", newest("query_id")).filter(F.col("rank") <= max(8, limit)).select("query_id", "id")
 
 
 def spread(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -118,6 +103,13 @@ def lexical_score(kw: Column, tokens: Column, low: Column, bonus: float = DEFAUL
     return F.when((F.size(kw) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.least(F.lit(1.0), overlap + extra))
 
 
+def lexical_share(asked: Column, long: Column, exact: Column, inside: Column, bonus: float = DEFAULTS.substring_bonus) -> Column:
+    """The same from numbers of terms: the question's, those of three characters or more, and the row's (see rows_of_terms)."""
+    n = F.size(asked)
+    extra = F.least(F.lit(bonus), bonus * F.size(F.array_intersect(long, inside)) / n)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(asked, exact)) / n + extra))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -253,17 +245,18 @@ def tabular_features(text, source_type: Column, page_parser: Column, table_like:
     return F.struct(T.any_in(v, rules.TABLE_MARKS).alias("marked"), summary.alias("summary"), aliased.alias("aliased"), (paged & (summary | page_parser.startswith("paddleocr") | table_like)).alias("page"), _headers(v).alias("headers"))
 
 
-def tabular_score(numeric: Column, headers: Column, t: Column, query, text) -> Column:
-    """Boost from the question's part (does it ask for figures? its header words) and the text's."""
+def tabular_score(numeric: Column, headers: Column, t: Column, alias: Column) -> Column:
+    """Boost from the question's part (does it ask for figures? its header words), the text's, and what their aliases add."""
     shared = F.size(F.array_intersect(headers, t["headers"]))
     header = F.when(shared > 0, F.least(F.lit(0.12), 0.03 * shared)).when(t["summary"] & t["marked"], 0.06).otherwise(0.0)
-    more = F.when(t["marked"], 0.08).otherwise(0.0) + F.when(t["summary"], 0.06).otherwise(0.0) + header + F.when(t["aliased"], alias_boost(query, text)).otherwise(0.0) + F.when(t["page"], 0.03).otherwise(0.0)
+    more = F.when(t["marked"], 0.08).otherwise(0.0) + F.when(t["summary"], 0.06).otherwise(0.0) + header + alias + F.when(t["page"], 0.03).otherwise(0.0)
     return F.when(t["marked"] & t["summary"], 0.08).otherwise(0.0) + F.when(numeric, more).otherwise(0.0)
 
 
 def tabular_boost(query, text, source_type: Column, page_parser: Column, table_like: Column) -> Column:
     """Boost of table texts, above all for questions that ask for figures."""
-    return tabular_score(rules.numeric_question(query), _headers(query), tabular_features(text, source_type, page_parser, table_like), query, text)
+    t = tabular_features(text, source_type, page_parser, table_like)
+    return tabular_score(rules.numeric_question(query), _headers(query), t, F.when(t["aliased"], alias_boost(query, text)).otherwise(0.0))
 
 
 def weak_penalty(weak: Column, signal: Column) -> Column:
@@ -271,12 +264,12 @@ def weak_penalty(weak: Column, signal: Column) -> Column:
     return F.when(weak & (signal <= 0.001), 0.08).when(weak & (signal <= 0.03), 0.04).otherwise(0.0)
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, budget: int, concept: DataFrame | None = None, ontology: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+def candidates(questions: DataFrame, index: Index, terms: DataFrame, held: DataFrame, budget: int, concept: DataFrame | None = None, ontology: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """query_id, id and the scores fts, concept, ontology of the rows that any generator finds. questions have their keywords."""
     zero = F.lit(0.0)
     parts = [
-        fts_candidates(questions, chunks, budget, s.fts_terms).select("query_id", "id", F.lit(1.0).alias("fts"), zero.alias("concept"), zero.alias("ontology")),
-        near_candidates(questions, chunks, budget, s.substring_terms).select("query_id", "id", zero.alias("fts"), zero.alias("concept"), zero.alias("ontology")),
+        bm25(questions, index, budget, terms=s.fts_terms).select("query_id", "id", F.lit(1.0).alias("fts"), zero.alias("concept"), zero.alias("ontology")),
+        substring_candidates(questions, terms, held, index, budget, s.substring_terms).select("query_id", "id", zero.alias("fts"), zero.alias("concept"), zero.alias("ontology")),
     ]
     if concept is not None:
         parts.append(concept.select("query_id", "id", zero.alias("fts"), F.col("score").alias("concept"), zero.alias("ontology")))
@@ -288,48 +281,56 @@ def candidates(questions: DataFrame, chunks: DataFrame, budget: int, concept: Da
     return rows.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("fts", "concept", "ontology")])
 
 
-def search(
-    questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None,
+def asked_features(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """What scores need of a question: its terms by number, anchors (digits and others), codes, hints. One row for each question that has its keywords."""
+    numbers = questions.select("query_id", F.explode("kw").alias("term")).join(small(terms), "term").groupBy("query_id").agg(F.collect_list("no").alias("nos"), F.collect_list(F.when(F.length("term") >= 3, F.col("no"))).alias("longs"))
+    none = F.array().cast("array<bigint>")
+    digit = lambda x: x.rlike("^[0-9]+$")
+    q = questions.withColumn("lits", literals("query")).join(numbers, "query_id", "left")
+    return q.select(
+        "query_id", "query", "kw", F.coalesce("nos", none).alias("nos"), F.coalesce("longs", none).alias("longs"), F.size("lits").alias("n_lits"), F.filter("lits", digit).alias("digit_lits"), F.filter("lits", lambda x: ~digit(x)).alias("text_lits"),
+        codes("query").alias("asked_codes"), T.any_in(T.compact("query"), CODE_HINTS).alias("asks"), rules.numeric_question("query").alias("numeric"), _headers("query").alias("asked_headers"),
+    )
+
+
+def scored(
+    questions: DataFrame, index: Index, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None,
     boosts: DataFrame | None = None, roles: tuple[str, ...] = (), s: Settings = DEFAULTS, top_k: int | None = None,
 ) -> DataFrame:
-    """The fused ranking: query_id, id, rank, score and a column for each component.
+    """All candidates of a batch of questions with the components of their score and their rank (see search).
 
-    questions: query_id, query. chunks: id, text, uploaded_at, is_normalized, and if they have them heading (text of the heading path),
-    source_type, page_parser, table_like, doc_role. concept, ontology: query_id, id, score. boosts: id, boost. roles: only these are ranked.
+    Rows are scored from the index; chunks (id, text) are read only for pairs whose question has an anchor that isn't a
+    number, or asks for figures and meets a table text.
     """
     top_k = top_k or s.top_k
     target = max(s.candidates, top_k, 6 * top_k if roles else 0)
     q = cut(with_keywords(questions), "search-questions")
-    found = cut(candidates(q, chunks, max(2 * target, 4 * top_k), concept, ontology, s), "search-candidates")
+    terms = numbered_terms(q)
+    held = cut(rows_of_terms(terms, index), "search-held")
+    found = cut(candidates(q, index, terms, held, max(2 * target, 4 * top_k), concept, ontology, s), "search-candidates")
     semantic = dense(query_vectors, vectors, found, target)
     rows = found.join(semantic, ["query_id", "id"], "left").na.fill(0.0, ["semantic"])
-    fts_w = F.when(F.max("fts").over(W.partitionBy("query_id")) > 0, s.fts_weight).otherwise(0.0)
-    rows = rows.withColumn("fts_w", fts_w)
-    own = lambda name, default: F.col(name) if name in chunks.columns else F.lit(default).alias(name)
-    # what depends on the row alone is computed once for each row that is a candidate
-    body = chunks.join(found.select("id").distinct(), "id", "left_semi")
+    rows = rows.withColumn("fts_w", F.when(F.max("fts").over(W.partitionBy("query_id")) > 0, s.fts_weight).otherwise(0.0))
+    body = index.rows.join(found.select("id").distinct(), "id", "left_semi")
     if roles:
         body = body.filter(F.col("doc_role").isin(*roles))
-    low = F.lower(T.text("text"))
-    body = body.select("id", "text", "uploaded_at", "is_normalized", own("heading", ""), own("source_type", ""), own("page_parser", ""), own("table_like", False))
-    body = body.select(
-        "id", "uploaded_at", "is_normalized", low.alias("low"), F.array_distinct(T.tokens("text")).alias("tokens"), F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)).alias("digits"), codes("text").alias("codes"),
-        F.lower("heading").alias("heading"), F.array_distinct(T.tokens("heading")).alias("heads"), recency(F.col("uploaded_at"), s.now_ts, s.half_life_days).alias("recency"),
-        rules.weak_hint("text").alias("weak"), tabular_features("text", F.col("source_type"), F.col("page_parser"), F.col("table_like")).alias("table"),
-    )
+    none = F.array().cast("array<bigint>")
+    body = body.join(held, "id", "left").withColumns({"exact": F.coalesce("exact", none), "inside": F.coalesce("inside", none)})
+    body = body.join(boosts.select("id", F.col("boost").alias("memory")), "id", "left").na.fill(0.0, ["memory"]) if boosts is not None else body.withColumn("memory", F.lit(0.0))
     body = cut(body, "search-rows")
-    if boosts is not None:
-        body = body.join(boosts.select("id", F.col("boost").alias("memory")), "id", "left").na.fill(0.0, ["memory"])
-    else:
-        body = body.withColumn("memory", F.lit(0.0))
-    asked = q.select("query_id", "query", "kw", literals("query").alias("lits"), codes("query").alias("asked_codes"), T.any_in(T.compact("query"), CODE_HINTS).alias("asks"), rules.numeric_question("query").alias("numeric"), _headers("query").alias("asked_headers"))
-    asked = cut(asked, "search-asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS // 50 else asked
+    asked = cut(asked_features(q, terms), "search-asked")
+    asked = small(asked, BROADCAST_TERMS // 50)
     rows = spread(rows).join(asked, "query_id").join(body, "id")
+    textual = (F.size("text_lits") > 0) | F.col("numeric") & F.col("table.aliased")
+    near = rows.filter(textual).select("query_id", "id", "query", "text_lits", F.col("table.aliased").alias("aliased")).join(chunks.select("id", F.lower(T.text("text")).alias("low")), "id")
+    near = near.select("query_id", "id", F.size(F.filter("text_lits", lambda x: F.col("low").contains(x))).alias("text_hits"), F.when(F.col("aliased"), alias_boost("query", "low")).otherwise(0.0).alias("alias"))
+    rows = rows.join(near, ["query_id", "id"], "left").na.fill(0, ["text_hits"]).na.fill(0.0, ["alias"])
+    literal = F.when(F.col("n_lits") > 0, (F.size(F.array_intersect("digit_lits", "digits")) + F.col("text_hits")) / F.col("n_lits")).otherwise(0.0)
     heading = lexical_score(F.col("kw"), F.col("heads"), F.col("heading"), s.substring_bonus)
     rows = rows.withColumns({
-        "lexical": lexical_score(F.col("kw"), F.col("tokens"), F.col("low"), s.substring_bonus), "literal": literal_share(F.col("low"), F.col("digits"), F.col("lits")), "code": code_level(F.col("asks"), F.col("asked_codes"), F.col("codes")),
-        "structure": F.least(F.lit(s.structure_boost), s.structure_boost * heading), "tabular": tabular_score(F.col("numeric"), F.col("asked_headers"), F.col("table"), "query", "low"),
+        "lexical": lexical_share(F.col("nos"), F.col("longs"), F.col("exact"), F.col("inside"), s.substring_bonus), "literal": literal, "code": code_level(F.col("asks"), F.col("asked_codes"), F.col("codes")),
+        "structure": F.least(F.lit(s.structure_boost), s.structure_boost * heading), "tabular": tabular_score(F.col("numeric"), F.col("asked_headers"), F.col("table"), F.col("alias")),
+        "recency": recency(F.col("uploaded_at"), s.now_ts, s.half_life_days),
     })
     weak = weak_penalty(F.col("weak"), F.greatest("concept", "semantic", "fts", "lexical", "literal"))
     score = (
@@ -339,5 +340,18 @@ def search(
     )
     rows = rows.withColumn("score", F.round(score, 6))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("uploaded_at").desc(), F.col("id").desc()))
-    keep = ["query_id", "id", "rank", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "structure", "memory", "tabular", "code", "uploaded_at"]
-    return cut(rows.select([c for c in keep if c != "rank"]).withColumn("rank", rank).filter(F.col("rank") <= top_k).select(keep), "search-ranked")
+    keep = ["query_id", "id", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "structure", "memory", "tabular", "code", "uploaded_at"]
+    return cut(rows.select(keep).withColumn("rank", rank), "search-scored")
+
+
+def search(
+    questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None,
+    boosts: DataFrame | None = None, roles: tuple[str, ...] = (), s: Settings = DEFAULTS, top_k: int | None = None, index: Index | None = None,
+) -> DataFrame:
+    """The fused ranking: query_id, id, rank, score and a column for each component.
+
+    questions: query_id, query. chunks: as for index.build, which is called if no index is given. concept, ontology: query_id, id, score.
+    boosts: id, boost. roles: only these are ranked.
+    """
+    top_k = top_k or s.top_k
+    return scored(questions, index or build(chunks), chunks, query_vectors, vectors, concept, ontology, boosts, roles, s, top_k).filter(F.col("rank") <= top_k)

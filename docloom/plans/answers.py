@@ -25,7 +25,7 @@ def _expected(spark, sf):
     from docloom.operators import retrieval as R
 
     q, c = C.questions(spark, sf), C.chunks(spark, sf)
-    postings = R.overlap_postings(c)
+    postings = P.index(spark, sf).tokens
     kw = R.with_keywords(q).select("query_id", "query", F.explode("kw").alias("token"))
     df = postings.join(kw.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     rare = F.row_number().over(W.partitionBy("query_id").orderBy("count", "token"))

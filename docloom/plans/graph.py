@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import graph as G
 from docloom.plans.registry import query
-from docloom.plans.retrieval import CT, FS, GEN, KW, concepts
+from docloom.plans.retrieval import CT, FS, GEN, KW, QTERMS, concepts
 from docloom.sources import carriers as C
 
 @query("concept_terms", "SELECT id, n::INT AS n, term, round(weight, 6) AS weight FROM cterms", (C.CHUNKS, CT))
@@ -20,13 +20,13 @@ def concept_sync(spark, sf):
     return G.concept_edges(G.concept_terms(C.chunks(spark, sf))).withColumn("weight", F.round("weight", 6))
 
 
-@query("gen_concept", GEN, (C.CHUNKS, CT, C.QUESTIONS, KW))
+@query("gen_concept", GEN, (C.CHUNKS, CT, C.QUESTIONS, KW, QTERMS))
 def gen_concept(spark, sf):
     return concepts(spark, sf).select("query_id", "id", "score")
 
 
-@query("join_concept_edges", """SELECT query_id, id, list(concept ORDER BY weight DESC, concept)[1:4] AS labels FROM (SELECT query_id, unnest(kw) AS concept FROM kw) JOIN edges USING (concept) GROUP BY query_id, id
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(weight), 6) DESC, id) <= 240""", (C.CHUNKS, CT, C.QUESTIONS, KW))
+@query("join_concept_edges", """SELECT query_id, id, list(concept ORDER BY weight DESC, concept)[1:4] AS labels FROM qterms JOIN edges USING (concept) GROUP BY query_id, id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(weight), 6) DESC, id) <= 240""", (C.CHUNKS, CT, C.QUESTIONS, KW, QTERMS))
 def join_concept_edges(spark, sf):
     return concepts(spark, sf).select("query_id", "id", "labels")
 

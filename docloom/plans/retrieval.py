@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import answers as A
 from docloom.operators import graph as G
+from docloom.operators import index as I
 from docloom.operators import retrieval as R
 from docloom.operators import rules
 from docloom.plans.registry import query
 from docloom.settings import DEFAULTS
 from docloom.sources import carriers as C
-from docloom.tables import cut
+from docloom.tables import cut, stored
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 # keywords in order, first of equals
@@ -31,7 +32,7 @@ fts AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY b
 SUB = """sub AS (SELECT query_id, id FROM kw JOIN (SELECT t.id, low, uploaded_at FROM toks t JOIN chunks c ON t.id = c.id) ON len(list_filter(kw[1:6], lambda k: contains(low, k))) > 0
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY uploaded_at DESC, id DESC) <= 240)"""
 CSTOP = ", ".join(f"'{w}'" for w in G.CONCEPT_STOP)
-CT = f"""w AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN ({CSTOP})) AS w FROM chunks),
+CT = f"""w AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN ({CSTOP})) AS w FROM @SOURCE),
 a AS (SELECT id, unnest(w) AS t, unnest(w[2:]) AS u, unnest(range(len(w))) AS i FROM w),
 s1 AS (SELECT id, t, round(sum(1.0::DOUBLE + CASE WHEN i < 8 THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN length(t) >= 4 THEN 0.15::DOUBLE ELSE 0 END), 4) AS s, min(i) AS first FROM a GROUP BY id, t),
 s2 AS (SELECT id, t2 AS t, round(sum(1.25::DOUBLE + CASE WHEN i < 6 THEN 0.25::DOUBLE ELSE 0 END + 0.10::DOUBLE), 4) AS s FROM (SELECT id, i, t || ' ' || u AS t2 FROM a WHERE u IS NOT NULL) WHERE length(t2) >= 4 GROUP BY id, t2),
@@ -40,9 +41,13 @@ o AS (SELECT id, t, CASE WHEN lead THEN 0 WHEN n <= greatest(1, 3 - leads) THEN
   UNION ALL SELECT id, t, 2, row_number() OVER (PARTITION BY id ORDER BY s DESC, length(t) DESC, t DESC) FROM s2),
 cterms AS (SELECT id, n, term, greatest(0.15::DOUBLE, 1 - 0.12::DOUBLE * (n - 1)) AS weight FROM (SELECT id, t AS term, row_number() OVER (PARTITION BY id ORDER BY b, o) AS n FROM o) WHERE n <= 6),
 edges AS (SELECT id, regexp_replace(term, '\\s+', '', 'g') AS concept, min(weight) AS weight FROM cterms GROUP BY ALL)""".replace("\\\\", "\\")
+# the concepts that questions name: their own terms, or their keywords where they have none
+QTERMS = "qterms AS (WITH " + CT.replace("@SOURCE", "(SELECT query_id AS id, query AS text FROM questions)") + """ SELECT id AS query_id, concept FROM edges UNION ALL
+  SELECT query_id, unnest(kw[1:6]) FROM kw WHERE query_id NOT IN (SELECT id FROM edges))"""
+CT = CT.replace("@SOURCE", "chunks")
 
 
-GEN = """SELECT query_id, id, round(score, 6) AS score FROM (SELECT query_id, id, max(weight) AS score FROM (SELECT query_id, unnest(kw) AS concept FROM kw) JOIN edges USING (concept) GROUP BY ALL)
+GEN = """SELECT query_id, id, round(score, 6) AS score FROM (SELECT query_id, id, max(weight) AS score FROM qterms JOIN edges USING (concept) GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 240"""
 
 
@@ -59,7 +64,7 @@ sc AS (SELECT query_id, fact_id, CASE WHEN d > 0 THEN 1 ELSE 2 END AS hops, leas
 fs AS (SELECT query_id, fact_id, hops, round(CASE WHEN hops = 2 THEN base * 0.72::DOUBLE ELSE base END, 6) AS score FROM sc),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id DESC) AS rank FROM fs QUALIFY rank <= 20)"""
 # candidates of concepts and facts, each with its own chain of tables
-GCON = f"gcon AS (WITH {CT} {GEN})"
+GCON = f"{QTERMS}, gcon AS (WITH {CT} {GEN})"
 ONTO = f"onto AS (WITH fq AS (SELECT query_id, query FROM questions), {FS} SELECT query_id, chunk_id AS id, max(score) AS score FROM fr JOIN facts USING (fact_id) GROUP BY query_id, chunk_id)"
 CAND = f"{GCON}, {ONTO}, cand AS (SELECT query_id, id FROM fts UNION SELECT query_id, id FROM sub UNION SELECT query_id, id FROM gcon UNION SELECT o.query_id, o.id FROM onto o JOIN chunks USING (id))"
 BOOST = """tg AS (SELECT 'chunk' AS kind, chunk_id::VARCHAR AS target, greatest(1, reused) AS w FROM answers WHERE status = 'published' AND reused > 0 AND chunk_id > 0
@@ -129,14 +134,28 @@ def _q(spark, sf):
     return R.with_keywords(C.questions(spark, sf))
 
 
+def index(spark, sf):
+    """The stored index of the chunks, built once for each version of their files."""
+    c = C.chunks(spark, sf)
+    return stored("index", [c], lambda: I.build(c))
+
+
 def query_vectors(spark, sf):
     return C.questions(spark, sf).join(C.vectors(spark, sf).withColumnRenamed("id", "query_id"), "query_id").select("query_id", "v", "dim")
 
 
+def question_concepts(spark, sf):
+    """query_id, concept, match: the concept terms of each question, or its first keywords where it has none."""
+    q = cut(_q(spark, sf), "concept-questions")
+    terms = G.concept_edges(G.concept_terms(q.select(F.col("query_id").alias("id"), F.col("query").alias("text")))).select(F.col("id").alias("query_id"), "concept")
+    terms = cut(terms, "concept-terms")
+    rest = q.join(terms.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(F.slice("kw", 1, DEFAULTS.concept_terms)).alias("concept"))
+    return terms.unionByName(rest).withColumn("match", F.lit(1.0))
+
+
 def concepts(spark, sf):
     """query_id, id, score, labels of the rows that share a concept with a question."""
-    terms = C.questions(spark, sf).select("query_id", F.explode(T.keywords("query")).alias("concept"), F.lit(1.0).alias("match"))
-    return G.concept_candidates(terms, G.concept_edges(G.concept_terms(C.chunks(spark, sf))), 240)
+    return G.concept_candidates(question_concepts(spark, sf), index(spark, sf).concepts, 240)
 
 
 def fact_candidates(spark, sf, questions):
@@ -161,15 +180,18 @@ def memory_boosts(spark, sf):
     return rows.select("id", F.round(F.least(F.lit(0.05), DEFAULTS.wiki_boost_weight * F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))), 6).alias("boost"))
 
 
-def candidate_rows(spark, sf):
-    """query_id, id of all generators, with their scores."""
-    q = C.questions(spark, sf)
-    return R.candidates(R.with_keywords(q), C.chunks(spark, sf), 240, concepts(spark, sf), fact_candidates(spark, sf, q))
+def ranking(spark, sf):
+    """All candidates of all questions with their scores and ranks: written once for each version of the tables, shared by the queries below."""
+    q, c, v = C.questions(spark, sf), C.chunks(spark, sf), C.vectors(spark, sf)
+
+    def make():
+        return R.scored(q, index(spark, sf), c, query_vectors(spark, sf), v, concepts(spark, sf), fact_candidates(spark, sf, q), memory_boosts(spark, sf))
+
+    return stored("ranking", [q, c, v, C.answers(spark, sf), C.hierarchy(spark, sf)], make)
 
 
 def hybrid(spark, sf, top_k=DEFAULTS.top_k):
-    q = C.questions(spark, sf)
-    return R.search(q, C.chunks(spark, sf), query_vectors(spark, sf), C.vectors(spark, sf), concepts(spark, sf), fact_candidates(spark, sf, q), memory_boosts(spark, sf), top_k=top_k)
+    return ranking(spark, sf).filter(F.col("rank") <= top_k)
 
 
 @query("gen_keywords", "SELECT query_id, kw FROM kw", BASE)
@@ -179,26 +201,24 @@ def gen_keywords(spark, sf):
 
 @query("gen_fts", "SELECT query_id, id, 1.0::DOUBLE AS score FROM fts", CHAIN[:6])
 def gen_fts(spark, sf):
-    return R.fts_candidates(_q(spark, sf), C.chunks(spark, sf), 240).select("query_id", "id", F.lit(1.0).alias("score"))
+    return R.bm25(_q(spark, sf), index(spark, sf), 240).select("query_id", "id", F.lit(1.0).alias("score"))
 
 
 @query("gen_substring", "SELECT query_id, id FROM sub", (*BASE, CHAIN[6]))
 def gen_substring(spark, sf):
-    return R.near_candidates(_q(spark, sf), C.chunks(spark, sf), 240)
+    ix, q = index(spark, sf), cut(_q(spark, sf), "sub-questions")
+    terms = R.numbered_terms(q.withColumn("kw", F.slice("kw", 1, DEFAULTS.substring_terms)))
+    return R.substring_candidates(q, terms, cut(R.rows_of_terms(terms, ix), "sub-held"), ix, 240)
 
 
 @query("set_candidate_union", "SELECT query_id, id FROM cand", CHAIN[:8])
 def set_candidate_union(spark, sf):
-    return candidate_rows(spark, sf).select("query_id", "id")
+    return ranking(spark, sf).select("query_id", "id")
 
 
 @query("sc_lexical", "SELECT query_id, id, round(lexical, 6) AS lexical FROM lex", CHAIN[:9])
 def sc_lexical(spark, sf):
-    found = cut(set_candidate_union(spark, sf), "lexical-candidates")
-    c = C.chunks(spark, sf).join(found.select("id").distinct(), "id", "left_semi")
-    c = c.select("id", F.array_distinct(T.tokens("text")).alias("tokens"), F.lower("text").alias("low"))
-    rows = R.spread(found).join(F.broadcast(_q(spark, sf)), "query_id").join(c, "id")
-    return rows.select("query_id", "id", F.round(R.lexical_score(F.col("kw"), F.col("tokens"), F.col("low")), 6).alias("lexical"))
+    return ranking(spark, sf).select("query_id", "id", F.round("lexical", 6).alias("lexical"))
 
 
 @query("gen_dense_brute", "SELECT query_id, id, round(semantic, 6) AS semantic FROM sem", CHAIN[:10])

@@ -130,7 +130,7 @@ def topk_grounded(spark, sf):
 def topk_fts(spark, sf):
     from docloom.operators import retrieval as X
 
-    return X.fts_candidates(X.with_keywords(C.questions(spark, sf)), C.chunks(spark, sf), 8)
+    return X.bm25(X.with_keywords(C.questions(spark, sf)), P.index(spark, sf), 8)
 
 
 @query("join_query_candidates", "SELECT query_id, id, min(pri)::INT AS generator FROM (SELECT query_id, id, 3 AS pri FROM fts UNION ALL SELECT query_id, id, 4 FROM sub) GROUP BY ALL", P.CHAIN[:8])
@@ -143,7 +143,7 @@ def join_query_candidates(spark, sf):
 def join_dense(spark, sf):
     from docloom.operators import retrieval as X
 
-    found = P.candidate_rows(spark, sf).select("query_id", "id")
+    found = P.set_candidate_union(spark, sf)
     return X.dense_pairs(P.query_vectors(spark, sf), C.vectors(spark, sf), found).select("query_id", "id", F.round("semantic", 6).alias("semantic"))
 
 
@@ -261,13 +261,6 @@ def st_retention(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
-@query("context_build", r"SELECT query_id, md5(string_agg('[DOC ' || rank::VARCHAR || '] ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 700), chr(10) ORDER BY rank)) AS context_md5 FROM res WHERE rank <= 8 GROUP BY query_id", P.RANKED24)
-def context_build(spark, sf):
-    item = F.struct("rank", F.concat(F.lit("[DOC "), F.col("rank").cast("string"), F.lit("] "), F.substring(T.collapse("text"), 1, 700)).alias("t"))
-    g = P.results(spark, sf).filter("rank <= 8").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
-    return g.select("query_id", F.md5(F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("context_md5"))
-
-
 @query("norm_xlsx", "SELECT doc_role, k AS question, list(id ORDER BY uploaded_at DESC, id DESC)[1:3] AS answers, greatest(0, count(*) - 3) AS additional FROM (SELECT *, section || ':' || source_path AS k FROM chunks WHERE source_type = 'xlsx') GROUP BY ALL", CH)
 def norm_xlsx(spark, sf):
     c = C.chunks(spark, sf).filter("source_type = 'xlsx'").withColumn("question", F.concat_ws(":", "section", "source_path"))

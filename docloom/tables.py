@@ -28,3 +28,33 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def version(*frames: DataFrame) -> str:
+    """A digest of the files that the frames read: their names, lengths and times of change."""
+    import hashlib
+
+    spark = frames[0].sparkSession
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in sorted({f for frame in frames for f in frame.inputFiles()}):
+        path = hadoop(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
+
+def stored(label: str, frames: list[DataFrame], make):
+    """What ``make`` builds from the frames (tables that it has cut): made once for each version of their files in an application, then shared."""
+    key = (frames[0].sparkSession.sparkContext.applicationId, label, version(*frames))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Let everything be made anew."""
+    _kept.clear()
