@@ -19,6 +19,11 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "what", "how"
 SPACE = r"(?U)\s+"
 
 
+def let(c: Column, use) -> Column:
+    """use(v) with v bound to c: evaluated once for each row, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def strip(c) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

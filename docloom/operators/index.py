@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import graph, rules
-from docloom.tables import cut
+from docloom.tables import cut, together
 
-#: Rows and terms of a batch of questions that are broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
+#: Largest table (by the plan's statistics; of a written table, its files) that is broadcast; more is joined as Spark sees fit.
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,9 @@ class Index:
         return Index(*[spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)])
 
 
-def small(terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """Broadcast while its rows are few (counted first)."""
-    return F.broadcast(terms) if terms.count() <= most else terms
+def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast if the size that the plan knows is within the limit."""
+    return F.broadcast(rows) if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else rows
 
 
 def ngrams(name: str, n: int) -> Column:
@@ -72,8 +72,13 @@ def build(chunks: DataFrame) -> Index:
     rows = read.select("id", "uploaded_at", "is_normalized", "doc_role", F.size("words").alias("dl"), "digits", "codes", "heads", "heading", "weak", "table")
     words = read.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     tokens = read.select("id", F.explode("tokens").alias("token"))
-    words = cut(words.repartitionByRange("term").sortWithinPartitions("term"), "index-words")
-    tokens = cut(tokens.repartitionByRange("token").sortWithinPartitions("token"), "index-tokens")
-    grams = cut(vocabulary_grams(tokens).repartitionByRange("gram").sortWithinPartitions("gram"), "index-grams")
-    concepts = cut(graph.concept_edges(graph.concept_terms_of(read.select("id", "w"))), "index-concepts")
-    return Index(cut(rows, "index-rows"), words, tokens, grams, concepts)
+
+    def postings() -> tuple[DataFrame, DataFrame]:
+        out = cut(tokens.repartitionByRange("token").sortWithinPartitions("token"), "index-tokens")
+        return out, cut(vocabulary_grams(out).repartitionByRange("gram").sortWithinPartitions("gram"), "index-grams")
+
+    (tokens, grams), words, concepts, rows = together(
+        postings, lambda: cut(words.repartitionByRange("term").sortWithinPartitions("term"), "index-words"),
+        lambda: cut(graph.concept_edges(graph.concept_terms_of(read.select("id", "w"))), "index-concepts"), lambda: cut(rows, "index-rows"),
+    )
+    return Index(rows, words, tokens, grams, concepts)

@@ -143,16 +143,22 @@ FACT_MARK = "표의미: kind=table_row"
 
 def name_aliases(c) -> Column:
     """The name, the parts around parentheses, and variants of names joined by a connector."""
-    v = T.collapse(c)
-    outer, inner = (F.trim(F.regexp_extract(v, r"^(.+?)\((.+?)\)$", k)) for k in (1, 2))
-    parts = F.filter(F.split(v, "[·ㆍ/]"), lambda x: x != "")
-    tail = F.element_at(parts, -1)
-    several = F.size(parts) >= 2
-    short = F.transform(F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) <= 2), lambda p: F.concat(p, F.substring(tail, 2, 10_000)))
-    joined = F.when(several, F.concat(F.array(F.regexp_replace(v, "[·ㆍ/]", "")), F.when(F.length(tail) >= 2, F.concat(short, F.array(tail))).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
-    key = T.alias_key(v)
-    pair = F.when((F.length(key) >= 5) & key.rlike("^(농어|남여|내외)"), F.array(F.concat(F.substring(key, 1, 1), F.substring(key, 3, 10_000)), F.concat(F.substring(key, 2, 1), F.substring(key, 3, 10_000)))).otherwise(F.array().cast("array<string>"))
-    return distinct_by_key(F.filter(F.concat(F.array(v, outer, inner), joined, pair), lambda x: F.length(T.alias_key(x)) >= 2))
+    none = F.array().cast("array<string>")
+
+    def of(v: Column) -> Column:
+        outer, inner = (F.trim(F.regexp_extract(v, r"^(.+?)\((.+?)\)$", k)) for k in (1, 2))
+
+        def variants(parts: Column) -> Column:
+            tail = F.element_at(parts, -1)
+            short = F.transform(F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) <= 2), lambda p: F.concat(p, F.substring(tail, 2, 10_000)))
+            return F.when(F.size(parts) >= 2, F.concat(F.array(F.regexp_replace(v, "[·ㆍ/]", "")), F.when(F.length(tail) >= 2, F.concat(short, F.array(tail))).otherwise(none))).otherwise(none)
+
+        joined = T.let(F.filter(F.split(v, "[·ㆍ/]"), lambda x: x != ""), variants)
+        halves = lambda key: F.array(F.concat(F.substring(key, 1, 1), F.substring(key, 3, 10_000)), F.concat(F.substring(key, 2, 1), F.substring(key, 3, 10_000)))
+        pair = T.let(T.alias_key(v), lambda key: F.when((F.length(key) >= 5) & key.rlike("^(농어|남여|내외)"), halves(key)).otherwise(none))
+        return distinct_by_key(F.filter(F.concat(F.array(v, outer, inner), joined, pair), lambda x: F.length(T.alias_key(x)) >= 2))
+
+    return T.let(T.collapse(c), of)
 
 
 def distinct_by_key(items: Column) -> Column:
@@ -170,24 +176,37 @@ def format_value(header: Column, value: Column, row_text: Column) -> Column:
 def row_fact(headers: Column, values: Column) -> Column:
     """``표의미: kind=table_row | subject=… | aliases=… | header=value …`` of a table row."""
     hs, vs = F.transform(headers, lambda x: T.collapse(x)), F.transform(values, lambda x: T.collapse(x))
-    row_text = F.array_join(vs, " ")
-    both = F.zip_with(hs, vs, lambda h, v: F.struct(h.alias("h"), v.alias("v")))
-    named = F.get(F.filter(both, lambda x: x["h"].rlike(NAME_HEADER) & (x["v"] != "")), F.lit(0))["v"]
-    worded = F.get(F.filter(vs, lambda v: (v != "") & ~F.replace(v, F.lit(","), F.lit("")).rlike(NUMERIC)), F.lit(0))
-    subject = F.coalesce(named, worded, F.get(vs, F.lit(0)), F.lit(""))
-    own = F.when(named.isNotNull() & (F.size(name_aliases(subject)) > 1), name_aliases(subject)).otherwise(F.filter(F.array(subject), lambda x: x != ""))
-    more = F.flatten(F.transform(F.filter(both, lambda x: x["h"].rlike(NAME_HEADER) & (x["v"] != "")), lambda x: name_aliases(x["v"])))
-    aliases = distinct_by_key(F.concat(own, more))
-    pairs = F.filter(F.transform(both, lambda x: F.when((x["h"] != "") & (x["v"] != ""), F.concat(x["h"], F.lit("="), format_value(x["h"], x["v"], row_text)))), lambda x: x.isNotNull())
-    return F.concat_ws(" | ", F.lit(FACT_MARK), F.when(subject != "", F.concat(F.lit("subject="), subject)), F.when(F.size(aliases) > 0, F.concat(F.lit("aliases="), F.array_join(aliases, ", "))), F.array_join(pairs, " | "))
+
+    def of(both: Column) -> Column:
+        named = F.get(F.filter(both, lambda x: x["h"].rlike(NAME_HEADER) & (x["v"] != "")), F.lit(0))["v"]
+        worded = F.get(F.filter(both, lambda x: (x["v"] != "") & ~F.replace(x["v"], F.lit(","), F.lit("")).rlike(NUMERIC)), F.lit(0))["v"]
+        row_text = F.array_join(F.transform(both, lambda x: x["v"]), " ")
+
+        def line(s: Column) -> Column:
+            # the subject's own variants come first if it stands under a name header
+            more = F.flatten(F.transform(F.filter(both, lambda x: x["h"].rlike(NAME_HEADER) & (x["v"] != "")), lambda x: name_aliases(x["v"])))
+            own = F.when(s["named"], T.let(name_aliases(s["x"]), lambda a: F.when(F.size(a) > 1, a).otherwise(F.filter(F.array(s["x"]), lambda x: x != "")))).otherwise(F.filter(F.array(s["x"]), lambda x: x != ""))
+            aliases = T.let(distinct_by_key(F.concat(own, more)), lambda a: F.when(F.size(a) > 0, F.concat(F.lit("aliases="), F.array_join(a, ", "))))
+            pairs = T.let(row_text, lambda text: F.filter(F.transform(both, lambda x: F.when((x["h"] != "") & (x["v"] != ""), F.concat(x["h"], F.lit("="), format_value(x["h"], x["v"], text)))), lambda x: x.isNotNull()))
+            return F.concat_ws(" | ", F.lit(FACT_MARK), F.when(s["x"] != "", F.concat(F.lit("subject="), s["x"])), aliases, F.array_join(pairs, " | "))
+
+        first = F.coalesce(named, worded, F.get(F.transform(both, lambda x: x["v"]), F.lit(0)), F.lit(""))
+        return T.let(F.struct(first.alias("x"), named.isNotNull().alias("named")), line)
+
+    return T.let(F.zip_with(hs, vs, lambda h, v: F.struct(h.alias("h"), v.alias("v"))), of)
 
 
 def parse_fact(line: Column) -> Column:
     """Key and value structs of a fact line, the last of equal keys; empty for other lines."""
-    v = T.collapse(line)
-    parts = F.transform(F.filter(F.transform(F.split(F.regexp_replace(v, "^표의미:", ""), r"\|"), lambda p: F.trim(p)), lambda p: p.contains("=")), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
-    kept = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda y: y["k"] == x["k"]))
-    return F.when(v.startswith("표의미:"), kept).otherwise(F.filter(parts, lambda x: F.lit(False)))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+
+    def of(v: Column) -> Column:
+        halves = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v"))
+        parts = F.transform(F.filter(F.transform(F.split(F.regexp_replace(v, "^표의미:", ""), r"\|"), lambda p: F.trim(p)), lambda p: p.contains("=")), halves)
+        kept = T.let(parts, lambda ps: F.filter(ps, lambda x, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda y: y["k"] == x["k"])))
+        return F.when(v.startswith("표의미:"), kept).otherwise(none)
+
+    return T.let(T.collapse(line), of)
 
 
 def fact_value(parsed: Column, key: str) -> Column:
@@ -196,12 +215,12 @@ def fact_value(parsed: Column, key: str) -> Column:
 
 def extract_facts(rows: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """subject, aliases, predicate, object_value, fact_kind, confidence of every non-reserved pair in fact lines, and parents of definition paths."""
-    parsed = rows.select(id_col, F.explode(F.split(T.text(text), "\n")).alias("line")).select(id_col, parse_fact(F.col("line")).alias("p"))
+    parsed = rows.select(id_col, F.explode(F.split(T.text(text), "\n")).alias("line")).select(id_col, F.explode(F.array(parse_fact(F.col("line")))).alias("p"))  # a row of its own, so that it is parsed once
     parsed = parsed.withColumn("kind", fact_value(F.col("p"), "kind")).withColumn("whole", fact_value(F.col("p"), "subject")).filter(F.col("kind").isin("table_row", "definition_block") & (F.col("whole") != ""))
     nested = (F.col("kind") == "definition_block") & F.col("whole").contains(" > ")
     parsed = parsed.withColumn("subject", F.when(nested, F.trim(F.regexp_extract("whole", "^.*? > (.*)$", 1))).otherwise(F.col("whole"))).withColumn("parent", F.when(nested, F.trim(F.substring_index("whole", " > ", 1))).otherwise(""))
     aliases = distinct_by_key(F.filter(F.transform(F.split(fact_value(F.col("p"), "aliases"), ","), lambda x: T.collapse(x)), lambda x: x != ""))
-    aliases = F.when(F.array_contains(aliases, F.col("subject")), aliases).otherwise(F.concat(F.array("subject"), aliases))
+    aliases = T.let(aliases, lambda a: F.when(F.array_contains(a, F.col("subject")), a).otherwise(F.concat(F.array("subject"), a)))
     pairs = parsed.select(id_col, "subject", aliases.alias("aliases"), F.explode(F.filter("p", lambda x: ~x["k"].isin("kind", "subject", "aliases") & (x["v"] != ""))).alias("x"), "kind")
     out = pairs.select(id_col, "subject", "aliases", F.col("x.k").alias("predicate"), F.col("x.v").alias("object_value"), F.col("kind").alias("fact_kind"), F.lit("deterministic_table_fact").alias("method"), F.lit(0.78).alias("confidence"))
     up = parsed.filter("parent <> '' AND subject <> ''").select(id_col, "subject", F.array("subject").alias("aliases"), F.lit("상위개념").alias("predicate"), F.col("parent").alias("object_value"), F.lit("hierarchy").alias("fact_kind"), F.lit("deterministic_definition_path").alias("method"), F.lit(0.72).alias("confidence"))

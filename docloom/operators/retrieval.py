@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import rules
-from docloom.operators.index import BROADCAST_TERMS, Index, build, small, vocabulary_grams
+from docloom.operators.index import Index, build, small, vocabulary_grams
 from docloom.operators.ingest import name_aliases
 from docloom.settings import DEFAULTS, Settings
-from docloom.tables import cut
+from docloom.tables import cut, together
 
 def with_keywords(questions: DataFrame) -> DataFrame:
     """questions (query_id, query) with their keywords."""
@@ -264,20 +264,15 @@ def weak_penalty(weak: Column, signal: Column) -> Column:
     return F.when(weak & (signal <= 0.001), 0.08).when(weak & (signal <= 0.03), 0.04).otherwise(0.0)
 
 
-def candidates(questions: DataFrame, index: Index, terms: DataFrame, held: DataFrame, budget: int, concept: DataFrame | None = None, ontology: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
-    """query_id, id and the scores fts, concept, ontology of the rows that any generator finds. questions have their keywords."""
+def candidates(full: DataFrame, near: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None) -> DataFrame:
+    """query_id, id and the scores fts, concept, ontology of the rows that any generator has found."""
     zero = F.lit(0.0)
-    parts = [
-        bm25(questions, index, budget, terms=s.fts_terms).select("query_id", "id", F.lit(1.0).alias("fts"), zero.alias("concept"), zero.alias("ontology")),
-        substring_candidates(questions, terms, held, index, budget, s.substring_terms).select("query_id", "id", zero.alias("fts"), zero.alias("concept"), zero.alias("ontology")),
-    ]
+    own = lambda rows, **scores: rows.select("query_id", "id", *[scores.get(c, zero).alias(c) for c in ("fts", "concept", "ontology")])
+    rows = own(full, fts=F.lit(1.0)).unionByName(own(near))
     if concept is not None:
-        parts.append(concept.select("query_id", "id", zero.alias("fts"), F.col("score").alias("concept"), zero.alias("ontology")))
+        rows = rows.unionByName(own(concept, concept=F.col("score")))
     if ontology is not None:
-        parts.append(ontology.select("query_id", "id", zero.alias("fts"), zero.alias("concept"), F.col("score").alias("ontology")))
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+        rows = rows.unionByName(own(ontology, ontology=F.col("score")))
     return rows.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("fts", "concept", "ontology")])
 
 
@@ -305,9 +300,19 @@ def scored(
     top_k = top_k or s.top_k
     target = max(s.candidates, top_k, 6 * top_k if roles else 0)
     q = cut(with_keywords(questions), "search-questions")
-    terms = numbered_terms(q)
-    held = cut(rows_of_terms(terms, index), "search-held")
-    found = cut(candidates(q, index, terms, held, max(2 * target, 4 * top_k), concept, ontology, s), "search-candidates")
+    budget = max(2 * target, 4 * top_k)
+
+    def inside() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        terms = numbered_terms(q)
+        held = cut(rows_of_terms(terms, index), "search-held")
+        return terms, held, cut(substring_candidates(q, terms, held, index, budget, s.substring_terms), "search-substring"), cut(asked_features(q, terms), "search-asked")
+
+    keep = lambda rows, label, *cols: cut(rows.select(*cols), label) if rows is not None else None
+    (terms, held, near, asked), full, concept, ontology, boosts = together(
+        inside, lambda: cut(bm25(q, index, budget, terms=s.fts_terms), "search-words"), lambda: keep(concept, "search-concepts", "query_id", "id", "score"),
+        lambda: keep(ontology, "search-facts", "query_id", "id", "score"), lambda: keep(boosts, "search-boosts", "id", "boost"),
+    )
+    found = cut(candidates(full, near, concept, ontology), "search-candidates")
     semantic = dense(query_vectors, vectors, found, target)
     rows = found.join(semantic, ["query_id", "id"], "left").na.fill(0.0, ["semantic"])
     rows = rows.withColumn("fts_w", F.when(F.max("fts").over(W.partitionBy("query_id")) > 0, s.fts_weight).otherwise(0.0))
@@ -318,9 +323,7 @@ def scored(
     body = body.join(held, "id", "left").withColumns({"exact": F.coalesce("exact", none), "inside": F.coalesce("inside", none)})
     body = body.join(boosts.select("id", F.col("boost").alias("memory")), "id", "left").na.fill(0.0, ["memory"]) if boosts is not None else body.withColumn("memory", F.lit(0.0))
     body = cut(body, "search-rows")
-    asked = cut(asked_features(q, terms), "search-asked")
-    asked = small(asked, BROADCAST_TERMS // 50)
-    rows = spread(rows).join(asked, "query_id").join(body, "id")
+    rows = spread(rows).join(small(asked), "query_id").join(body, "id")
     textual = (F.size("text_lits") > 0) | F.col("numeric") & F.col("table.aliased")
     near = rows.filter(textual).select("query_id", "id", "query", "text_lits", F.col("table.aliased").alias("aliased")).join(chunks.select("id", F.lower(T.text("text")).alias("low")), "id")
     near = near.select("query_id", "id", F.size(F.filter("text_lits", lambda x: F.col("low").contains(x))).alias("text_hits"), F.when(F.col("aliased"), alias_boost("query", "low")).otherwise(0.0).alias("alias"))
