@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.packing import pack
 from docloom.settings import DEFAULTS, Settings
 
 
@@ -236,20 +237,9 @@ def dedupe_newest(rows: DataFrame) -> DataFrame:
 
 def pack_bundles(rows: DataFrame, group: str, target: int = 360, most: int = 460) -> DataFrame:
     """group, bundle, ids, tokens: rows of a group, newest first, packed until target, never over the maximum. Rows: id, uploaded_at, n."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["uploaded_at", "id"], ascending=[False, False])
-        out: list[tuple[list[int], int]] = []
-        used = target
-        for i, n in zip(pdf["id"], pdf["n"], strict=True):
-            if used >= target or used + n > most:
-                out.append(([], 0))
-                used = 0
-            used += int(n)
-            out[-1] = ([*out[-1][0], int(i)], used)
-        return pd.DataFrame([(pdf[group].iloc[0], k, ids, n) for k, (ids, n) in enumerate(out, 1)], columns=[group, "bundle", "ids", "tokens"])
-
-    return rows.select(group, "id", "uploaded_at", "n").groupBy(group).applyInPandas(fold, f"{group} string, bundle int, ids array<long>, tokens int")
+    packed = pack(rows.select(group, "id", "uploaded_at", "n"), group, [F.desc("uploaded_at"), F.desc("id")], "n", most, target)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"])
+    return packed.groupBy(group, (F.col("bundle") + 1).cast("int").alias("bundle")).agg(listed.alias("ids"), F.sum("n").cast("int").alias("tokens"))
 
 
 def islands(rows: DataFrame, part: list[str], at: str, gap: int = 1) -> DataFrame:

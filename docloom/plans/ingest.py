@@ -65,12 +65,33 @@ def token_estimators(spark, sf):
     return C.chunks(spark, sf).select("id", T.packing_tokens("text").alias("packing"), T.mixed_tokens("text", False).alias("mixed_floor"), T.mixed_tokens("text").alias("mixed_ceil"), T.server_tokens("text").alias("server"))
 
 
-@query("chunk_txt")
+PREVIOUS = """prev AS (SELECT *, coalesce(last_value(CASE WHEN is_section THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING), '') AS hint,
+  greatest(1, floor(len(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+')) * 1.08::DOUBLE))::BIGINT AS n FROM lines),
+sized AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, count(*) OVER (PARTITION BY doc_id) AS total FROM prev)"""
+# where a window that starts at a line ends, where the next one starts, and the chain of windows
+CHUNKED = """ends AS (SELECT a.doc_id, a.i AS s, coalesce(min(b.i) FILTER (b.before - a.before >= 620 OR b.before + b.n - a.before > 780), any_value(a.total) + 1) AS e, any_value(a.total) AS total
+  FROM sized a LEFT JOIN sized b ON b.doc_id = a.doc_id AND b.i > a.i AND b.i <= a.i + 620 GROUP BY a.doc_id, a.i),
+nexts AS MATERIALIZED (SELECT x.doc_id, x.s, x.e, x.total, CASE WHEN x.e > x.total THEN NULL ELSE coalesce(max(j.i) FILTER (j.i > x.s AND y.before - j.before >= 117), x.e) END AS nxt
+  FROM ends x LEFT JOIN sized y ON y.doc_id = x.doc_id AND y.i = x.e LEFT JOIN sized j ON j.doc_id = x.doc_id AND j.i > x.s AND j.i < x.e GROUP BY x.doc_id, x.s, x.e, x.total),
+walk AS (SELECT doc_id, 1 AS chunk_no, s, e, nxt FROM nexts WHERE s = 1 UNION ALL SELECT n.doc_id, w.chunk_no + 1, n.s, n.e, n.nxt FROM walk w JOIN nexts n ON n.doc_id = w.doc_id AND n.s = w.nxt)"""
+
+
+@query("chunk_txt", """SELECT doc_id, chunk_no, min(l.line_no)::INT AS line_start, max(l.line_no)::INT AS line_end, sum(n)::INT AS tokens, min_by(hint, i) AS section,
+  md5(CASE WHEN min_by(hint, i) <> '' AND NOT bool_or(is_section) THEN '[Section: ' || min_by(hint, i) || ']' || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY i)) AS text_md5
+  FROM walk w JOIN sized l USING (doc_id) WHERE l.i >= w.s AND l.i < w.e GROUP BY doc_id, chunk_no""", (LINES, PREVIOUS, CHUNKED), recursive=True)
 def chunk_txt(spark, sf):
     return I.chunk_lines(_lines(spark, sf), "doc_id").select("doc_id", "chunk_no", "line_start", "line_end", "tokens", "section", F.md5("text").alias("text_md5"))
 
 
-@query("split_txt_docs")
+# one step for each line of a text, then a short tail joins the part before
+PARTS = """steps AS (SELECT doc_id, line_no, n, i, 1 AS part, n AS used FROM sized WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.line_no, l.n, l.i, CASE WHEN used + l.n > 2800 OR l.is_section AND used >= 2200 THEN part + 1 ELSE part END, CASE WHEN used + l.n > 2800 OR l.is_section AND used >= 2200 THEN l.n ELSE used + l.n END
+  FROM steps s JOIN sized l ON l.doc_id = s.doc_id AND l.i = s.i + 1),
+parts AS (SELECT doc_id, part, min(line_no) AS a, max(line_no) AS b, sum(n) AS tokens, max(part) OVER (PARTITION BY doc_id) AS last FROM steps GROUP BY doc_id, part),
+joined AS (SELECT doc_id, CASE WHEN part = last AND part > 1 AND tokens < 315 THEN part - 1 ELSE part END AS part, a, b, tokens FROM parts)"""
+
+
+@query("split_txt_docs", "SELECT doc_id, part::INT AS part, min(a)::INT AS line_start, max(b)::INT AS line_end, sum(tokens)::INT AS tokens FROM joined GROUP BY doc_id, part", (LINES, PREVIOUS, PARTS), recursive=True)
 def split_txt_docs(spark, sf):
     return I.split_parts(_lines(spark, sf), "doc_id")
 
@@ -150,7 +171,14 @@ def set_dedupe_text(spark, sf):
     return I.dedupe_newest(C.chunks(spark, sf)).select("id", "doc_role")
 
 
-@query("norm_txt")
+BUNDLES = r"""fresh AS (SELECT * FROM chunks WHERE source_type IN ('txt', 'pdf') AND is_normalized = 0 QUALIFY row_number() OVER (PARTITION BY doc_role, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) ORDER BY uploaded_at DESC, id DESC) = 1),
+ordered AS MATERIALIZED (SELECT source_path, id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(len(regexp_extract_all(text, '[0-9A-Za-z_]+')) * 1.05::DOUBLE)) END::BIGINT AS n, row_number() OVER (PARTITION BY source_path ORDER BY uploaded_at DESC, id DESC) AS rn FROM fresh),
+steps AS (SELECT source_path, id, n, rn, 1 AS bundle, n AS used FROM ordered WHERE rn = 1
+  UNION ALL SELECT o.source_path, o.id, o.n, o.rn, CASE WHEN used >= 360 OR used + o.n > 460 THEN bundle + 1 ELSE bundle END, CASE WHEN used >= 360 OR used + o.n > 460 THEN o.n ELSE used + o.n END
+  FROM steps s JOIN ordered o ON o.source_path = s.source_path AND o.rn = s.rn + 1)"""
+
+
+@query("norm_txt", "SELECT source_path, bundle, list(id ORDER BY rn) AS ids, sum(n)::INT AS tokens FROM steps GROUP BY source_path, bundle", (C.CHUNKS, BUNDLES), recursive=True)
 def norm_txt(spark, sf):
     rows = I.dedupe_newest(C.chunks(spark, sf).filter("source_type IN ('txt', 'pdf') AND is_normalized = 0")).withColumn("n", T.packing_tokens("text"))
     # bundles are packed within a source, so that no task holds a whole role

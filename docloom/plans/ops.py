@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,14 +42,16 @@ def win_latest_answer(spark, sf):
     return C.runs(spark, sf).groupBy("query_id").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
 
 
-@query("win_compact_history")
+@query("win_compact_history", """SELECT session_id, seq, least(length(text), room)::INT AS chars, substr(text, 1, room) AS text FROM (
+  SELECT *, (1400 - coalesce(sum(length(text)) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS room FROM (
+    SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 8)) WHERE room > 0""", M)
 def win_compact_history(spark, sf):
     """Last eight turns, then newest first until 1,400 characters; the turn at the limit is cut."""
     rows = O.newest(C.messages(spark, sf), ["session_id"], [F.desc("seq")], 8)
     back = W.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("text")).over(back), F.lit(0))
     rows = rows.withColumn("room", F.lit(1400) - used).filter("room > 0")
-    return rows.select("session_id", "seq", F.least(F.length("text"), F.col("room")).alias("chars"), F.substring("text", F.lit(1), F.col("room").cast("int")).alias("text"))
+    return rows.select("session_id", "seq", F.least(F.length("text"), F.col("room")).cast("int").alias("chars"), F.substring("text", F.lit(1), F.col("room").cast("int")).alias("text"))
 
 
 @query("agg_ops_failure", """WITH recent AS (SELECT * FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 500),
@@ -217,24 +218,22 @@ def page_batches(spark, sf):
     return O.keep_batches(C.chunks(spark, sf).select("source_path", "id"), "source_path", "id", 8).select("id", "batch")
 
 
-@query("batch_plan")
+# one step for each row of a source, the shortest first
+BATCHES = r"""sized AS (SELECT source_path, id, greatest(1, len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '')), ceil(length(text) / 4))::BIGINT AS n FROM chunks),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY n, id) AS rn FROM sized),
+steps AS (SELECT source_path, id, n, rn, 0 AS batch, 1 AS held, n AS used FROM ordered WHERE rn = 1
+  UNION ALL SELECT o.source_path, o.id, o.n, o.rn, CASE WHEN held >= 16 OR used + o.n > 8192 THEN batch + 1 ELSE batch END, CASE WHEN held >= 16 OR used + o.n > 8192 THEN 1 ELSE held + 1 END, CASE WHEN held >= 16 OR used + o.n > 8192 THEN o.n ELSE used + o.n END
+  FROM steps s JOIN ordered o ON o.source_path = s.source_path AND o.rn = s.rn + 1)"""
+
+
+@query("batch_plan", "SELECT source_path, id, n::INT AS n, batch FROM steps", (C.CHUNKS, BATCHES), recursive=True)
 def batch_plan(spark, sf):
     """Rows of a source sorted by length, packed to at most 16 rows and 8,192 tokens a batch."""
     from docloom.functions import text as T
+    from docloom.operators.packing import pack
 
     rows = C.chunks(spark, sf).select("source_path", "id", T.server_tokens("text").alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "id"])
-        batch, rows_in, used, out = 0, 0, 0, []
-        for n in pdf["n"]:
-            if rows_in and (rows_in >= 16 or used + n > 8192):
-                batch, rows_in, used = batch + 1, 0, 0
-            rows_in, used = rows_in + 1, used + n
-            out.append(batch)
-        return pdf.assign(batch=out)[["source_path", "id", "n", "batch"]]
-
-    return rows.groupBy("source_path").applyInPandas(fold, "source_path string, id long, n int, batch int")
+    return pack(rows, "source_path", [F.col("n"), F.col("id")], "n", 8192, most_rows=16).select("source_path", "id", "n", F.col("bundle").cast("int").alias("batch"))
 
 
 @query("topk_recent_chunks", "SELECT id FROM chunks WHERE is_normalized = 0 AND doc_role = 'guide' ORDER BY uploaded_at DESC, id DESC LIMIT 50", (C.CHUNKS,))
