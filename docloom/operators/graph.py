@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,26 +62,6 @@ def concept_candidates(question_terms: DataFrame, edges: DataFrame, limit: int)
     return found.withColumn("rank", rank).filter(F.col("rank") <= max(8, limit)).drop("rank")
 
 
-def resolve_concepts(terms: Iterable[tuple[str, list[float]]], threshold: float = DEFAULTS.concept_similarity) -> dict[str, str]:
-    """Term to node, in the given order: an equal key, else the nearest node of cosine >= threshold, else a new node.
-
-    Later terms may match nodes that earlier ones made, so the pass is sequential; it runs on distinct terms only.
-    """
-    nodes: list[tuple[str, list[float], float]] = []
-    out: dict[str, str] = {}
-    for term, v in terms:
-        if term in out:
-            continue
-        norm = math.sqrt(sum(x * x for x in v)) or 1.0
-        best = max(((sum(a * b for a, b in zip(v, u, strict=True)) / norm / m, name) for name, u, m in nodes), default=(0.0, ""))
-        if best[0] >= threshold:
-            out[term] = best[1]
-        else:
-            nodes.append((term, v, norm))
-            out[term] = term
-    return out
-
-
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of entities (key, display, aliases, confidence, status, at): newest display and aliases, highest confidence, archived stays archived."""
     both = old.unionByName(new)

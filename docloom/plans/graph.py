@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import graph as G
 from docloom.plans.registry import query
-from docloom.plans.retrieval import CT, FS, GEN, KW, QTERMS, concepts
+from docloom.plans.retrieval import CT, FS, GEN, KW, QTERMS, concepts, index
 from docloom.sources import carriers as C
 
 @query("concept_terms", "SELECT id, n::INT AS n, term, round(weight, 6) AS weight FROM cterms", (C.CHUNKS, CT))
@@ -37,6 +37,26 @@ def anti_orphan_concept(spark, sf):
     return e.select("concept").distinct().join(e.filter("id % 2 = 0").select("concept"), "concept", "left_anti")
 
 
+# pairs of similar terms from shared runs of three characters, then one step for each term that has a similar one
+RESOLVED = """firsts AS MATERIALIZED (SELECT concept AS term, row_number() OVER (ORDER BY min(id), concept) AS no FROM edges GROUP BY concept),
+runs AS (SELECT no, term, list_distinct(list_transform(range(1, length(term) + 1), lambda i: substr('^' || term || '$', i, 3))) AS f FROM firsts),
+flat AS (SELECT no, len(f) AS n, unnest(f) AS x FROM runs),
+pairs AS MATERIALIZED (SELECT * FROM (SELECT p.no AS a, q.no AS b, round(count(*) / sqrt(any_value(p.n) * any_value(q.n)), 9) AS score FROM flat p JOIN flat q ON p.x = q.x AND p.no < q.no GROUP BY p.no, q.no) WHERE score >= 0.84),
+involved AS (SELECT id, row_number() OVER (ORDER BY id) AS k, coalesce((SELECT list(a) FROM pairs WHERE b = id), []) AS earlier FROM (SELECT a AS id FROM pairs UNION SELECT b FROM pairs)),
+fold AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS nodes UNION ALL SELECT i.k, CASE WHEN len(list_intersect(i.earlier, f.nodes)) = 0 THEN list_append(f.nodes, i.id) ELSE f.nodes END FROM fold f JOIN involved i ON i.k = f.k + 1),
+made AS (SELECT unnest(arg_max(nodes, k)) AS id FROM fold),
+nearest AS (SELECT b, arg_max(a, score * 1000000000 * 1000000 - a) AS a, max(score) AS score FROM pairs WHERE a IN (SELECT id FROM made) AND b NOT IN (SELECT id FROM made) GROUP BY b)"""
+
+
+@query("concept_resolve", "SELECT f.term, coalesce(t.term, f.term) AS node, round(coalesce(n.score, 1.0::DOUBLE), 6) AS score FROM firsts f LEFT JOIN nearest n ON n.b = f.no LEFT JOIN firsts t ON t.no = n.a", (C.CHUNKS, CT, RESOLVED), recursive=True)
+def concept_resolve(spark, sf):
+    """All concept terms in the order of their rows: each a node, or an alias of the most similar node before it."""
+    from docloom.operators.resolve import resolve
+
+    terms = index(spark, sf).concepts.select(F.col("concept").alias("term"), "id")
+    return resolve(terms, [F.col("id")]).select("term", "node", F.round("score", 6).alias("score"))
+
+
 @query("fact_upsert_entity", """WITH e AS (SELECT n_name AS key, n_name || ' v1' AS display, 0.5::DOUBLE AS confidence, CASE WHEN n_nationkey % 7 = 0 THEN 'archived' ELSE 'active' END AS status, 1 AS at_ FROM nation
   UNION ALL SELECT n_name, n_name || ' v2', 0.4::DOUBLE + n_regionkey * 0.1::DOUBLE, 'active', 2 FROM nation WHERE n_nationkey % 2 = 0)
 SELECT key, arg_max(display, at_) AS display, round(max(confidence), 6) AS confidence, CASE WHEN bool_or(status = 'archived') THEN 'archived' ELSE arg_max(status, at_) END AS status FROM e GROUP BY key""")

@@ -11,6 +11,7 @@ from docloom.operators import graph as G
 from docloom.operators import index as I
 from docloom.operators import retrieval as R
 from docloom.operators import rules
+from docloom.operators import vectors as V
 from docloom.plans.registry import query
 from docloom.settings import DEFAULTS
 from docloom.sources import carriers as C
@@ -242,6 +243,34 @@ def gen_dense_hnsw(spark, sf):
     return R.dense_blocks(query_vectors(spark, sf), C.vectors(spark, sf), 120).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.col("semantic")), 6).alias("score"))
 
 
+def vector_index(spark, sf):
+    """The stored index of all vectors and the number of lists to probe, built once for each version of their files."""
+    v = C.vectors(spark, sf)
+
+    def make():
+        index = V.build(v)
+        return index, V.calibrate(spark, index, DEFAULTS.candidates)
+
+    return stored("vectors", [v], make)
+
+
+@query("gen_dense_lists")
+def gen_dense_lists(spark, sf):
+    """Nearest rows of every question from the stored lists: approximate, see dense_lists_recall; gen_dense_hnsw is the exact path."""
+    index, probes = vector_index(spark, sf)
+    return V.search(index, query_vectors(spark, sf), DEFAULTS.candidates, probes).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.col("semantic")), 6).alias("score"))
+
+
+@query("dense_lists_recall", "SELECT count(*) AS questions, true AS recalled, true AS fewer_read FROM qv", (C.QUESTIONS, C.VECTORS, "qv AS (SELECT q.query_id, v.v AS qv, v.dim AS qdim FROM questions q JOIN vectors v ON q.query_id = v.id)"))
+def dense_lists_recall(spark, sf):
+    """Do the stored lists find nine tenths of the true neighbours of all questions, and read fewer vectors than there are?"""
+    index, probes = vector_index(spark, sf)
+    found, true = gen_dense_lists(spark, sf).select("query_id", "id"), gen_dense_hnsw(spark, sf).select("query_id", "id")
+    hit = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+    read = V.vectors_read(index, query_vectors(spark, sf), probes).agg(F.count(F.lit(1)).alias("questions"), (F.sum("read") < F.sum("rows")).alias("fewer_read"))
+    return read.join(F.broadcast(hit)).select("questions", "recalled", "fewer_read")  # one row each
+
+
 @query("sc_recency", "SELECT id, round(pow(0.5::DOUBLE, greatest(1711929600 - uploaded_at, 0) / 86400.0::DOUBLE / 45.0::DOUBLE), 6) AS recency FROM chunks", (C.CHUNKS,))
 def sc_recency(spark, sf):
     return C.chunks(spark, sf).select("id", F.round(R.recency(F.col("uploaded_at"), DEFAULTS.now_ts, DEFAULTS.half_life_days), 6).alias("recency"))

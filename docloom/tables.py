@@ -23,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder for a table of this application."""
+    return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that outlives executors, made once for all its readers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -96,10 +96,6 @@ def test_feedback_counts_once(spark):
     assert led.count() == 3 and history.count() == 2
 
 
-def test_concepts_resolve_in_order():
-    assert graph.resolve_concepts([("a", [1.0, 0.0]), ("b", [0.9, 0.2]), ("c", [0.0, 1.0]), ("a", [0.0, 1.0])]) == {"a": "a", "b": "a", "c": "c"}
-
-
 def test_metrics_by_hand(spark):
     rows = spark.createDataFrame(
         [(True, ["p1"], ["p1", "x"], ["k", "k"], "it is 42", ["42"], ["42"], ["p1"], 10.0, 40.0), (False, [], [], [], "알 수 없습니다", [], [], [], 20.0, 30.0)],
