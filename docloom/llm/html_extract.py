@@ -9,14 +9,15 @@ less support, as a host may have several page templates) and if it is ordered: i
 same order in every page and repetition. Roles are paths, so ordered classes nest.
 
 The classes make the template. A text belongs to it if its class holds a tag that encloses it, i.e. if it stands
-there whenever that part of the template does. Such texts are no content, wherever they stand: inside an article
-too. What remains are slots, one per block-level tag of the template: slots that consist of links are menus. Of
+there whenever that part of the template does. Such texts are no content where they stand before or after all that
+changes; between changing blocks they are (headings that all articles of a host share), unless a menu follows them. What remains are slots, one per block-level tag of the template: slots that consist of links are menus. Of
 the other texts, those go that stand in chrome by the markup's own word (nav, footer, forms, adverts, comments…)
 or outside the page's article or main element. Tags that the template doesn't know (few pages have them, or the
 host is small) belong to the slot of the nearest enclosing tag that it knows.
 
 A class of copies is no template: where a class has more text outside its tags than inside, or where its texts
-are nearly all that its pages have as content, the texts stay (see ``_template_texts``).
+are nearly all that its pages have as content, the texts stay (see ``_template_texts``); where they are more than the changing
+content, those beside changing text in the same container stay, so near copies keep their common paragraphs.
 
 Cases: null and empty html give an empty text; unclosed and stray tags are tolerated, an open quote ends at the
 next '>', an unfinished tag or comment at the end is markup; time is linear in the page, however deep or broken; a
@@ -55,6 +56,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^'
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=]*+)")
 _ATTR = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _RAW = {"script", "style", "template", "iframe", "textarea", "title", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
@@ -231,16 +233,62 @@ class Page:
         """Does a text of this element stand in the page's narrowest region, outside chrome?"""
         return not e.chrome and (e.region == region or region == "main" and e.region == "article")
 
-    def extract(self, known: set[int], menus: set[int], fixed: set[int]) -> tuple[str, int]:
-        """The text that template and chrome leave, a block each, and the number of texts that the template takes."""
+    def _boilerplate(self, state: list[str], strong: list[bool]) -> list[bool]:
+        """Which texts of the template go. state: of each text '' (blank or elsewhere), 'menu', 'fixed' or 'own' (main text that changes).
+
+        A text of the template that stands between the page's own texts is content, as is a heading among them, unless a menu
+        follows. Before the first and after the last own text it goes; where the template outweighs the content (not strong), only from a
+        container that holds no own text.
+        """
+        own = [i for i, x in enumerate(state) if x == "own"]
+        if not own or "fixed" not in state:
+            return [x == "fixed" and y for x, y in zip(state, strong, strict=True)]
+        element = {e.role: e for e in self.tags}
+        holds: set[int] = set()
+        for i in own:
+            role = self.texts[i][1].role
+            while role and role not in holds:
+                holds.add(role)
+                role = element[role].up
+        out, after = [False] * len(state), ""
+        for i in range(len(state) - 1, -1, -1):
+            if state[i] == "fixed":
+                block = self.texts[i][1]
+                while block.role and block.tag not in _BLOCK:
+                    block = element.get(block.up, ROOT)
+                container = element.get(block.up, ROOT)
+                among = container.role in holds and container.tag not in ("", "html", "body")
+                if own[0] < i < own[-1] or block.tag in _HEADINGS and i < own[-1] and among:
+                    out[i] = after == "menu"
+                else:
+                    out[i] = strong[i] or container.role not in holds
+            elif state[i]:
+                after = state[i]
+        return out
+
+    def extract(self, known: set[int], menus: set[int], fixed: set[int], weak: set[int] = frozenset()) -> tuple[str, int]:
+        """The text that template and chrome leave, a block each, and the number of texts that the template takes. fixed, weak: texts of the template,
+        where it is less, or more, than the content of its pages."""
         region, slots = self.region(), self.slots(known)
-        keys = self.keys() if fixed else [0] * len(self.texts)
+        keys = self.keys() if fixed or weak else [0] * len(self.texts)
+        said = {number for (number, e, s, _), key in zip(self.texts, keys, strict=True) if not s.isspace() and not (e.link and (key in fixed or key in weak))}
+        state = []
+        for (number, e, s, _), key in zip(self.texts, keys, strict=True):
+            if s.isspace():
+                state.append("")
+            elif e.region != "article" and slots[e.role] in menus or (key in fixed or key in weak) and number not in said:  # a block of the template's links
+                state.append("menu")
+            elif key in fixed or key in weak:
+                state.append("fixed" if self.main(e, region) else "")
+            else:
+                state.append("own" if self.main(e, region) else "")
+        gone = self._boilerplate(state, [k in fixed for k in keys])
         blocks: dict[int, list[str]] = {}
         taken = 0
-        for (number, e, s, _), key in zip(self.texts, keys, strict=True):
-            if key in fixed or e.region != "article" and slots[e.role] in menus:
-                taken += not s.isspace()
-            elif self.main(e, region):
+        for (number, e, s, _), x, key, out in zip(self.texts, state, keys, gone, strict=True):
+            if x == "menu" or out or not x and (key in fixed or key in weak):
+                taken += 1
+            elif self.main(e, region) and not (s.isspace() and slots[e.role] in menus and e.region != "article"):
                 blocks.setdefault(number, []).append(s)
         done = (_BLANK.sub(" ", "".join(b)).strip(" ") for b in blocks.values())
         return "\n\n".join(b for b in done if b), taken
@@ -390,23 +438,23 @@ def checks(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _template_texts():
-    """Are a class's texts template? Not if the class is more text than its tags enclose (the pages are copies), nor if its texts outweigh
-    the changing content of its pages (a host of copies), unless they are short and every page has content of its own."""
-    short = (F.col("main") <= F.col("n") * COPY_CHARS) & (F.col("first") < F.col("last"))
-    return (F.col("loose") <= F.col("fixed")) & ((F.col("main") <= F.col("data")) | short)
+    """How far a class's texts are template: 'fixed' if they are less than the changing content of their pages, 'weak' if they are more but short
+    and every page has content of its own; else, or if the class is more text than its tags enclose, its pages are copies."""
+    weak = (F.col("main") <= F.col("n") * COPY_CHARS) & (F.col("first") < F.col("last"))
+    return F.when(F.col("loose") <= F.col("fixed"), F.when(F.col("main") <= F.col("data"), "fixed").when(weak, "weak"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, known (roles of the template's tags), menus (slots that consist of links), fixed (the template's texts)."""
+    """host, known (roles of the template's tags), menus (slots that consist of links), fixed and weak (the template's texts, see _template_texts)."""
     found = cut(classes(cut(occurrences(pages), "html-tokens")), "html-classes")
     seen = cut(checks(pages, found), "html-checks")
     ordered = seen.filter("kind = 'c' AND low = high AND low >= 0")
     tokens = found.select("host", F.explode("tokens").alias("x")).select("host", "x.key", "x.cls", "x.tag")
     known = tokens.filter("tag").join(ordered, ["host", "cls"], "left_semi").select("host", F.lit("known").alias("sort"), "key")
     menus = seen.filter((F.col("kind") == "s") & (F.col("key") != 0) & (F.col("links") > F.col("chars") * LINK_SHARE)).select("host", F.lit("menus").alias("sort"), "key")
-    fixed = seen.filter("kind = 't'").select("host", "cls", "key").join(ordered.filter(_template_texts()), ["host", "cls"], "left_semi").select("host", F.lit("fixed").alias("sort"), "key")
+    fixed = seen.filter("kind = 't'").select("host", "cls", "key").join(ordered.select("host", "cls", _template_texts().alias("sort")).filter("sort IS NOT NULL"), ["host", "cls"]).select("host", "sort", "key")
     rows = known.unionByName(menus).unionByName(fixed).groupBy("host")
-    return cut(rows.agg(*[F.array_sort(F.collect_list(F.when(F.col("sort") == k, F.col("key")))).alias(k) for k in ("known", "menus", "fixed")]), "html-templates")
+    return cut(rows.agg(*[F.array_sort(F.collect_list(F.when(F.col("sort") == k, F.col("key")))).alias(k) for k in ("known", "menus", "fixed", "weak")]), "html-templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -415,13 +463,13 @@ def extract(pages: DataFrame) -> DataFrame:
     template_slots: tags of the host's template; template_texts: texts of the page that the template takes.
     """
     small_batches(pages.sparkSession)
-    rows = _with_hosts(pages, templates(pages), "size(known) + size(menus) + size(fixed)", "left")
+    rows = _with_hosts(pages, templates(pages), "size(known) + size(menus) + size(fixed) + size(weak)", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[set, set, set]] = {}
+        held: dict[str, tuple[set, ...]] = {}
         for t in batches:
             done, sizes = [], []
-            for source, host, *parts in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), *(t.column(k) for k in (4, 5, 6)), strict=True):
+            for source, host, *parts in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), *(t.column(k) for k in (4, 5, 6, 7)), strict=True):
                 if host not in held:
                     if len(held) > 1000:
                         held.clear()
@@ -433,4 +481,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *columns], ["page_id", "url", "text", "n_chars", "template_slots", "template_texts"])
 
     schema = "page_id long, url string, text string, n_chars long, template_slots long, template_texts long"
-    return rows.select("page_id", "url", "html", "host", "known", "menus", "fixed").mapInArrow(tidy(run), schema)
+    return rows.select("page_id", "url", "html", "host", "known", "menus", "fixed", "weak").mapInArrow(tidy(run), schema)

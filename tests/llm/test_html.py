@@ -58,6 +58,37 @@ def test_classes_equal_brute_force(spark):
     assert {(host, frozenset(keys)) for (host, _), keys in got.items()} == want
 
 
+RECIPE = "<body><{1}><h1>Recipe {0}</h1><h2>Ingredients</h2>{2}<h2>Method</h2><p>mix item {0} with step {0}</p></{1}></body>"
+
+
+@pytest.mark.parametrize("region", ["article", "main", "section"])
+@pytest.mark.parametrize("pages", [4, 40])
+def test_recurring_headings_stay(spark, region, pages):
+    """Headings that all articles of a host share stand between what changes: whole texts as written."""
+    items = lambda i: [f"flour {i} {j}" for j in range(i % 3 + 1)]
+    rows = [(i, f"http://r.example/{i}", RECIPE.format(i, region, "<ul>" + "".join(f"<li>{x}</li>" for x in items(i)) + "</ul>")) for i in range(pages)]
+    out = run(spark, rows)
+    for i in range(pages):
+        assert out[i].text == "\n\n".join([f"Recipe {i}", "Ingredients", *items(i), "Method", f"mix item {i} with step {i}"])
+
+
+def test_first_heading_stays_and_labels_of_menus_go(spark):
+    page = '<body><div class="x"><h2>Site of all</h2></div><article><h2>Overview</h2><p>about {0} only</p></article></body>'
+    out = run(spark, [(i, f"http://f.example/{i}", page.format(i)) for i in range(20)])
+    assert out[3].text == "Overview\n\nabout 3 only"
+    page = '<body><div class="b"><p>first words of {0}</p><div class="l"><p>Sections</p></div><div class="m"><a href="/a">One</a><a href="/b">Two</a></div><p>Method</p><p>last words of {0} here</p></div></body>'
+    out = run(spark, [(i, f"http://f.example/{i}", page.format(i)) for i in range(20)])
+    assert out[3].text == "first words of 3\n\nMethod\n\nlast words of 3 here"
+
+
+def test_near_copies_keep_their_common_texts(spark):
+    """Short pages that differ in one paragraph: all paragraphs stay, a footer of its own goes."""
+    paragraphs = [f"the common paragraph {j} with some words" for j in range(5)]
+    page = '<body><div class="t">' + "".join(f"<p>{p}</p>" for p in paragraphs[:2]) + "<p>page {0}</p>" + "".join(f"<p>{p}</p>" for p in paragraphs[2:]) + '</div><div class="z"><p>Imprint</p></div></body>'
+    out = run(spark, [(i, f"http://c.example/{i}", page.format(i)) for i in range(20)])
+    assert out[7].text == "\n\n".join([*paragraphs[:2], "page 7", *paragraphs[2:]])
+
+
 def test_unordered_tags_are_no_template(spark):
     pages = [(i, f"http://o.example/{i}", "<body>" + ("<b>Top</b><i>Low</i>" if i % 2 else "<i>Low</i><b>Top</b>") + f"<p>text {i}</p></body>") for i in range(10)]
     assert run(spark, pages)[3].text == "TopLow\n\ntext 3"
