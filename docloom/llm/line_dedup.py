@@ -6,8 +6,11 @@ reach, positions are compared: a position is constant if its commonest token fil
 leaf's distinct lines, else it is a variable field, as are tokens with digits. A line whose share of matching
 constant positions is at least SIMILARITY belongs to the leaf's template. The rest go down further, level by
 level: each line by a common token that splits its leaf, and are compared within these smaller leaves, where a
-constant needs more than half of the lines and the leading tokens don't count. A line that fits nowhere keeps
-a template of its own (the masked line). Templates that occur in at least LEAST_DOCUMENTS documents are recurring: their lines are dropped.
+constant needs more than half of the lines and the leading tokens don't count. There are LEVELS levels at most, and a
+level's template counts only if chance doesn't explain it: lines that share some tokens turn up in any large leaf
+whose positions have few tokens, so the expected number of sets of as many lines that agree in as many positions, if
+the tokens of the whole leaf were dealt independently, must be under CHANCE. A line that fits nowhere keeps a template
+of its own (the masked line). Templates that occur in at least LEAST_DOCUMENTS documents are recurring: their lines are dropped.
 
 Lines are counted per distinct masked line before anything is grouped by leaf, so a line that a third of all
 documents share is one row per task.
@@ -30,6 +33,8 @@ from docloom.llm.common import cut, maybe_in
 DEPTH = 3
 CONSTANT, SIMILARITY = 0.5, 0.6
 LEAST_DOCUMENTS = 3
+#: Levels below a leaf, and the expected number of chance templates of a leaf that is tolerated.
+LEVELS, CHANCE = 4, 0.01
 VARIABLE = "<*>"
 
 
@@ -63,14 +68,15 @@ def templates(lines: DataFrame) -> DataFrame:
     shape = cut(_shapes(several, F.col("lines") * CONSTANT), "line-shapes")  # so that the join stands alone and a huge leaf can be split
     level = cut(_fitted(several, shape, 0), "line-level")
     kept = ["h1", "h2", "n", "template"]
-    out, rest = level.filter("near"), level.filter("NOT near")
+    out, rest = level.filter("near"), level.filter("NOT near").withColumn("root", F.col("leaf"))
     own = leaf_lines.filter("lines = 1").select("h1", "h2", "n", F.col("masked").alias("template")).unionByName(rest.select(kept))
     found = None
-    while not rest.isEmpty():
+    for _ in range(LEVELS):
         parts = _split(rest)
         if parts.isEmpty():
             break
-        level = cut(_fitted(parts, cut(_shapes(parts, F.floor(F.col("lines") / 2) + 1), "line-shapes"), DEPTH), "line-level")
+        shapes = cut(_shapes(parts, F.floor(F.col("lines") / 2) + 1), "line-shapes")
+        level = cut(_believable(_fitted(parts, shapes, DEPTH), shapes, shape), "line-level")
         near, rest = level.filter("near").select(kept), level.filter("NOT near")
         found = near if found is None else found.unionByName(near)
     if found is not None:  # lines that fitted further down no longer stand alone
@@ -80,20 +86,38 @@ def templates(lines: DataFrame) -> DataFrame:
 
 
 def _shapes(rows: DataFrame, least: Column) -> DataFrame:
-    """leaf, shape: by position the commonest token, if at least ``least`` of the leaf's lines have it, else a field."""
+    """leaf, all (its lines), shape: by position the commonest token, if at least ``least`` of the leaf's lines have it, else a field; agree: the share of
+    pairs of lines that have the same token there."""
     counts = rows.select("leaf", "lines", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "lines", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy("leaf", "lines", "at").agg(F.max(F.struct("c", "token")).alias("top"))
-    field = best.select("leaf", "at", F.when((F.col("top.c") >= least) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
-    return field.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("s")).select("leaf", F.transform("s", lambda x: x["token"]).alias("shape"))
+    best = counts.groupBy("leaf", "lines", "at").agg(F.max(F.struct("c", "token")).alias("top"), (F.sum(F.col("c") * F.col("c")) / F.first(F.col("lines") * F.col("lines"))).alias("agree"))
+    field = best.select("leaf", "lines", "at", "agree", F.when((F.col("top.c") >= least) & (F.col("top.token") != VARIABLE), F.col("top.token")).otherwise(VARIABLE).alias("token"))
+    lists = field.groupBy("leaf").agg(F.first("lines").alias("all"), F.array_sort(F.collect_list(F.struct("at", "token", "agree"))).alias("s"))
+    return lists.select("leaf", "all", F.transform("s", lambda x: x["token"]).alias("shape"), F.transform("s", lambda x: x["agree"]).alias("agree"))
 
 
 def _fitted(rows: DataFrame, shape: DataFrame, skip: int) -> DataFrame:
     """rows with near (is the line like the shape of its leaf, judged after the first ``skip`` tokens?) and template."""
-    fit = rows.join(shape, "leaf").withColumn("k", F.size("shape") - skip)
+    fit = rows.join(shape.select("leaf", "shape"), "leaf").withColumn("k", F.size("shape") - skip)
     same = F.expr(f"size(filter(slice(zip_with(split(masked, ' '), shape, (a, b) -> a = b AND b <> '{VARIABLE}'), {skip + 1}, size(shape)), x -> x))")
     constants = F.expr(f"size(filter(slice(shape, {skip + 1}, size(shape)), x -> x <> '{VARIABLE}'))")
     near = (same >= constants * SIMILARITY) & (constants * 2 >= F.col("k"))
-    return fit.select("h1", "h2", "n", "leaf", "lines", "masked", near.alias("near"), F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
+    more = [c for c in ("root",) if c in rows.columns]
+    return fit.select("h1", "h2", "n", "leaf", "lines", "masked", *more, near.alias("near"), (same == constants).alias("whole"), F.when(near, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
+
+
+def _believable(rows: DataFrame, shapes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of a level; near only where chance doesn't explain the shape of the leaf. roots: shapes of the leaves of the tree, with the tokens' chances."""
+    sets = rows.groupBy("leaf", "root").agg(F.count_if("whole").alias("m"))
+    chance = roots.select(F.col("leaf").alias("root"), F.col("all").alias("everyone"), F.col("agree").alias("chances"))
+    sets = sets.join(shapes.select("leaf", "shape"), "leaf").join(chance, "root")
+    tail = lambda c: F.slice(c, F.lit(DEPTH + 1), F.size("shape"))
+    shared = F.filter(F.zip_with(tail("shape"), tail("chances"), lambda a, b: F.when(a != VARIABLE, b)), lambda x: x.isNotNull())
+    sets = sets.select("leaf", "m", "everyone", (F.size("shape") - DEPTH).alias("k"), F.size(shared).alias("c"), F.aggregate(shared, F.lit(0.0), lambda a, x: a + F.log(x)).alias("each"))
+    pick = lambda n, k: F.when(k > 0, k * (1 + F.log(n / k))).otherwise(0.0)  # noqa: E731  at least the logarithm of n over k
+    expected = pick(F.col("everyone"), F.col("m")) + pick(F.col("k"), F.least(F.col("c"), F.col("k") - F.col("c"))) + (F.col("m") - 1) * F.col("each")
+    sure = sets.select("leaf", (expected < F.log(F.lit(CHANCE))).alias("sure"))
+    near = F.col("near") & F.col("sure")
+    return rows.join(sure, "leaf").select("h1", "h2", "n", "leaf", "lines", "masked", "root", near.alias("near"), F.when(near, F.col("template")).otherwise(F.col("masked")).alias("template"))
 
 
 def _split(rest: DataFrame) -> DataFrame:
@@ -104,7 +128,7 @@ def _split(rest: DataFrame) -> DataFrame:
     and mostly half of it. A line can't fit any part of the leaf if too few of its tokens occur twice in it.
     """
     now = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("now"))
-    rest = cut(rest.select("h1", "h2", "n", "leaf", "lines", "masked").join(now, "leaf").filter("lines > 2"), "line-rest")
+    rest = cut(rest.select("h1", "h2", "n", "leaf", "lines", "masked", "root").join(now, "leaf").filter("lines > 2"), "line-rest")
     tokens = rest.filter("now = lines").select("h1", "h2", "leaf", "now", F.posexplode(F.split("masked", " ")).alias("at", "token")).filter(F.col("at") >= DEPTH)
     counts = cut(tokens.filter(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "line-anchors")
     c, half = F.col("c"), F.col("c") * 2 <= F.col("now")
@@ -113,7 +137,7 @@ def _split(rest: DataFrame) -> DataFrame:
     rows = rest.join(best, ["h1", "h2"], "left").withColumn("k", F.size(F.split("masked", " ")) - DEPTH)
     able = (F.col("now") < F.col("lines")) | (F.coalesce("shared", F.lit(0)) >= F.col("k") * CONSTANT * SIMILARITY)
     part = F.when(F.col("anchor").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "anchor.back", "anchor.token"))
-    rows = cut(rows.filter(able).select("h1", "h2", "n", part.alias("leaf"), F.col("lines").alias("was"), "masked"), "line-split")
+    rows = cut(rows.filter(able).select("h1", "h2", "n", part.alias("leaf"), F.col("lines").alias("was"), "masked", "root"), "line-split")
     groups = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("m"), F.max("was").alias("was")).filter((F.col("lines") > 1) & (F.col("lines") < F.col("was")) & (F.col("m") >= LEAST_DOCUMENTS))
     return cut(rows.drop("was").join(groups.select("leaf", "lines"), "leaf"), "line-parts")
 
