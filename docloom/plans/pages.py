@@ -146,12 +146,61 @@ def norm_refresh(spark, sf):
     return old.join(new, "grp", "full").select("grp", F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("rows", F.lit(0)).alias("rows"), "newest")
 
 
-@query("st_queue_lanes", """SELECT run_id, lane, place, place > 50 AS refused FROM (SELECT run_id, lane, row_number() OVER (PARTITION BY user_id, lane ORDER BY created_at, run_id) AS place FROM (SELECT *, CASE WHEN status IN ('purchase', 'signup') THEN 'pdf' ELSE 'fast' END AS lane FROM runs))""", (C.RUNS,))
+# eight places in a lane; a job may run for six hours
+ROOM, STALL = 8, 21_600
+LANE_EVENTS = """lane_events AS (SELECT (['upload-fast', 'upload-pdf', 'ocr', 'ontology'])[user_id % 4 + 1] AS kind, kb AS space, run_id AS event_id, created_at AS at_,
+  CASE WHEN status IN ('view', 'click') THEN 'submit' WHEN status = 'purchase' THEN 'take' WHEN status = 'signup' THEN 'finish' WHEN k < 60 THEN 'fail' WHEN k < 95 THEN 'cancel' ELSE 'restart' END AS action FROM runs)"""
+# one step for each event of a lane: its queue, its running jobs and what it says
+LANES = """numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY kind, space ORDER BY at_, event_id) AS n FROM lane_events),
+fold AS (SELECT kind, space, 0::BIGINT AS n, []::STRUCT(j BIGINT, v INT)[] AS q, []::STRUCT(j BIGINT, v INT, s BIGINT)[] AS r, []::STRUCT(job BIGINT, version INT, status VARCHAR, code VARCHAR, at_ BIGINT)[] AS said FROM (SELECT DISTINCT kind, space FROM lane_events)
+  UNION ALL SELECT kind, space, n,
+    CASE WHEN action = 'submit' AND len(q) < 8 THEN list_append(q, {j: event_id, v: 1}) WHEN action = 'take' THEN q[2:] WHEN action = 'cancel' THEN q[:len(q) - 1]
+         WHEN action = 'restart' THEN list_concat(list_transform(alive[:8 - len(q)], lambda x: {j: x.j, v: x.v + 1}), q) ELSE q END,
+    CASE WHEN action = 'take' AND len(q) > 0 THEN list_append(alive, {j: q[1].j, v: q[1].v + 1, s: at_}) WHEN action IN ('finish', 'fail') THEN alive[2:]
+         WHEN action = 'cancel' AND len(q) = 0 AND len(alive) > 0 THEN list_append(alive[:len(alive) - 1], {j: alive[-1].j, v: alive[-1].v + 1, s: alive[-1].s}) WHEN action = 'restart' THEN [] ELSE alive END,
+    list_concat(list_transform(list_filter(r, lambda x: x.s + 21600 <= at_), lambda x: {job: x.j, version: x.v + 1, status: 'error', code: 'stalled', at_: x.s + 21600}),
+      CASE WHEN action = 'submit' THEN [{job: event_id, version: 1, status: CASE WHEN len(q) < 8 THEN 'queued' ELSE 'error' END, code: CASE WHEN len(q) < 8 THEN '' ELSE 'queue_full' END, at_: at_}]
+           WHEN action = 'take' AND len(q) > 0 THEN [{job: q[1].j, version: q[1].v + 1, status: 'processing', code: '', at_: at_}]
+           WHEN action IN ('finish', 'fail') AND len(alive) > 0 THEN [{job: alive[1].j, version: alive[1].v + 1, status: CASE WHEN action = 'finish' THEN 'success' ELSE 'error' END, code: CASE WHEN action = 'finish' THEN '' ELSE 'failed' END, at_: at_}]
+           WHEN action = 'cancel' AND len(q) > 0 THEN [{job: q[-1].j, version: q[-1].v + 1, status: 'cancelled', code: '', at_: at_}]
+           WHEN action = 'cancel' AND len(alive) > 0 THEN [{job: alive[-1].j, version: alive[-1].v + 1, status: 'cancelling', code: '', at_: at_}]
+           WHEN action = 'restart' THEN list_transform(alive, lambda x, i: {job: x.j, version: x.v + 1, status: CASE WHEN i <= 8 - len(q) THEN 'queued' ELSE 'error' END, code: CASE WHEN i <= 8 - len(q) THEN 'recovered' ELSE 'requeue_full' END, at_: at_})
+           ELSE [] END)
+  FROM (SELECT e.*, f.q, f.r, list_filter(f.r, lambda x: x.s + 21600 > e.at_) AS alive FROM fold f JOIN numbered e ON e.kind = f.kind AND e.space = f.space AND e.n = f.n + 1)),
+ends AS (SELECT kind, space, arg_max(r, n) AS r FROM fold GROUP BY kind, space),
+changes AS (SELECT kind, space, unnest(said) AS x FROM fold UNION ALL SELECT kind, space, {job: x.j, version: x.v + 1, status: 'error', code: 'stalled', at_: x.s + 21600} FROM (SELECT kind, space, unnest(r) AS x FROM ends) WHERE x.s + 21600 <= (SELECT max(at_) FROM lane_events))"""
+
+
+def lane_events(spark, sf):
+    """Runs as events of lanes: kinds of jobs by user, spaces by knowledge base."""
+    r = C.runs(spark, sf)
+    kind = F.element_at(F.array(*map(F.lit, ("upload-fast", "upload-pdf", "ocr", "ontology"))), (F.col("user_id") % 4 + 1).cast("int"))
+    status, k = F.col("status"), F.col("k")
+    action = F.when(status.isin("view", "click"), "submit").when(status == "purchase", "take").when(status == "signup", "finish").when(k < 60, "fail").when(k < 95, "cancel").otherwise("restart")
+    return r.select(kind.alias("kind"), F.col("kb").alias("space"), F.col("run_id").alias("event_id"), action.alias("action"), F.col("created_at").alias("at"))
+
+
+@query("st_queue_lanes", "SELECT kind, space, x.job AS job, x.version AS version, x.status AS status, x.code AS code FROM changes", (C.RUNS, LANE_EVENTS, LANES), recursive=True)
 def st_queue_lanes(spark, sf):
-    """Jobs of a user in two lanes of 50 places: the place in the lane, and whether the lane is full."""
-    lane = F.when(F.col("status").isin("purchase", "signup"), "pdf").otherwise("fast")
-    place = F.row_number().over(W.partitionBy("user_id", "lane").orderBy("created_at", "run_id"))
-    return C.runs(spark, sf).withColumn("lane", lane).withColumn("place", place).select("run_id", "lane", "place", (F.col("place") > 50).alias("refused"))
+    """Every public change of every job in bounded lanes, out of the stream: all events have arrived, and the stream runs until it has read them."""
+    from docloom.streaming import lanes
+    from docloom.tables import folder
+
+    given, out = folder(spark, "lane-events"), folder(spark, "lane-changes")
+    e = lane_events(spark, sf)
+    e.write.parquet(given)
+    lanes.run_once(spark.readStream.schema(e.schema).parquet(given), out, folder(spark, "lane-checkpoint"), ROOM, STALL)
+    return spark.read.schema(lanes.OUT).parquet(out).drop("at")
+
+
+@query("jobs_by_kind", "SELECT kind, x.status AS status, x.code AS code, count(*) AS n, count(DISTINCT x.job) AS jobs FROM changes GROUP BY ALL", (C.RUNS, LANE_EVENTS, LANES), recursive=True)
+def jobs_by_kind(spark, sf):
+    """Changes of the jobs of each kind (uploads, OCR, fact rebuilds), from whole histories."""
+    from docloom.streaming import lanes
+
+    e = lane_events(spark, sf)
+    until = e.agg(F.max("at")).first()[0] or 0
+    return lanes.replay(e, ROOM, STALL, until).groupBy("kind", "status", "code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("job").alias("jobs"))
 
 
 @query("st_recovery", "SELECT user_id, arg_max(run_id, created_at * 1000000 + run_id) AS run_id FROM runs GROUP BY user_id HAVING arg_max(status, created_at * 1000000 + run_id) NOT IN ('purchase', 'error')", (C.RUNS,))
