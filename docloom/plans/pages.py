@@ -203,6 +203,39 @@ def jobs_by_kind(spark, sf):
     return lanes.replay(e, ROOM, STALL, until).groupBy("kind", "status", "code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("job").alias("jobs"))
 
 
+# five batches: all rows, edits, deletions, late edits of rows that are older than what is stored, deleted rows that come back
+CHANGES = """changes AS (SELECT doc_id AS id, 1 AS version, text, false AS deleted, 0 AS batch FROM documents UNION ALL SELECT doc_id, 3, 'edited ' || text, false, 1 FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 4, NULL, true, 2 FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id, 2, 'late ' || text, false, 3 FROM documents WHERE doc_id % 14 = 0 OR doc_id % 11 = 1
+  UNION ALL SELECT doc_id, 5, 'again ' || text, false, 4 FROM documents WHERE doc_id % 20 = 3 UNION ALL SELECT doc_id, 6, NULL, true, 5 FROM documents WHERE doc_id % 40 = 3)"""
+
+
+def changes(spark, sf, batch):
+    """One batch of changes of the documents."""
+    d = C.read(spark, sf, "documents")
+    i, text = F.col("doc_id"), F.col("text")
+    when, version, body = [
+        (F.lit(True), 1, text), (i % 7 == 0, 3, F.concat(F.lit("edited "), text)), (i % 10 == 3, 4, None), ((i % 14 == 0) | (i % 11 == 1), 2, F.concat(F.lit("late "), text)),
+        (i % 20 == 3, 5, F.concat(F.lit("again "), text)), (i % 40 == 3, 6, None),
+    ][batch]
+    return d.filter(when).select(i.alias("id"), F.lit(version).alias("version"), (body if body is not None else F.lit(None).cast("string")).alias("text"), F.lit(body is None).alias("deleted"))
+
+
+@query("st_incremental_index", r"SELECT id, version, md5(text) AS text_md5, len(list_distinct(list_transform(regexp_extract_all(text, '[0-9A-Za-zㄱ-ㆎ가-힣]+'), lambda x: lower(x))))::INT AS tokens FROM (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, batch DESC) = 1) WHERE NOT deleted", (CHANGES,))
+def st_incremental_index(spark, sf):
+    """The index of a corpus that six batches of a stream have changed: edits, deletions, late and repeated versions."""
+    from docloom.functions import text as T
+    from docloom.streaming.store import Store, maintain
+    from docloom.tables import folder
+
+    given, checkpoint, store = folder(spark, "index-changes"), folder(spark, "index-checkpoint"), Store(spark, folder(spark, "index-store"), "id", "version")
+    build = lambda rows: rows.select("id", "version", F.md5("text").alias("text_md5"), F.size(F.array_distinct(F.transform(T.extract_all("text", T.TOKEN), lambda t: F.lower(t)))).alias("tokens"))
+    for batch in range(6):
+        rows = changes(spark, sf, batch)
+        rows.write.mode("append").parquet(given)
+        maintain(spark.readStream.schema(rows.schema).parquet(given), store, checkpoint, build).awaitTermination()  # a new query each time, from its checkpoint
+    return store.read().select("id", "version", "text_md5", "tokens")
+
+
 @query("st_recovery", "SELECT user_id, arg_max(run_id, created_at * 1000000 + run_id) AS run_id FROM runs GROUP BY user_id HAVING arg_max(status, created_at * 1000000 + run_id) NOT IN ('purchase', 'error')", (C.RUNS,))
 def st_recovery(spark, sf):
     """Last state of each job; those that had not come to an end are queued again."""

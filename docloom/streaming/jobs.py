@@ -1,8 +1,8 @@
-"""Stateful operators as streams: failure events once, job versions, stalls, incremental indexing, feedback ledger."""
+"""Stateful operators as streams: failure events once, job versions, stalls."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,23 +56,3 @@ def stalled_jobs(events: DataFrame, seconds: int, late: str = "0 seconds") -> Da
         yield pd.DataFrame([], columns=["job", "since", "phase"])
 
     return events.withWatermark("ts", late).groupBy("job").applyInPandasWithState(step, "job long, since timestamp, phase string", "since long, phase string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def index_batches(stream: DataFrame, store: str, checkpoint: str, key: str, version: str, build: Callable[[DataFrame], DataFrame]):
-    """Incremental index: each micro-batch's changed rows are built and appended as one generation; ``read_index`` takes the newest of each key.
-
-    A repeated batch writes the same folder again, so the result holds after failures.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{store}/generation={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_index(spark, store: str, key: str, version: str) -> DataFrame:
-    """The newest built row of each key over all generations."""
-    from docloom.sources.sinks import upsert
-
-    rows = spark.read.parquet(store)
-    return upsert(rows.limit(0), rows, [key], version)

@@ -1,7 +1,9 @@
 """Streams with availableNow give what the batch form gives."""
 
+from pyspark.sql import functions as F
+
 from docloom.sources import carriers as C
-from docloom.streaming import jobs
+from docloom.streaming import jobs, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,9 +43,40 @@ def test_job_versions(spark, tmp_path):
     assert got.count() == want
 
 
-def test_index_generations(spark, tmp_path):
-    d = C.read(spark, SF, "documents").selectExpr("doc_id AS id", "length(text) AS n", "doc_id % 3 AS version")
-    q = jobs.index_batches(feed(spark, tmp_path, d), str(tmp_path / "store"), str(tmp_path / "cp"), "id", "version", lambda x: x)
-    q.awaitTermination()
-    got = jobs.read_index(spark, str(tmp_path / "store"), "id", "version")
-    assert {(r.id, r.n) for r in got.collect()} == {(r.id, r.n) for r in d.collect()}
+def test_index_store(spark, tmp_path):
+    """Random batches with deletions, late versions and repeats: the store reads as the plain dictionary, with few generations."""
+    import random
+
+    rnd = random.Random(3)
+    s, want = store.Store(spark, str(tmp_path / "store"), "id", "version"), {}
+    assert s.read() is None and s.generations() == []
+    for batch in range(9):
+        rows = [(i, rnd.randint(0, 20), f"t{batch}-{i}", rnd.random() < 0.3) for i in rnd.sample(range(60), 25)] + [(1, 5, "a", False), (1, 5, None, True), (1, 4, "c", False)] * (batch == 4)
+        frame = spark.createDataFrame(rows, "id long, version int, text string, deleted boolean")
+        s.apply(frame, batch, lambda x: x.withColumn("n", F.length("text")))
+        if batch % 3 == 0:
+            s.apply(frame, batch)  # repeated after a failure
+        last = {}
+        for i, v, text, gone in rows:
+            if i not in last or (v, gone) > last[i][:2]:
+                last[i] = (v, gone, text)
+        for i, (v, gone, text) in last.items():
+            if i not in want or v >= want[i][0]:
+                want[i] = (v, gone, text)
+        got = {r.id: (r.version, r.text, r.n) for r in s.read().collect()}
+        assert got == {i: (v, text, len(text)) for i, (v, gone, text) in want.items() if not gone}
+        assert len(s.generations()) <= store.FAN
+    assert s.vacuum() and s.vacuum() == [] and s.read().count() == len(got)
+    assert [g.low for g in s.generations()][0] == 0 and s.generations()[-1].high == 8
+
+
+def test_settled_tombstones_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FAN", 1)
+    s = store.Store(spark, str(tmp_path / "store"), "id", "version")
+    for batch in range(7):
+        rows = [(i, batch, "x", batch % 2 == 1 and i < 5) for i in range(10)]
+        s.apply(spark.createDataFrame(rows, "id long, version int, text string, deleted boolean"), batch, settled=batch)
+    assert {r.id for r in s.read().collect()} == set(range(10))
+    s.apply(spark.createDataFrame([(i, 9, None, True) for i in range(4)], "id long, version int, text string, deleted boolean"), 7, settled=100)
+    s.apply(spark.createDataFrame([(50, 9, "y", False)], "id long, version int, text string, deleted boolean"), 8, settled=100)
+    assert {r.id for r in s.read().collect()} == {*range(4, 10), 50} and [g.rows for g in s.generations()] == [7]
