@@ -52,7 +52,34 @@ def scan_xlsx(spark, sf):
   UNION ALL SELECT block, 2 + 2 * n, 'cell', s_name, 1, n + 1, 1 FROM files UNION ALL SELECT block, 3 + 2 * n, 'cell', s_nationkey::VARCHAR, 1, n + 1, 2 FROM files)""", (FILES,))
 def scan_hwpx(spark, sf):
     """Archives of a hundred suppliers each."""
-    return readers.parse_archives(_blocks(spark, sf, _archive))
+    return readers.parse_archives(_blocks(spark, sf, _archive)).select("path", "section", "seq", "kind", "text", "table_no", "row_no", "cell_no", "heading")
+
+
+def _outline(pdf: pd.DataFrame) -> bytes:
+    """Chapters by region of the nation's number, sections and articles by rule, some of them by style only, a body paragraph under each."""
+    parts = []
+    for i, (name, nation) in enumerate(zip(pdf["s_name"], map(int, pdf["nation"]), strict=True)):
+        kind = nation % 6
+        title = [f"제{i + 1}장 {name}", f"제 {i + 1} 절 {name}", f"제{i + 1}조 {name}", f"{i + 1}.2 {name}", name, f"제{i + 1}항 {name}"][kind]
+        parts.append(f'<p styleIDRef="{"7" if kind == 4 else "0"}"><t>{escape(title)}</t></p><p><t>{"다만 " if nation % 2 else ""}text of {escape(name)}</t></p>')
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("Contents/header.xml", '<head><styles><style id="0" name="바탕글"/><style id="7" name="개요 2"/></styles></head>')
+        z.writestr("Contents/section0.xml", f"<s>{''.join(parts)}</s>")
+    return buffer.getvalue()
+
+
+# one step for each heading: what stands from its level on goes, and it comes after the rest
+STACK = """titled AS (SELECT block, n, s_name, s_nationkey % 2 AS odd, (['제' || n || '장 ' || s_name, '제 ' || n || ' 절 ' || s_name, '제' || n || '조 ' || s_name, n || '.2 ' || s_name, s_name, '제' || n || '항 ' || s_name])[s_nationkey % 6 + 1] AS title,
+  ([1, 2, 3, 4, 2, 4])[s_nationkey % 6 + 1] AS level, CASE WHEN s_nationkey % 6 = 4 THEN 'style' ELSE 'regex' END AS source FROM files),
+stack AS (SELECT block, n, [title] AS path FROM titled WHERE n = 1 UNION ALL SELECT t.block, t.n, list_append(s.path[1:t.level - 1], t.title) FROM stack s JOIN titled t ON t.block = s.block AND t.n = s.n + 1)"""
+
+
+@query("scan_hwpx_outline", """SELECT t.block::VARCHAR AS path, (2 * t.n - 2 + k)::INT AS seq, CASE k WHEN 0 THEN t.title ELSE CASE WHEN odd = 1 THEN '다만 ' ELSE '' END || 'text of ' || s_name END AS text, t.title AS heading, s.path AS heading_path,
+  CASE k WHEN 0 THEN source ELSE '' END AS source, CASE WHEN k = 0 THEN 'heading' WHEN odd = 1 THEN 'exception' ELSE 'body' END AS sort FROM titled t JOIN stack s USING (block, n), range(2) AS r(k)""", (FILES, STACK), recursive=True)
+def scan_hwpx_outline(spark, sf):
+    """Archives whose headings have levels, by number or by style: the path of headings at each paragraph."""
+    return readers.parse_archives(_blocks(spark, sf, _outline)).select("path", "seq", "text", "heading", "heading_path", "source", "sort")
 
 
 @query("hwpx_hints", """SELECT block::VARCHAR AS path, (n + 1)::INT AS row_no, ['표행요약: 품목=' || s_name || ' | 단가=' || s_nationkey || '천원',

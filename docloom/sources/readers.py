@@ -9,13 +9,19 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docloom.functions import text as T
 
+# fixed values: levels of numbered headings (any other is of level 4) and of paragraph styles, and kinds of paragraphs
+HEADING = r"^제\s*\d+\s*(장|절|조|항)"
+LEVELS = {"장": 1, "절": 2, "조": 3, "항": 4}
+PLAIN_LEVEL, DEEPEST = 4, 6
+STYLE = re.compile(r"(?:heading|제목|개요)\s*([1-6])?", re.IGNORECASE)
+KINDS = (("exception", "(다만|제외|예외|불구하고)"), ("condition", "(경우|때|요건|조건|한하여)"), ("definition", "(이란|란\\s|이라 함은|정의한다)"))
 # fixed values: encodings in the order they are tried
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
 BATCH = 16
@@ -84,28 +90,43 @@ def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return cases.drop("fault")
 
 
-def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int, int]]:
-    """section, order, kind ('paragraph' or 'cell'), text, table, row, cell of the section parts of a zipped XML document."""
+def _local(e) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _styles(z: zipfile.ZipFile) -> dict[str, int]:
+    """Heading level of each paragraph style of the document's header part (by id) that names one."""
+    out = {}
+    for name in z.namelist():
+        if re.search(r"(^|/)header\.xml$", name):
+            for e in ElementTree.fromstring(z.read(name)).iter():
+                if _local(e) == "style" and (m := next((m for k in ("name", "engName") if (m := STYLE.search(e.get(k, "")))), None)):
+                    out[e.get("id", "")] = int(m[1] or 1)
+    return out
+
+
+def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int, int, int]]:
+    """section, order, kind ('paragraph' or 'cell'), text, table, row, cell, heading level of the style (0 for none) of the section parts of a zipped XML document."""
     out = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = sorted((n for n in z.namelist() if re.search(r"section\d+\.xml$", n)), key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]))
+        styles = _styles(z)
         for k, name in enumerate(names):
             tables = 0
-            local = lambda e: e.tag.rsplit("}", 1)[-1]
-            words = lambda e: " ".join("".join(x.itertext()) for x in e.iter() if local(x) == "t").strip()
+            words = lambda e: " ".join("".join(x.itertext()) for x in e.iter() if _local(x) == "t").strip()
 
             def walk(e, k=k) -> None:
                 nonlocal tables
-                if local(e) == "tbl":
+                if _local(e) == "tbl":
                     tables += 1
-                    for i, tr in enumerate([x for x in e.iter() if local(x) == "tr"], 1):
-                        for j, tc in enumerate([x for x in tr if local(x) == "tc"], 1):
+                    for i, tr in enumerate([x for x in e.iter() if _local(x) == "tr"], 1):
+                        for j, tc in enumerate([x for x in tr if _local(x) == "tc"], 1):
                             if body := words(tc):
-                                out.append((k, len(out), "cell", body, tables, i, j))
+                                out.append((k, len(out), "cell", body, tables, i, j, 0))
                     return
-                if local(e) == "p" and not any(local(x) == "tbl" for x in e.iter()):
+                if _local(e) == "p" and not any(_local(x) == "tbl" for x in e.iter()):
                     if body := words(e):
-                        out.append((k, len(out), "paragraph", body, 0, 0, 0))
+                        out.append((k, len(out), "paragraph", body, 0, 0, 0, styles.get(e.get("styleIDRef", ""), 0)))
                     return
                 for x in e:
                     walk(x)
@@ -114,19 +135,45 @@ def archive_records(raw: bytes) -> list[tuple[int, int, str, str, int, int, int]
     return out
 
 
+def heading_paths(rows: DataFrame, part: list[str], order: str, level: Column, text: str = "text") -> DataFrame:
+    """rows with heading_path: the headings that hold at each row, outermost first. level: 1 to 6 of a heading, null of other rows.
+
+    A heading of level n takes away what stands from the n-th place on and comes after the rest, so its place is the smaller of its level and
+    one more than the place of the heading before: the running minimum of level less number, plus its own number. The n-th heading of a path is
+    the last one at place n.
+    """
+    so_far = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__level", level).withColumn("__no", F.count("__level").over(so_far))
+    rows = rows.withColumn("__least", F.min(F.col("__level") - F.col("__no")).over(so_far))
+    place = F.least(F.col("__no"), F.col("__least") + F.col("__no"))
+    rows = rows.withColumn("__place", F.when(F.col("__level").isNotNull(), place))
+    here = F.last("__place", ignorenulls=True).over(so_far)
+    at = [F.last(F.when(F.col("__place") == n, F.col(text)), ignorenulls=True).over(so_far) for n in range(1, DEEPEST + 1)]
+    path = F.slice(F.array(*at), F.lit(1), F.coalesce(here, F.lit(0)).cast("int"))
+    return rows.withColumn("heading_path", path).drop("__level", "__no", "__least", "__place")
+
+
 def parse_archives(files: DataFrame) -> DataFrame:
-    """Records of zipped XML documents (path, content) with the heading that holds at each (the last section line before it)."""
+    """Records of zipped XML documents (path, content) with heading (the last section line before), heading_path, source ('style', 'regex' or '') and sort."""
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = [(p, *r) for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in archive_records(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "section", "seq", "kind", "text", "table_no", "row_no", "cell_no"])
+            yield pd.DataFrame(rows, columns=["path", "section", "seq", "kind", "text", "table_no", "row_no", "cell_no", "style_level"])
 
-    rows = files.select("path", "content").mapInPandas(run, "path string, section int, seq int, kind string, text string, table_no int, row_no int, cell_no int")
+    rows = files.select("path", "content").mapInPandas(run, "path string, section int, seq int, kind string, text string, table_no int, row_no int, cell_no int, style_level int")
+    styled, lined = F.col("style_level") > 0, T.is_section("text")
+    numbered = F.coalesce(*[F.when(F.regexp_extract("text", HEADING, 1) == k, v) for k, v in LEVELS.items()], F.lit(PLAIN_LEVEL))
+    level = F.when(styled, F.col("style_level")).when(lined, numbered)
+    rows = heading_paths(rows, ["path", "section"], "seq", level)
     w = W.partitionBy("path", "section").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    heading = F.last(F.when((F.col("kind") == "paragraph") & T.is_section("text"), F.col("text")), ignorenulls=True).over(w)
-    return rows.withColumn("heading", F.coalesce(heading, F.lit("")))
+    heading = F.last(F.when(styled | lined, F.col("text")), ignorenulls=True).over(w)
+    sort = F.when(styled | lined, "heading").when(F.col("kind") == "cell", "table_row")
+    for name, pattern in KINDS:
+        sort = sort.when(F.col("text").rlike(pattern), name)
+    source = F.when(styled, "style").when(lined, "regex").otherwise("")
+    return rows.withColumns({"heading": F.coalesce(heading, F.lit("")), "source": source, "sort": sort.otherwise("body")}).drop("style_level")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -84,3 +84,28 @@ def test_json_lines(spark):
     got = sorted((str(r.id), str(r.query), str(r.fault)) for r in readers.parse_cases(lines, "id long, query string").collect())
     assert got == [("1", "a", "None"), ("2", "None", "a case needs id and query"), ("2", "b", "duplicate case id"), ("None", "None", "not an object"), ("None", "None", "not an object")]
     assert readers.parse_lines(lines.filter(F.lit(False)), "id long").count() == 0
+
+
+def outlined(parts) -> bytes:
+    """An archive with a namespace, styles and a nested run; parts: (style, text)."""
+    buffer = io.BytesIO()
+    space = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph"'
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("Contents/header.xml", '<h:head xmlns:h="x"><h:style id="1" name="제목 1"/><h:style id="2" engName="Heading 2"/><h:style id="3" name="개요"/></h:head>')
+        body = "".join(f'<hp:p styleIDRef="{s}"><hp:run><hp:t>{t}</hp:t></hp:run></hp:p>' for s, t in parts)
+        z.writestr("Contents/section0.xml", f"<hp:sec {space}>{body}</hp:sec>")
+        z.writestr("Contents/section1.xml", f'<hp:sec {space}><hp:p><hp:run><hp:t>of its own</hp:t></hp:run></hp:p></hp:sec>')
+    return buffer.getvalue()
+
+
+def test_heading_paths(spark):
+    one = [("", "제1장 총칙"), ("", "제2조 조사대상"), ("", "조사대상이란 무엇을 말한다"), ("", "before"), ("", "제 2 절 가"), ("", "다만 아니다"), ("", "제3장 나"), ("", "경우"), ("", "1.1 plain number"), ("", "2.2 another"), ("", "3.3 third"), ("", "4.4 fourth"), ("", "end")]
+    two = [("", "no heading"), ("1", "조사 개요"), ("2", "조사 대상"), ("", "body"), ("2", "next"), ("3", "first again"), ("", "제4조 deep"), ("", "end")]
+    rows = readers.parse_archives(spark.createDataFrame([("one", outlined(one)), ("two", outlined(two))], "path string, content binary")).collect()
+    path = {(r.path, r.text): r.heading_path for r in rows}
+    assert path["one", "조사대상이란 무엇을 말한다"] == ["제1장 총칙", "제2조 조사대상"] and path["one", "다만 아니다"] == ["제1장 총칙", "제 2 절 가"]
+    assert path["one", "경우"] == ["제3장 나"] and path["one", "end"] == ["제3장 나", "1.1 plain number", "2.2 another", "4.4 fourth"]
+    assert path["two", "no heading"] == [] and path["two", "body"] == ["조사 개요", "조사 대상"] and path["two", "next"] == ["조사 개요", "next"] and path["two", "end"] == ["first again", "제4조 deep"]
+    assert path["one", "of its own"] == []
+    sort = {r.text: (r.sort, r.source) for r in rows}
+    assert sort["다만 아니다"] == ("exception", "") and sort["경우"] == ("condition", "") and sort["조사대상이란 무엇을 말한다"] == ("definition", "") and sort["조사 대상"] == ("heading", "style") and sort["제3장 나"] == ("heading", "regex")
