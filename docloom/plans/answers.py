@@ -331,14 +331,6 @@ def numeric_signatures(spark, sf):
     return C.fact_rows(spark, sf).select("row_no", A.numeric_signatures(text).alias("signatures"))
 
 
-@query("set_subset", "SELECT row_no, row_no % 2 = 0 AS grounded FROM fact_rows", (C.FACT_ROWS,))
-def set_subset(spark, sf):
-    n = F.col("row_no")
-    answer = A.numeric_signatures(F.concat(n.cast("string"), F.lit("명")))
-    evidence = A.numeric_signatures(F.when(n % 2 == 0, F.concat(F.lit("모두 "), n.cast("string"), F.lit(" 명, 3건"))).otherwise("3건"))
-    return C.fact_rows(spark, sf).select("row_no", A.grounded(answer, evidence).alias("grounded"))
-
-
 @query("evidence_alignment", r"""SELECT query_id, id, CASE WHEN len(q) = 0 THEN 1.0 ELSE round(len(list_filter(q, lambda t: len(list_filter(e, lambda x: contains(x, t) OR contains(t, x))) > 0)) / len(q), 6) END AS score FROM (
   SELECT query_id, id, list_distinct(list_filter(list_transform(regexp_extract_all(query, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS q,
     list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS e FROM res WHERE rank <= 3)""", P.RANKED24)

@@ -182,23 +182,6 @@ def elapsed_ratio(spark, sf):
     return C.runs(spark, sf).select("run_id", F.round(O.elapsed_ratio(F.col("k"), F.lit(60.0)), 6).alias("ratio"))
 
 
-MSG = "(['cuda out of memory', 'Context size exceeded maximum token', 'upload queue is full', 'PDF OCR failed', 'too large', '', 'tool calls limit reached', 'odd', 'could not load embedding model', 'no kernel image is available for execution on the device'])[run_id % 10 + 1]"
-
-
-def message():
-    return F.element_at(F.array(*map(F.lit, ("cuda out of memory", "Context size exceeded maximum token", "upload queue is full", "PDF OCR failed", "too large", "", "tool calls limit reached", "odd", "could not load embedding model", "no kernel image is available for execution on the device"))), (F.col("run_id") % 10 + 1).cast("int"))
-
-
-@query("classify_failure", "SELECT run_id, (['runtime_error', 'context_overflow', 'upload_queue_full', 'ocr_inference_fail', 'upload_size_limit', 'runtime_error', 'answer_tool_budget_exhausted', 'runtime_error', 'embedding_model_load_fail', 'runtime_error'])[run_id % 10 + 1] AS code FROM runs", R)
-def classify_failure(spark, sf):
-    return C.runs(spark, sf).select("run_id", O.by_rules(message(), O.FAILURES, "runtime_error").alias("code"))
-
-
-@query("classify_ocr_failure", "SELECT run_id, (['gpu_oom', '', '', '', '', '', '', '', '', 'gpu_kernel_incompatible'])[run_id % 10 + 1] AS reason FROM runs", R)
-def classify_ocr_failure(spark, sf):
-    return C.runs(spark, sf).select("run_id", O.by_rules(message(), O.OCR_FAILURES, "").alias("reason"))
-
-
 @query("agg_conversation_state", """WITH t AS (SELECT session_id, seq, CASE role WHEN 'user' THEN 'document_qa' WHEN 'assistant' THEN 'casual_chat' ELSE 'clarify' END AS mode, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM messages),
 f AS (SELECT session_id, min(CASE WHEN mode <> 'casual_chat' AND mode <> 'clarify' THEN n END) AS stop FROM t GROUP BY session_id)
 SELECT session_id, arg_min(mode, n) FILTER (mode <> 'clarify') AS last_mode, arg_min(seq, n) FILTER (mode <> 'clarify') AS anchor, count_if(mode = 'casual_chat' AND n < coalesce(stop, 1000000)) AS streak FROM t JOIN f USING (session_id) GROUP BY session_id""", M)

@@ -16,64 +16,6 @@ from docloom.sources import carriers as C
 CH, RN, QS = (C.CHUNKS,), (C.RUNS,), (C.QUESTIONS,)
 
 
-def pick(col, values):
-    """One of the values by the column."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.col(col) % len(values) + 1).cast("int"))
-
-
-def sql(col, values):
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"([{', '.join(map(lit, values))}])[{col} % {len(values)} + 1]"
-
-
-def table(name, inputs, outputs, rule, column="value"):
-    """Register a rule over run rows whose inputs and expected values are listed by hand."""
-
-    @query(name, f"SELECT run_id, {sql('run_id', outputs)} AS {column} FROM runs", RN)
-    def run(spark, sf):
-        return C.runs(spark, sf).select("run_id", rule(pick("run_id", inputs)).alias(column))
-
-
-table("numeric_query", ("지급 단가는 얼마", "품목 종류가 뭐야", "회의 3월 10일", "절차 설명", "답례품", "plain"), (True, False, True, False, True, False), R.numeric_question)
-table("general_fallback_allowed", ("안녕하세요", "세금 문의", "단가 얼마", "날씨 이야기"), (True, False, False, True), lambda c: R.general_answer_allowed(c, F.lit(False)))
-table("intent_role", ("지침 원칙 기준", "사례 faq 예시", "지침 사례", "그냥", "조사했는데 이런 경우 사례"), ("guide", "casebook", "mixed", "mixed", "casebook"), R.role_intent)
-table("intent_det", ("전체 요약", "정의가 뭐야", "방법 알려줘", "차이 비교", "plain", ""), ("summary", "definition", "procedure", "comparison", "fact", "mixed"), R.question_intent)
-table("infer_role_upload", ("사례집.hwpx", "Guide.pdf", "a.xlsx", "b.txt", "c.hwpx"), ("casebook", "guide", "casebook", "guide", "unknown"), lambda c: R.upload_role(c, F.regexp_extract(c, r"(\.[a-z]+)$", 1)))
-table("ocr_retry_plan", ("gpu_oom", "gpu_fail", "gpu_timeout", "other"), ("single_gpu", "stop", "single_gpu", "stop"), lambda c: F.coalesce(R.retry_mode(F.lit("parallel_gpu"), c, F.lit(3)), F.lit("stop")))
-table("stage_failure_default", ("embed_chunks", "Store_Chunks", "read_text", "sync_derived"), ("upload_embedding_fail", "upload_index_fail", "upload_ingest_fail", "upload_index_fail"), lambda c: R.stage_failure(c, F.lit(True)))
-table("page_stats_from_message", ("OCR (3/9)", "(12 / 4)", "none"), (309, 1212, 0), lambda c: F.coalesce(R.progress_pages(c)["current_page"] * 100 + R.progress_pages(c)["total_pages"], F.lit(0)))
-table("pdf_page_of_row", ("PDF page 7", "x PDF page  12 y", "PDF page 0", "section"), (7, 12, 1, 0), lambda c: R.page_of(F.lit(0), c))
-table("weak_ocr_hint", ("OCR후보: 텍스트 부족 페이지 | 원문 확인 필요", "표값: 1", "plain", ""), (True, False, False, False), G.weak_hint)
-table("hwpx_path", ("a/tbl[1]/tr[2]/tc[3]", "table[4]/row[5]", "p[1]"), (123, 450, 0), lambda c: R.table_path(c)["table"] * 100 + R.table_path(c)["row"] * 10 + R.table_path(c)["cell"])
-table("price_like", ("30", "0", "500", "501", "1,2x", "4.5"), (True, False, True, False, False, True), lambda c: F.coalesce(R.thousand_won(c), F.lit(False)))
-table("page_chrome_filter", ("Header", "http://x", "----", "Ⅲ", "imgs/a", "real text", "표의미: x", "photo.png"), (True, True, True, True, True, False, True, True), R.chrome_line)
-table("helper_items", ("a || b||a || - ||  c  d", "", "x"), ("a,b,c d", "", "x"), lambda c: F.array_join(R.helper_items(c), ","))
-table("doc_renumber", ("see [DOC 1] and [DOC 12].", "none", "[DOC x] [DOC 2]"), ("see [DOC 5] and [DOC 16].", "none", "[DOC x] [DOC 6]"), lambda c: R.renumber(c, 5))
-table("variant_expand", ("3번 항목", "plain"), ("3번 항목 3번 3. 3 항목 3 단계 제3항 section 3 result 3", "plain"), G.expand_number_refs)
-table("variant_det_expand", ("a  bb cc bb", ""), ("a bb cc bb bb cc", ""), R.expansion)
-table("name_aliases", ("가계조사(도시)", "농·어가조사", "단일"), ("가계조사(도시)|가계조사|도시", "농·어가조사|농어가조사|농가조사|어가조사", "단일"), lambda c: F.array_join(_aliases(c), "|"))
-table("fact_format_value", ("30", "30원", "abc", "1,200"), ("30천원", "30원", "abc", "1,200천원"), lambda c: _format(c))
-table("record_role", ("Guide/a", "a 사례집", "x"), ("guide", "casebook", ""), lambda c: F.when(T.any_in(F.lower(c), ("사례집", "casebook", "q&a")), "casebook").when(T.any_in(F.lower(c), ("지침서", "guide")), "guide").otherwise(""))
-table("task_prefix", ("multilingual-e5", "Qwen3-Embedding", "jina-embeddings-v5", "other"), ("query: t", "Instruct: find\nQuery: t", "t", "t"), lambda c: R.task_prefix(c, F.lit("query"), F.lit(" t "), "find"))
-
-
-def _aliases(c):
-    from docloom.operators import ingest
-
-    return ingest.name_aliases(c)
-
-
-def _format(c):
-    from docloom.operators import ingest
-
-    return ingest.format_value(F.lit("지급단가"), c, c)
-
-
-@query("role_plan", "SELECT query_id, CASE query_id % 3 WHEN 0 THEN ['guide', 'all'] WHEN 1 THEN ['casebook', 'all'] ELSE ['all'] END AS plan FROM questions", QS)
-def role_plan(spark, sf):
-    return C.questions(spark, sf).select("query_id", R.role_plan(pick("query_id", ("guide", "casebook", "mixed"))).alias("plan"))
-
-
 @query("ocr_fast_quality", "SELECT run_id, k * 3 >= 80 AND latency >= 0.72 AND 0.2 <= 0.35 AND (k % 10) / 10.0 >= 0.45 AS ok FROM runs", RN)
 def ocr_fast_quality(spark, sf):
     return C.runs(spark, sf).select("run_id", R.fast_page_ok(F.col("k") * 3, F.col("latency"), F.lit(0.2), (F.col("k") % 10) / 10.0).alias("ok"))
@@ -90,34 +32,6 @@ def ocr_runtime_summary(spark, sf):
     return t.select("kb", *R.ocr_rates(F.col("pages"), F.col("seconds")))
 
 
-@query("location_label", "SELECT id, CASE WHEN id % 3 = 0 AND id % 9 > 0 THEN '라인 ' || (id % 9)::VARCHAR || '-' || (id % 9 + 4)::VARCHAR WHEN id % 3 = 1 THEN section ELSE '위치 정보 없음' END AS label FROM chunks", CH)
-def location_label(spark, sf):
-    i = F.col("id")
-    return C.chunks(spark, sf).select("id", R.location(F.when(i % 3 == 0, i % 9).otherwise(0), i % 9 + 4, F.when(i % 3 == 1, F.col("section")).otherwise("")).alias("label"))
-
-
-@query("lazy_ocr_needed", "SELECT id, source_type = 'pdf' AND id % 4 = 1 AND id % 8 = 1 AS needed FROM chunks", CH)
-def lazy_ocr_needed(spark, sf):
-    text = F.when(F.col("id") % 8 == 1, F.lit("표값: 단가 3")).otherwise(F.lit("plain"))
-    need = (F.col("source_type") == "pdf") & (R.page_of(F.lit(0), F.lit("PDF page 2")) > 0) & (G.weak_hint(text) | T.any_in(text, R.TABLE_MARKS))
-    return C.chunks(spark, sf).select("id", need.alias("needed"))
-
-
-@query("eval_answer_correct", "SELECT run_id, k % 2 = 0 AS correct FROM runs", RN)
-def eval_answer_correct(spark, sf):
-    from docloom.operators import evaluate as V
-
-    k = F.col("k").cast("string")
-    answer = F.when(F.col("k") % 2 == 0, F.concat(F.lit("It is  "), k, F.lit(" WON"))).otherwise("no idea")
-    return C.runs(spark, sf).select("run_id", V.answer_correct(F.lit(True), answer, F.array(F.concat(k, F.lit("won"))), F.array(F.lit("r"))).alias("correct"))
-
-
-@query("number_ref_guard", "SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY (id % 2 = 0) DESC, rank))::INT AS rank FROM res", P.RANKED24)
-def number_ref_guard(spark, sf):
-    r = P.results(spark, sf).withColumn("query", F.lit("3번 알려줘")).withColumn("text", F.when(F.col("id") % 2 == 0, "intro\n 3. anchor").otherwise("33. other"))
-    return G.number_guard(r, 24).select("query_id", "id", "rank")
-
-
 @query("topk_grounded", """SELECT query_id, id FROM (SELECT r.*, round(score * 0.05::DOUBLE + CASE WHEN len(q) > 0 THEN least(0.35::DOUBLE, len(list_intersect(q, t)) / len(q) * 0.35::DOUBLE) ELSE 0.0 END - is_normalized * 0.04::DOUBLE, 6) AS grounded FROM (
     SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(query, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS q,
       list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS t FROM res) r)
@@ -169,21 +83,6 @@ def sc_normalized(spark, sf):
     return C.chunks(spark, sf).select("id", F.when(F.col("is_normalized") == 1, 0.04).otherwise(0.0).alias("penalty"))
 
 
-@query("sc_weak_ocr", "SELECT id, CASE WHEN id % 2 = 0 AND id % 100 / 1000.0 <= 0.001 THEN 0.08 WHEN id % 2 = 0 AND id % 100 / 1000.0 <= 0.03 THEN 0.04 ELSE 0.0 END::DOUBLE AS penalty FROM chunks", CH)
-def sc_weak_ocr(spark, sf):
-    text = F.when(F.col("id") % 2 == 0, "OCR후보: 텍스트 부족 페이지 | 원문 확인 필요").otherwise("plain")
-    signal = F.col("id") % 100 / 1000.0
-    return C.chunks(spark, sf).select("id", F.when(G.weak_hint(text) & (signal <= 0.001), 0.08).when(G.weak_hint(text) & (signal <= 0.03), 0.04).otherwise(0.0).alias("penalty"))
-
-
-@query("citation_repair", "SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'an answer' || chr(10) || chr(10) || '근거: [DOC 2], [DOC 1]' WHEN 1 THEN 'cited [DOC 4]' ELSE 'an answer' END AS answer FROM questions", QS)
-def citation_repair(spark, sf):
-    answer = pick("query_id", ("an answer", "cited [DOC 4]", "an answer"))
-    strong = F.when(F.col("query_id") % 3 == 2, 0).otherwise(2)
-    docs, preferred = F.array(F.lit(3), F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(9))
-    return C.questions(spark, sf).select("query_id", R.repair_citation(answer, docs, preferred, strong, F.lit(False)).alias("answer"))
-
-
 @query("seeded_sufficient", "SELECT query_id, count(*) > 0 AND max(CASE WHEN rank = 1 THEN score END) >= 0.5 AS ok FROM res GROUP BY query_id", P.RANKED24)
 def seeded_sufficient(spark, sf):
     g = P.results(spark, sf).groupBy("query_id").agg(F.count_if(~G.weak_hint("text")).alias("strong"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"))
@@ -201,21 +100,6 @@ def embed_truncate(spark, sf):
     return C.chunks(spark, sf).select("id", F.length(R.truncate_to_tokens("text", 384)).alias("chars"))
 
 
-@query("fact_matches_query", "SELECT row_no, row_no % 2 = 0 AS ok FROM fact_rows", (C.FACT_ROWS,))
-def fact_matches_query(spark, sf):
-    name = F.col("values")[0]
-    question = F.when(F.col("row_no") % 2 == 0, F.concat(F.lit("what of "), F.upper(F.replace(name, F.lit(" "), F.lit("-"))))).otherwise("something else")
-    return C.fact_rows(spark, sf).select("row_no", R.fact_matches(name, F.array().cast("array<string>"), question).alias("ok"))
-
-
-@query("fact_llm_accept", "SELECT row_no, CASE WHEN row_no % 4 = 0 OR row_no % 5 = 4 THEN NULL WHEN row_no % 5 = 0 THEN 'needs_review' ELSE 'active' END AS status FROM fact_rows", (C.FACT_ROWS,))
-def fact_llm_accept(spark, sf):
-    n, name = F.col("row_no"), F.col("values")[0]
-    quote = F.when(n % 4 == 0, "elsewhere").otherwise(F.replace(name, F.lit(" "), F.lit("  ")))
-    confidence = F.element_at(F.array(*map(F.lit, (0.6, 0.7, 0.8, 0.99, 0.3))), (n % 5 + 1).cast("int"))
-    return C.fact_rows(spark, sf).select("row_no", R.accept_fact(quote, F.concat(F.lit("x "), name), confidence).alias("status"))
-
-
 @query("fact_choose_subject", "SELECT row_no, \"values\"[1] AS subject FROM fact_rows", (C.FACT_ROWS,))
 def fact_choose_subject(spark, sf):
     from docloom.operators import ingest as I
@@ -224,13 +108,6 @@ def fact_choose_subject(spark, sf):
     return C.fact_rows(spark, sf).select("row_no", I.fact_value(fact, "subject").alias("subject"))
 
 
-@query("fact_alias_expand", "SELECT run_id, CASE run_id % 3 WHEN 0 THEN ['얼마', '지급단가', '단가', '금액', 'x'] WHEN 1 THEN ['plain', 'x'] ELSE ['농어가경제조사', '농가경제조사', '농어가경제조사', 'x'] END AS tokens FROM runs", RN)
-def fact_alias_expand(spark, sf):
-    from docloom.operators import graph
-
-    return C.runs(spark, sf).select("run_id", graph.expand_aliases(F.array(pick("run_id", ("얼마", "plain", "농어가경제조사")), F.lit("x"))).alias("tokens"))
-
-
 @query("cache_key", r"SELECT query_id, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) || '|5|casebook,guide' AS key FROM questions", QS)
 def cache_key(spark, sf):
     return C.questions(spark, sf).select("query_id", R.cache_key("query", F.lit(5), F.array(F.lit("guide"), F.lit("casebook"), F.lit("guide"))).alias("key"))
