@@ -265,15 +265,15 @@ def weak_penalty(weak: Column, signal: Column) -> Column:
 
 
 def candidates(full: DataFrame, near: DataFrame, concept: DataFrame | None = None, ontology: DataFrame | None = None) -> DataFrame:
-    """query_id, id and the scores fts, concept, ontology of the rows that any generator has found."""
+    """query_id, id, the scores fts, concept, ontology of the rows that any generator has found, and own (found without facts)."""
     zero = F.lit(0.0)
-    own = lambda rows, **scores: rows.select("query_id", "id", *[scores.get(c, zero).alias(c) for c in ("fts", "concept", "ontology")])
+    own = lambda rows, **scores: rows.select("query_id", "id", *[scores.get(c, zero).alias(c) for c in ("fts", "concept", "ontology")], F.lit("ontology" not in scores).alias("own"))
     rows = own(full, fts=F.lit(1.0)).unionByName(own(near))
     if concept is not None:
         rows = rows.unionByName(own(concept, concept=F.col("score")))
     if ontology is not None:
         rows = rows.unionByName(own(ontology, ontology=F.col("score")))
-    return rows.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("fts", "concept", "ontology")])
+    return rows.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("fts", "concept", "ontology", "own")])
 
 
 def asked_features(questions: DataFrame, terms: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def scored(
     )
     rows = rows.withColumn("score", F.round(score, 6))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("uploaded_at").desc(), F.col("id").desc()))
-    keep = ["query_id", "id", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "structure", "memory", "tabular", "code", "uploaded_at"]
+    keep = ["query_id", "id", "score", "fts", "lexical", "semantic", "concept", "ontology", "literal", "recency", "structure", "memory", "tabular", "code", "own", "uploaded_at"]
     return cut(rows.select(keep).withColumn("rank", rank), "search-scored")
 
 

@@ -11,6 +11,7 @@ from docloom.operators import evaluate as V
 from docloom.operators import gates as G
 from docloom.plans import retrieval as P
 from docloom.plans.registry import query
+from docloom.settings import DEFAULTS
 from docloom.sources import carriers as C
 
 CH, UP, AN = (C.CHUNKS,), (C.CHUNKS, C.UPLOADS), (C.ANSWERS,)
@@ -79,6 +80,32 @@ def agg_compare_gates(spark, sf):
     return V.compare_gates(m, m, "txt")
 
 
+# every fact from 0.55 on counts as a candidate; each setting takes the best twenty of a question among those that it allows
+TUNED = """settings AS (SELECT (row_number() OVER (ORDER BY weight, confidence) - 1)::INT AS no, weight, confidence FROM (SELECT unnest([0.10, 0.18, 0.26, 0.34])::DOUBLE AS weight), (SELECT unnest([0.55, 0.62, 0.70])::DOUBLE AS confidence)),
+allf AS (SELECT o.query_id, o.fact_id, o.score, f.chunk_id AS id, f.confidence, f.status FROM ofacts o JOIN facts f USING (fact_id) JOIN chunks c ON c.id = f.chunk_id),
+taken AS (SELECT s.no, a.* FROM allf a JOIN settings s ON a.status = 'published' OR a.confidence >= s.confidence QUALIFY row_number() OVER (PARTITION BY s.no, a.query_id ORDER BY a.score DESC, a.fact_id DESC) <= 20),
+nows AS (SELECT no, query_id, id, max(score) AS now FROM taken GROUP BY ALL),
+others AS (SELECT query_id, id FROM fts UNION SELECT query_id, id FROM sub UNION SELECT query_id, id FROM gcon),
+again AS (SELECT s.no, r.query_id, r.id, row_number() OVER (PARTITION BY s.no, r.query_id ORDER BY round(r.score - 0.26::DOUBLE * r.ontology + s.weight * coalesce(n.now, 0), 6) DESC, r.uploaded_at DESC, r.id DESC) AS rank FROM ranked r CROSS JOIN settings s
+  LEFT JOIN nows n ON n.no = s.no AND n.query_id = r.query_id AND n.id = r.id LEFT JOIN others o ON o.query_id = r.query_id AND o.id = r.id WHERE o.id IS NOT NULL OR n.now > 0),
+hits AS (SELECT a.no, a.query_id, min(a.rank) AS rank FROM again a JOIN found e ON e.query_id = a.query_id AND e.id = a.id WHERE a.rank <= 5 GROUP BY ALL),
+tuned AS (SELECT s.no, s.weight, s.confidence, round(count_if(h.rank = 1) / greatest(any_value(n), 1), 6) AS recall_at_1, round(count_if(h.rank <= 3) / greatest(any_value(n), 1), 6) AS recall_at_3, round(coalesce(sum(1.0::DOUBLE / h.rank), 0) / greatest(any_value(n), 1), 6) AS mrr
+  FROM settings s LEFT JOIN hits h USING (no), (SELECT count(DISTINCT query_id) AS n FROM found) GROUP BY ALL)"""
+LOW = tuple(x.replace("confidence >= 0.62", "confidence >= 0.55").replace("SELECT query_id, chunk_id AS id, max(score) AS score FROM fr JOIN", "SELECT query_id, chunk_id AS id, max(score) AS score FROM fs JOIN") for x in P.CHAIN)
+OFACTS = f"ofacts AS (WITH fq AS (SELECT query_id, query FROM questions), {P.FS.replace('confidence >= 0.62', 'confidence >= 0.55')} SELECT query_id, fact_id, score FROM fs)"
+
+
+@query("eval_tuning", "SELECT no, weight, confidence, recall_at_1, recall_at_3, mrr, row_number() OVER (ORDER BY recall_at_3 DESC, mrr DESC, weight, confidence DESC) = 1 AS best FROM tuned", (*LOW, OFACTS, CASES.split(",\ncases AS")[0], TUNED))
+def eval_tuning(spark, sf):
+    """Weights of facts and least confidences: recall and reciprocal rank of each pair, and the best one."""
+    from docloom.operators import tuning
+
+    base, facts = P.tuning_base(spark, sf, min(tuning.CONFIDENCES))
+    tried = tuning.settings(spark)
+    ranked = tuning.ranks(base, facts, tried, DEFAULTS.ontology_weight)
+    return tuning.compare(ranked, _expected(spark, sf), tried)
+
+
 @query("agg_recovery", "SELECT count_if(answerable AND rank <> 1) AS failed, count_if(answerable AND rank BETWEEN 2 AND 5) AS recovered FROM ev", (*P.RANKED24, CASES))
 def agg_recovery(spark, sf):
     r = join_eval(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -209,6 +211,41 @@ def citations_rows(spark, sf):
     return r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("citations"))
 
 
-@query("trace_rows", r"SELECT query_id, id, round(score, 4) AS score, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) AS snippet FROM res WHERE rank <= 8", RES)
+# all attempts side by side: of their role, raw rows first, with a critical term, from several sections; then the gate's measures
+TRIED = (
+    """attempts AS (SELECT query_id AS question, query_id * 16 + n AS query_id, n, role, query FROM (SELECT query_id, query, unnest(plan) AS role, unnest(range(len(plan))) AS n FROM (
+  SELECT query_id, query, CASE query_id % 3 WHEN 0 THEN ['guide', 'all'] WHEN 1 THEN ['casebook', 'guide', 'all'] ELSE ['all'] END AS plan FROM questions))),
+pool AS (SELECT * FROM (SELECT a.query_id, a.question, a.n, a.role, r.id, r.semantic, r.score, r.uploaded_at, c.source_path, c.doc_role, c.is_normalized, c.section, c.text, row_number() OVER (PARTITION BY a.query_id ORDER BY r.rank) AS rank
+  FROM ranked r JOIN chunks c USING (id) JOIN attempts a ON a.question = r.query_id WHERE a.role = 'all' OR a.role = c.doc_role) WHERE rank <= 8),
+rawfirst AS (SELECT * EXCLUDE (rank, b), row_number() OVER (PARTITION BY query_id ORDER BY b, rank) AS rank FROM (SELECT *, CASE WHEN is_normalized = 0 THEN 0 WHEN row_number() OVER (PARTITION BY query_id, is_normalized ORDER BY rank) <= 2 THEN 1 ELSE 2 END AS b FROM pool)),
+""" + GT.split(",\nhit AS")[0]
+    + r""",
+struck AS (SELECT r.*, t.terms, list_filter(t.terms, lambda x: contains(lower(regexp_replace(r.section || chr(10) || r.source_path || chr(10) || r.text, '\s+', '', 'g')), x)) AS hits FROM rawfirst r JOIN terms t ON t.query_id = r.question),
+passing AS (SELECT * FROM (SELECT *, max(CASE WHEN len(hits) > 0 AND is_normalized = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS raw FROM struck) WHERE len(terms) = 0 OR len(hits) > 0 AND (is_normalized = 0 OR raw = 1)),
+final AS (SELECT * EXCLUDE (rank, s, b), row_number() OVER (PARTITION BY query_id ORDER BY b, rank) AS rank FROM (SELECT *, CASE WHEN s AND row_number() OVER (PARTITION BY query_id, source_path, s ORDER BY rank) <= 6 THEN 0 ELSE 1 END AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, source_path, lower(trim(section)) ORDER BY rank) <= 2 AS s FROM passing))),
+asks AS (SELECT a.query_id, k.kw FROM attempts a JOIN kw k ON k.query_id = a.question),
+""".replace("\\\\", "\\")
+    + re.sub(r"\bres\b", "final", ANSWERABLE).replace("JOIN kw USING", "JOIN asks USING").replace("FROM kw JOIN", "FROM asks JOIN").replace("<= 6 THEN", "<= 8 THEN")
+    + """,
+judged AS (SELECT f.question, f.n, f.role, f.ids, round(a.top1 + 0.35::DOUBLE * a.coverage, 6) AS selection, explicit AND CASE WHEN a.query_id IN (SELECT query_id FROM conf) THEN top1 >= 0.26 AND coverage >= 0.12
+    ELSE top1 >= 0.33 AND coverage >= 0.22 OR top1 >= 0.26 AND coverage >= 0.12 AND (keyword_total = 0 OR keyword_hits >= least(keyword_total, 1)) END AS passed
+  FROM answ a JOIN expl USING (query_id) JOIN (SELECT query_id, any_value(question) AS question, any_value(n) AS n, any_value(role) AS role, list(id ORDER BY rank) AS ids FROM final GROUP BY query_id) f USING (query_id))"""
+)
+
+
+@query("agent_search", """SELECT question, role, passed, CASE WHEN passed THEN n + 1 ELSE CASE question % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END END::INT AS tried, selection, ids FROM judged
+  QUALIFY row_number() OVER (PARTITION BY question ORDER BY passed DESC, CASE WHEN passed THEN -n ELSE selection END DESC, n) = 1""", (*P.CHAIN, TRIED))
+def agent_search(spark, sf):
+    """Calls of the search tool with roles to try in order: which attempt wins, and its rows."""
+    from docloom.operators import agent
+
+    q, n = C.questions(spark, sf), F.col("query_id")
+    plans = [F.array(*map(F.lit, p)) for p in (("guide", "all"), ("casebook", "guide", "all"), ("all",))]
+    q = q.withColumn("plan", F.when(n % 3 == 0, plans[0]).when(n % 3 == 1, plans[1]).otherwise(plans[2]))
+    return agent.search(q, P.ranking(spark, sf).select("query_id", "id", "rank", "score", "semantic", "uploaded_at"), C.chunks(spark, sf), NEG, POS)
+
+
+@query("trace_rows", r"SELECT query_id, id, round(score::DECIMAL(18,6), 4)::DOUBLE AS score, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) AS snippet FROM res WHERE rank <= 8", RES)
 def trace_rows(spark, sf):
-    return P.results(spark, sf).filter("rank <= 8").select("query_id", "id", F.round("score", 4).alias("score"), F.substring(T.collapse("text"), 1, 220).alias("snippet"))
+    return P.results(spark, sf).filter("rank <= 8").select("query_id", "id", F.round(F.col("score").cast("decimal(18,6)"), 4).cast("double").alias("score"), F.substring(T.collapse("text"), 1, 220).alias("snippet"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -191,6 +193,20 @@ def ranking(spark, sf):
     return stored("ranking", [q, c, v, C.answers(spark, sf), C.hierarchy(spark, sf)], make)
 
 
+def tuning_base(spark, sf, confidence):
+    """All candidates with the facts of the lowest confidence that is tried, and these facts: scored once for all settings."""
+    q, c, v, f = C.questions(spark, sf), C.chunks(spark, sf), C.vectors(spark, sf), C.hierarchy(spark, sf)
+
+    def make():
+        facts = G.fact_scores(q, f, replace(DEFAULTS, min_confidence=confidence), 1 << 30).select("query_id", "fact_id", "score")
+        facts = facts.join(f.select("fact_id", F.col("chunk_id").alias("id"), "confidence", "status"), "fact_id").join(c.select("id"), "id", "left_semi")
+        facts = cut(facts, "tuning-facts")
+        found = facts.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return R.scored(q, index(spark, sf), c, query_vectors(spark, sf), v, concepts(spark, sf), found, memory_boosts(spark, sf)), facts
+
+    return stored(f"tuning-{confidence}", [q, c, v, C.answers(spark, sf), f], make)
+
+
 def hybrid(spark, sf, top_k=DEFAULTS.top_k):
     return ranking(spark, sf).filter(F.col("rank") <= top_k)
 
