@@ -133,3 +133,17 @@ def sentences(c) -> Column:
 def delete_tree(rows: DataFrame, source: str, column: str = "source_path") -> DataFrame:
     """rows without those of a source or of its split parts."""
     return rows.filter(~((F.col(column) == source) | F.col(column).startswith(source + "::part:")) | F.col(column).isNull())
+
+
+def status_signals(updates: DataFrame, facts: DataFrame) -> DataFrame:
+    """fact_id, feedback_key, signal: what new statuses of saved answers (answer_id, chunk_id, status; blank asks for review) say about the facts (fact_id, chunk_id) of their rows."""
+    new = F.when(F.trim(F.coalesce("status", F.lit(""))) == "", "needs_review").otherwise(F.trim("status"))
+    said = updates.select("answer_id", "chunk_id", new.alias("new")).filter(F.col("new").isin("published", "reported", "needs_review") & (F.col("chunk_id") >= 0))
+    key = F.concat_ws(":", F.lit("saved_answer_status"), F.col("answer_id").cast("string"), "new")
+    return said.join(facts, "chunk_id").select("fact_id", key.alias("feedback_key"), F.when(F.col("new") == "published", "publish").otherwise("report").alias("signal"))
+
+
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old, and one row of new for each key that old lacks."""
+    fresh = new.join(old.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min(F.struct(*[c for c in new.columns if c not in keys])).alias("x"))
+    return old.unionByName(fresh.select(*keys, "x.*"))

@@ -184,12 +184,65 @@ def semi_id_list(spark, sf):
     return C.chunks(spark, sf).join(C.read(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("sink_upsert", "SELECT id, max(v) AS v FROM (SELECT id, 1 AS v FROM chunks WHERE id % 2 = 0 UNION ALL SELECT id, 2 FROM chunks WHERE id % 3 = 0) GROUP BY id", CH)
+@query("sink_upsert", "SELECT id, max(v) AS v, arg_max(text_md5, v) AS text_md5 FROM (SELECT id, 1 + id % 2 AS v, md5(text) AS text_md5 FROM chunks WHERE id % 3 <> 2 UNION ALL SELECT id, 2 - id % 2, md5('new ' || text) FROM chunks WHERE id % 3 <> 1 AND NOT (id % 3 = 0 AND (1 + id % 2) = (2 - id % 2))) GROUP BY id", CH)
 def sink_upsert(spark, sf):
+    """Stored rows, new rows and both: where both have one the higher version stays, be it the stored one."""
     from docloom.sources.sinks import upsert
 
-    c = C.chunks(spark, sf).select("id")
-    return upsert(c.filter("id % 2 = 0").withColumn("v", F.lit(1)), c.filter("id % 3 = 0").withColumn("v", F.lit(2)), ["id"], "v")
+    c, i = C.chunks(spark, sf), F.col("id")
+    old = c.filter("id % 3 <> 2").select("id", (1 + i % 2).alias("v"), F.md5("text").alias("text_md5"))
+    new = c.filter("id % 3 <> 1").select("id", (2 - i % 2).alias("v"), F.md5(F.concat(F.lit("new "), "text")).alias("text_md5"))
+    return upsert(old, new, ["id"], "v")
+
+
+# pages of sources: published, with their first rows as sources and the heads of two texts as claims
+PAGES_MD = """pages AS (SELECT source_path AS slug, any_value(doc_role) AS kind, count(*) AS n, string_agg(heading, chr(10) ORDER BY id) FILTER (r <= 5) AS body, list('chunk ' || id::VARCHAR ORDER BY id) FILTER (r <= 3) AS sources,
+  coalesce(list(section || ' of ' || kb_id ORDER BY id) FILTER (r <= 2 AND kb_id <> 'en'), []) AS claims FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY id) AS r FROM chunks) GROUP BY source_path),
+texts AS (SELECT slug, trim('---' || chr(10) || 'title: ' || slug || chr(10) || 'type: ' || kind || chr(10) || 'status: published' || chr(10) || 'rows: ' || n || chr(10) || '---' || chr(10) || chr(10) || '# ' || slug || chr(10) || chr(10) || trim(body)
+  || chr(10) || chr(10) || '## Sources' || chr(10) || array_to_string(list_transform(sources, lambda x: '- 근거: ' || x), chr(10))
+  || CASE WHEN len(claims) > 0 THEN chr(10) || chr(10) || '## Claims' || chr(10) || array_to_string(list_transform(claims, lambda x: '- ' || x), chr(10)) ELSE '' END) || chr(10) AS text FROM pages)"""
+
+
+@query("sink_export_md", "SELECT slug, length(text)::INT AS chars, md5(text) AS text_md5 FROM texts", (C.CHUNKS, PAGES_MD))
+def sink_export_md(spark, sf):
+    """A page for each source, written as Markdown files and read back."""
+    from docloom.sources import sinks
+    from docloom.tables import folder
+
+    c = C.chunks(spark, sf).withColumn("r", F.row_number().over(W.partitionBy("source_path").orderBy("id")))
+    first = lambda n, x, more=F.lit(True): F.transform(F.array_sort(F.collect_list(F.when((F.col("r") <= n) & more, F.struct("id", x.alias("x"))))), lambda v: v["x"])
+    claim = F.concat("section", F.lit(" of "), "kb_id")
+    pages = c.groupBy(F.col("source_path").alias("slug")).agg(
+        F.min("doc_role").alias("kind"), F.count(F.lit(1)).alias("n"), F.array_join(first(5, F.col("heading")), "\n").alias("body"), first(3, F.concat(F.lit("chunk "), F.col("id").cast("string"))).alias("sources"), first(2, claim, F.col("kb_id") != "en").alias("claims"),
+    )
+    front = {"title": F.col("slug"), "type": F.col("kind"), "status": F.lit("published"), "rows": F.col("n")}
+    path = folder(spark, "markdown")
+    sinks.write_markdown(pages.select("slug", sinks.markdown(front, F.col("slug"), F.col("body"), F.col("sources"), F.col("claims")).alias("text")), path)
+    return sinks.read_markdown(spark, path).select("slug", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query("sink_eval_report", EVAL.replace("SELECT count(*) AS case_count", "SELECT line FROM (SELECT unnest(['| metric | value |', '|---|---|', '| answerable_count | ' || answerable_count || ' |', '| case_count | ' || case_count || ' |', '| mrr | ' || mrr || ' |', '{' || '\"answerable_count\":' || answerable_count || ',\"case_count\":' || case_count || ',\"mrr\":' || mrr || '}']) AS line FROM (SELECT count(*) AS case_count", 1).replace('\\"', '"') + "))", (*P.RANKED24, CASES))
+def sink_eval_report(spark, sf):
+    """Metrics of the evaluation as a report of two files, read back line by line."""
+    from docloom.sources import sinks
+    from docloom.tables import folder
+
+    path = folder(spark, "report")
+    sinks.write_report(agg_eval_structure(spark, sf).select("case_count", "answerable_count", "mrr"), path)
+    return spark.read.text(f"{path}/summary.md").unionByName(spark.read.text(f"{path}/summary.json")).select(F.col("value").alias("line"))
+
+
+@query("sink_rotate", "SELECT * FROM (SELECT 'log.1' AS file, count(*) AS lines FROM runs WHERE k % 4 = 3 UNION ALL SELECT 'log.2', count(*) FROM runs WHERE k % 4 = 2)", (C.RUNS,))
+def sink_rotate(spark, sf):
+    """A log written four times and rotated each time, with two backups."""
+    from docloom.sources import sinks
+    from docloom.tables import folder
+
+    path = f"{folder(spark, 'rotated')}/log"
+    for part in range(4):
+        C.runs(spark, sf).filter(F.col("k") % 4 == part).select(F.to_json(F.struct("run_id", "status")).alias("value")).write.text(path)
+        assert sinks.rotate(spark, path, 1, 2) and not sinks.rotate(spark, path, 1, 2)
+    return spark.read.text([f"{path}.1", f"{path}.2"]).groupBy(F.regexp_extract(F.input_file_name(), r"/(log\.\d)/", 1).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("agg_count_tables", "SELECT kb_id, count(*) AS rows, count_if(is_normalized = 1) AS normalized FROM chunks GROUP BY kb_id", CH)

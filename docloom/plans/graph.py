@@ -121,7 +121,7 @@ def agg_fact_predicates(spark, sf):
     return C.hierarchy(spark, sf).groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(20)
 
 
-FB = """fb AS (SELECT fact_id, 'k' || (fact_id % 3)::VARCHAR AS feedback_key, CASE WHEN fact_id % 4 = 0 THEN 'report' ELSE 'publish' END AS signal FROM facts WHERE fact_id % 2 = 0 UNION ALL SELECT fact_id, 'k' || (fact_id % 3)::VARCHAR, 'publish' FROM facts WHERE fact_id % 10 = 1),
+FB = """fb AS (SELECT fact_id, 'k' || (fact_id % 3)::VARCHAR AS feedback_key, CASE WHEN fact_id % 4 = 0 THEN 'report' ELSE 'publish' END AS signal FROM facts WHERE fact_id % 2 = 0 UNION ALL SELECT fact_id, 'k' || (fact_id % 3)::VARCHAR, CASE WHEN confidence < 0.65 THEN 'report' ELSE 'publish' END FROM facts WHERE fact_id % 2 = 1),
 led AS (SELECT fact_id, 'k' || (fact_id % 3)::VARCHAR AS feedback_key FROM facts WHERE fact_id % 8 = 0),
 fresh AS (SELECT * FROM fb WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.fact_id = fb.fact_id AND led.feedback_key = fb.feedback_key)),
 fbk AS (SELECT f.fact_id, f.status, f.confidence, CASE signal WHEN 'publish' THEN 'published' WHEN 'report' THEN 'needs_review' ELSE f.status END AS new_status,
@@ -131,7 +131,7 @@ fbk AS (SELECT f.fact_id, f.status, f.confidence, CASE signal WHEN 'publish' THE
 def _feedback(spark, sf):
     f = C.hierarchy(spark, sf)
     key = F.concat(F.lit("k"), (F.col("fact_id") % 3).cast("string")).alias("feedback_key")
-    fb = f.filter("fact_id % 2 = 0").select("fact_id", key, F.when(F.col("fact_id") % 4 == 0, "report").otherwise("publish").alias("signal")).unionByName(f.filter("fact_id % 10 = 1").select("fact_id", key, F.lit("publish").alias("signal")))
+    fb = f.filter("fact_id % 2 = 0").select("fact_id", key, F.when(F.col("fact_id") % 4 == 0, "report").otherwise("publish").alias("signal")).unionByName(f.filter("fact_id % 2 = 1").select("fact_id", key, F.when(F.col("confidence") < 0.65, "report").otherwise("publish").alias("signal")))
     fb = fb.unionByName(fb.filter("fact_id % 6 = 0"))  # said twice, counts once
     return G.apply_feedback(f, f.filter("fact_id % 8 = 0").select("fact_id", key), fb)
 

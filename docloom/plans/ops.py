@@ -79,22 +79,31 @@ def agg_validator_diag(spark, sf):
     return C.runs(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 50).alias("retries"), F.count_distinct(F.when(F.col("failure_code") != "", F.col("failure_code"))).alias("codes"))
 
 
-@query("agg_latest_kb", "SELECT kb, max(created_at) AS latest FROM (SELECT kb, created_at FROM runs WHERE run_id % 2 = 0 UNION ALL SELECT kb, created_at FROM runs WHERE run_id % 3 = 0) GROUP BY kb", R)
+# answers and searches: two logs that hold every run, failed ones both
+LOGS = """answer_log AS (SELECT * FROM runs WHERE status IN ('view', 'click', 'error')), search_log AS (SELECT * FROM runs WHERE status NOT IN ('view', 'click'))"""
+
+
+def _logs(spark, sf):
+    r = C.runs(spark, sf)
+    return r.filter(F.col("status").isin("view", "click", "error")), r.filter(~F.col("status").isin("view", "click"))
+
+
+@query("agg_latest_kb", "SELECT kb, max(created_at) AS latest, count(*) AS n FROM (SELECT kb, created_at FROM answer_log UNION ALL SELECT kb, created_at FROM search_log) GROUP BY kb", (C.RUNS, LOGS))
 def agg_latest_kb(spark, sf):
-    r = C.runs(spark, sf).select("kb", "created_at", "run_id")
-    return r.filter("run_id % 2 = 0").unionByName(r.filter("run_id % 3 = 0")).groupBy("kb").agg(F.max("created_at").alias("latest"))
+    a, b = _logs(spark, sf)
+    return a.select("kb", "created_at").unionByName(b.select("kb", "created_at")).groupBy("kb").agg(F.max("created_at").alias("latest"), F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_last_activity", "SELECT greatest((SELECT max(created_at) FROM runs WHERE run_id % 2 = 0), (SELECT max(created_at) FROM runs WHERE run_id % 3 = 0)) AS latest", R)
+@query("agg_last_activity", "SELECT (SELECT max(created_at) FROM answer_log) AS answered, (SELECT max(created_at) FROM search_log) AS searched, greatest((SELECT max(created_at) FROM answer_log), (SELECT max(created_at) FROM search_log)) AS latest", (C.RUNS, LOGS))
 def agg_last_activity(spark, sf):
-    at = F.col("created_at")
-    return C.runs(spark, sf).agg(F.greatest(F.max(F.when(F.col("run_id") % 2 == 0, at)), F.max(F.when(F.col("run_id") % 3 == 0, at))).alias("latest"))
+    a, b = (x.agg(F.max("created_at").alias(n)) for x, n in zip(_logs(spark, sf), ("answered", "searched"), strict=True))
+    return a.join(F.broadcast(b)).select("answered", "searched", F.greatest("answered", "searched").alias("latest"))  # one row each
 
 
-@query("set_union_all", "SELECT kb, run_id FROM runs WHERE run_id % 2 = 0 UNION ALL SELECT kb, run_id FROM runs WHERE run_id % 3 = 0", R)
+@query("set_union_all", "SELECT kb, run_id, 'answer' AS log FROM answer_log UNION ALL SELECT kb, run_id, 'search' FROM search_log", (C.RUNS, LOGS))
 def set_union_all(spark, sf):
-    r = C.runs(spark, sf).select("kb", "run_id")
-    return r.filter("run_id % 2 = 0").unionByName(r.filter("run_id % 3 = 0"))
+    a, b = _logs(spark, sf)
+    return a.select("kb", "run_id", F.lit("answer").alias("log")).unionByName(b.select("kb", "run_id", F.lit("search").alias("log")))
 
 
 @query("agg_batch_wall", "SELECT kb, round(avg(latency), 3) AS mean, round(quantile_cont(latency, 0.5), 3) AS p50, round(quantile_cont(latency, 0.95), 3) AS p95, round(max(latency), 3) AS longest FROM runs GROUP BY kb", R)

@@ -113,21 +113,39 @@ def cache_key(spark, sf):
     return C.questions(spark, sf).select("query_id", R.cache_key("query", F.lit(5), F.array(F.lit("guide"), F.lit("casebook"), F.lit("guide"))).alias("key"))
 
 
-@query("wiki_status", "SELECT fact_id, CASE WHEN fact_id % 2 = 0 THEN 'published' ELSE status END AS status FROM facts", (C.HIERARCHY,))
+# every saved answer gets a status; what it says about its row's facts counts once for each answer and status
+STATUS = """updates AS (SELECT answer_id, chunk_id, CASE reused WHEN 0 THEN 'needs_review' WHEN 1 THEN 'published' WHEN 2 THEN 'reported' ELSE status END AS new FROM answers),
+signals AS (SELECT f.fact_id, 'saved_answer_status:' || u.answer_id || ':' || u.new AS feedback_key, CASE WHEN u.new = 'published' THEN 'publish' ELSE 'report' END AS signal FROM updates u JOIN facts f USING (chunk_id)),
+moved AS (SELECT fact_id, count(*) AS said, sum(CASE signal WHEN 'publish' THEN 0.08::DOUBLE ELSE -0.08::DOUBLE END) AS delta, arg_max(signal, feedback_key) AS last FROM signals GROUP BY fact_id)"""
+
+
+@query("wiki_status", "SELECT fact_id, CASE last WHEN 'publish' THEN 'published' WHEN 'report' THEN 'needs_review' ELSE status END AS status, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence + coalesce(delta, 0))), 6) AS confidence FROM facts LEFT JOIN moved USING (fact_id)", (C.HIERARCHY, C.ANSWERS, STATUS))
 def wiki_status(spark, sf):
-    f = C.hierarchy(spark, sf)
-    signal = f.filter("fact_id % 2 = 0").select("fact_id", F.lit("published").alias("new"))
-    return f.join(signal, "fact_id", "left").select("fact_id", F.coalesce("new", "status").alias("status"))
+    """New statuses of all saved answers ('' asks for review) and what they do to the facts of their rows."""
+    from docloom.operators import answers, graph
+
+    a, f = C.answers(spark, sf), C.hierarchy(spark, sf)
+    wanted = F.when(F.col("reused") == 0, " ").when(F.col("reused") == 1, "published").when(F.col("reused") == 2, "reported").otherwise(F.col("status"))
+    signals = answers.status_signals(a.select("answer_id", "chunk_id", wanted.alias("status")), f.select("fact_id", "chunk_id"))
+    facts, _, _ = graph.apply_feedback(f, f.limit(0).select("fact_id", F.lit("").alias("feedback_key")), signals)
+    return facts.select("fact_id", "status", F.round("confidence", 6).alias("confidence"))
+
+
+# claims are the lines of an answer; every second one has been stored before
+CLAIMS = r"""lines AS (SELECT answer_id, unnest(string_split(answer, chr(10))) AS claim, unnest(range(len(string_split(answer, chr(10))))) AS no FROM answers),
+claims AS (SELECT answer_id, no, lower(trim(regexp_replace(claim, '\s+', ' ', 'g'))) AS key FROM lines)"""
 
 
-@query("wiki_compile_persist", "SELECT question_key AS key, list_sort(list_distinct(list(answer_id))) AS ids FROM answers GROUP BY 1", (C.ANSWERS,))
+@query("wiki_compile_persist", "SELECT answer_id, md5(key) AS key_md5, CASE WHEN bool_or(no % 2 = 0) THEN 'published' ELSE 'needs_review' END AS status FROM claims WHERE key <> '' GROUP BY answer_id, key", (C.ANSWERS, CLAIMS))
 def wiki_compile_persist(spark, sf):
-    a = C.answers(spark, sf)
-    old = a.filter("answer_id % 2 = 0").groupBy("question_key").agg(F.collect_set("answer_id").alias("old"))
-    new = a.groupBy("question_key").agg(F.collect_set("answer_id").alias("new"))
-    none = F.array().cast("array<bigint>")
-    both = old.join(new, "question_key", "full")
-    return both.select(F.col("question_key").alias("key"), F.array_sort(F.array_union(F.coalesce("old", none), F.coalesce("new", none))).alias("ids"))
+    """Claims of all saved answers, stored by their natural key: those that are there stay as they are."""
+    from docloom.operators import answers
+
+    lines = C.answers(spark, sf).select("answer_id", F.posexplode(F.split("answer", "\n")).alias("no", "claim"))
+    lines = lines.select("answer_id", "no", F.lower(T.collapse("claim")).alias("key")).filter("key <> ''")
+    old = answers.insert_absent(lines.limit(0).select("answer_id", "key", F.lit("").alias("status")), lines.filter("no % 2 = 0").select("answer_id", "key", F.lit("published").alias("status")), ["answer_id", "key"])
+    out = answers.insert_absent(old, lines.select("answer_id", "key", F.lit("needs_review").alias("status")), ["answer_id", "key"])
+    return out.select("answer_id", F.md5("key").alias("key_md5"), "status")
 
 
 @query("st_retention", "SELECT user_id, count(*) AS kept FROM (SELECT * FROM runs WHERE created_at >= 1704500000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, run_id DESC) <= 20) GROUP BY user_id", RN)

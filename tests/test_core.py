@@ -153,9 +153,10 @@ def test_files(spark, tmp_path):
     assert [r.id for r in rows.collect()] == [2] and bad.count() == 1
     log = tmp_path / "log"
     log.write_text("xxxxxxxx")
-    assert sinks.rotate(str(log), 4, 2) and (tmp_path / "log.1").exists() and not sinks.rotate(str(log), 4, 2)
+    assert sinks.rotate(spark, str(log), 4, 2) and (tmp_path / "log.1").exists() and not sinks.rotate(spark, str(log), 4, 2)
 
 
 def test_markdown(spark):
-    text = one(spark, sinks.markdown(F.lit("T"), F.lit("concept"), F.lit("Body"), F.array(F.lit("s1")), F.array().cast("array<string>")))[0]
-    assert text == "---\ntitle: T\ntype: concept\n---\n\nBody\n\n## Sources\n- s1\n"
+    none = F.array().cast("array<string>")
+    text = one(spark, sinks.markdown({"title": F.lit("T: x"), "n": F.lit(3)}, F.lit("T: x"), F.lit(" Body "), F.array(F.lit("s1")), none))[0]
+    assert text == "---\ntitle: T- x\nn: 3\n---\n\n# T: x\n\nBody\n\n## Sources\n- 근거: s1\n"
