@@ -135,15 +135,30 @@ def chunk_text_compat(spark, sf):
     return rows.select("source_path", F.greatest(F.lit(240), F.floor(F.col("w") * 10 / 2.2)).cast("int").alias("max_tokens"), F.lit(p["min_tokens"]).alias("min_tokens"))
 
 
-@query("norm_refresh", """WITH old AS (SELECT doc_role || ':' || section AS grp, count(*) AS gone FROM chunks WHERE is_normalized = 1 GROUP BY 1),
-new AS (SELECT doc_role || ':' || section AS grp, count(*) AS rows, max(id) AS newest FROM (SELECT * FROM chunks WHERE is_normalized = 0 QUALIFY row_number() OVER (PARTITION BY doc_role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY uploaded_at DESC, id DESC) = 1) GROUP BY 1)
-SELECT grp, coalesce(gone, 0) AS gone, coalesce(rows, 0) AS rows, newest FROM old FULL JOIN new USING (grp)""".replace("\\\\", "\\"), (C.CHUNKS,))
+# a tenth of the rows arrives after the bundles have been stored: only the sources that get some of them are made anew
+RENEWED = r"""late AS (SELECT DISTINCT source_path FROM chunks WHERE id % 10 = 4 AND is_normalized = 0 AND source_type = 'pdf' AND doc_role = 'guide'),
+present AS (SELECT *, source_path IN (SELECT source_path FROM late) AS touched FROM chunks WHERE is_normalized = 0 AND (id % 10 <> 4 OR source_path IN (SELECT source_path FROM late))),
+fresh AS (SELECT * FROM present QUALIFY row_number() OVER (PARTITION BY touched, doc_role, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) ORDER BY uploaded_at DESC, id DESC) = 1),
+ordered AS MATERIALIZED (SELECT source_path, id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(len(regexp_extract_all(text, '[0-9A-Za-z_]+')) * 1.05::DOUBLE)) END::BIGINT AS n, row_number() OVER (PARTITION BY source_path ORDER BY uploaded_at DESC, id DESC) AS rn FROM fresh),
+steps AS (SELECT source_path, id, n, rn, 1 AS bundle, n AS used FROM ordered WHERE rn = 1
+  UNION ALL SELECT o.source_path, o.id, o.n, o.rn, CASE WHEN used >= 360 OR used + o.n > 460 THEN bundle + 1 ELSE bundle END, CASE WHEN used >= 360 OR used + o.n > 460 THEN o.n ELSE used + o.n END
+  FROM steps s JOIN ordered o ON o.source_path = s.source_path AND o.rn = s.rn + 1)"""
+
+
+@query("norm_refresh", "SELECT source_path AS grp, bundle, list(id ORDER BY rn) AS ids, sum(n)::INT AS tokens FROM steps GROUP BY source_path, bundle", (C.CHUNKS, RENEWED), recursive=True)
 def norm_refresh(spark, sf):
-    """Derived rows of each group that go, and the raw rows (one of equal texts) that its new bundle is made of."""
-    c = C.chunks(spark, sf).withColumn("grp", F.concat_ws(":", "doc_role", "section"))
-    old = c.filter("is_normalized = 1").groupBy("grp").agg(F.count("*").alias("gone"))
-    new = I.dedupe_newest(c.filter("is_normalized = 0")).groupBy("grp").agg(F.count("*").alias("rows"), F.max("id").alias("newest"))
-    return old.join(new, "grp", "full").select("grp", F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("rows", F.lit(0)).alias("rows"), "newest")
+    """Stored bundles of all sources after late rows have come: the touched sources are made anew from all their rows."""
+    from docloom.functions import text as T
+    from docloom.operators import refresh as N
+    from docloom.tables import folder
+
+    c = C.chunks(spark, sf).filter("is_normalized = 0")
+    path, size = folder(spark, "bundles"), T.packing_tokens("text")
+    N.store(N.bundles(c.filter("id % 10 <> 4"), F.col("source_path"), size), path, "grp")
+    late = c.filter("id % 10 = 4 AND source_type = 'pdf' AND doc_role = 'guide'").select(F.col("source_path").alias("grp"))
+    make = lambda touched: N.bundles(c.join(F.broadcast(touched), F.col("source_path") == F.col("grp")).drop("grp"), F.col("source_path"), size)
+    N.refresh(path, N.BUNDLES, "grp", late, make, ["grp", "ids"])
+    return spark.read.schema(N.BUNDLES).parquet(path).select("grp", "bundle", "ids", "tokens")
 
 
 # eight places in a lane; a job may run for six hours
@@ -297,8 +312,25 @@ def wiki_answer_page(spark, sf):
     return a.select("answer_id", F.concat(F.lit("claims/"), T.slug(F.concat_ws("-", "question_key", F.col("answer_id").cast("string")))).alias("slug"), short.alias("title"), F.md5(body).alias("body_md5"), F.lit(1).alias("claims"), (F.col("chunk_id") > 0).cast("int").alias("sources"))
 
 
-@query("facts_rebuild", """SELECT fact_id, subject, predicate, object, status FROM facts WHERE chunk_id IN (SELECT id FROM chunks WHERE is_normalized = 0)""", (C.CHUNKS, C.HIERARCHY))
+# rows of every third block change: their sizes grow, some go
+CHANGED = """edited AS (SELECT row_no, "values"[1] AS subject, "values"[2] AS brand, "values"[3] AS kind, CASE WHEN row_no // 64 % 3 = 1 THEN ("values"[4]::INT + 1)::VARCHAR ELSE "values"[4] END AS size FROM fact_rows WHERE NOT (row_no // 64 % 3 = 1 AND row_no % 7 = 0))"""
+
+
+@query("facts_rebuild", """SELECT row_no, subject, unnest(['품목', 'brand', 'type', 'size']) AS predicate, unnest([subject, brand, kind, size]) AS object_value FROM edited""", (C.FACT_ROWS, CHANGED))
 def facts_rebuild(spark, sf):
-    """Facts made anew from all raw rows: those whose row is gone or derived go."""
-    raw = C.chunks(spark, sf).filter("is_normalized = 0").select(F.col("id").alias("chunk_id"))
-    return C.hierarchy(spark, sf).join(raw, "chunk_id", "left_semi").select("fact_id", "subject", "predicate", "object", "status")
+    """Stored facts of all rows after some rows have changed or gone: the blocks that hold one are extracted anew."""
+    from docloom.operators import refresh as N
+    from docloom.tables import folder
+
+    r = C.fact_rows(spark, sf)
+    n, v = F.col("row_no"), F.col("values")
+    touched = F.floor(n / 64) % 3 == 1
+    line = lambda rows: rows.select("row_no", I.row_fact(F.col("headers"), F.col("values")).alias("text"))
+    path = folder(spark, "facts")
+    N.store(N.facts(line(r)), path, "block")
+    grown = F.when(touched, F.array(v[0], v[1], v[2], (v[3].cast("int") + 1).cast("string"))).otherwise(v)
+    now = r.filter(~(touched & (n % 7 == 0))).withColumn("values", grown)
+    blocks = r.filter(touched).select(N.block_of("row_no").alias("block"))
+    make = lambda t: N.facts(line(now.join(F.broadcast(t), N.block_of("row_no") == F.col("block")).drop("block")))
+    N.refresh(path, N.FACTS, "block", blocks, make, ["row_no", "predicate", "object_value"])
+    return spark.read.schema(N.FACTS).parquet(path).select("row_no", "subject", "predicate", "object_value")
