@@ -71,10 +71,16 @@ def citation_label(name: Column, source_type: Column, page: Column, sheet: Colum
     )
 
 
+# fixed values: older forms of a reference
+OLD_REFERENCES = (r"(?i)\[\[\s*DOC\s+0*(\d+)(?:\|[^\]\n]*)?\s*\]\]", r"(?i)\[\[\s*CITATION\s*:\s*0*(\d+)(?:\|[^\]\n]*)?\s*\]\]", r"(?i)\[\s*CITATION\s*:\s*0*(\d+)(?:\|[^\]\n]*)?\s*\]")
+
+
 def canonical_citations(c) -> Column:
-    """[doc 3], (DOC 3) and [[CITATION:3|…]] become [DOC 3]."""
-    v = F.regexp_replace(T.text(c), r"\[\[CITATION:(\d+)\|[^\]]*\]\]", "[DOC $1]")
-    return F.regexp_replace(v, r"(?i)[\[(]\s*doc\s*[:#]?\s*(\d+)\s*[\])]", "[DOC $1]")
+    """[[DOC 3|…]], [[CITATION:3|…]] and [CITATION: 3] become [DOC 3]."""
+    out = T.text(c)
+    for pattern in OLD_REFERENCES:
+        out = F.regexp_replace(out, pattern, "[DOC $1]")
+    return out
 
 
 def cited_numbers(c) -> Column:

@@ -427,10 +427,10 @@ def citation_labels(spark, sf):
     return C.chunks(spark, sf).select("id", A.citation_label(F.col("source_path"), F.col("source_type"), page, sheet, i % 5 + 1, i % 5 + 3, i % 6 + 1, i % 6 + 1).alias("label"))
 
 
-@query("bottom_citations", "SELECT query_id, 'A, b.' || chr(10) || chr(10) || '근거: [[CITATION:1|two]], [[CITATION:2|one]]' AS text FROM questions", (C.QUESTIONS,))
+@query("bottom_citations", "SELECT query_id, trim(query) || ', b.' || chr(10) || chr(10) || '근거: [[CITATION:1|two]], [[CITATION:2|one]]' AS text FROM questions", (C.QUESTIONS,))
 def bottom_citations(spark, sf):
     labels = F.create_map(F.lit(1), F.lit("one"), F.lit(2), F.lit("two"))
-    return C.questions(spark, sf).select("query_id", A.bottom_citations(F.lit("A [doc 2], b (DOC 1). [DOC 2][DOC 9]"), labels).alias("text"))
+    return C.questions(spark, sf).select("query_id", A.bottom_citations(F.concat(F.trim("query"), F.lit(" [[doc 02]], b [Citation: 1]. [DOC 2][[DOC 9|x]]")), labels).alias("text"))
 
 
 @query("agg_evidence_strength", "SELECT query_id, count(*) AS total, 0::BIGINT AS weak, count(*) AS strong, false AS weak_only FROM res GROUP BY query_id", P.RANKED24)
