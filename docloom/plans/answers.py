@@ -35,14 +35,17 @@ def _expected(spark, sf):
     return q.select("query_id").join(found.groupBy("query_id").agg(F.collect_set("id").alias("expected")), "query_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<bigint>")))
 
 
-def _cases(spark, sf):
-    r = P.results(spark, sf, 5)
+def _cases(spark, sf, ranked=None, answered=False):
+    """Evaluation rows of a ranking (query_id, id, rank; the stored one unless given); answered: the best three rows are the answer, by their ids."""
+    r = P.results(spark, sf, 5) if ranked is None else ranked.join(C.chunks(spark, sf).select("id", "parent_key"), "id")
     ranked = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "parent_key"))).alias("r"))
     rows = _expected(spark, sf).join(ranked, "query_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<rank:int,id:bigint,parent_key:string>>")))
     ref = lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))  # noqa: E731  closed, so that no id lies inside another
+    refs = F.transform("r", lambda x: ref(x["id"]))
+    own = (F.array_join(F.slice(refs, 1, 3), " "), F.transform("expected", ref), F.array().cast("array<string>")) if answered else (F.lit("the answer is 42"), F.array(F.lit("42")), F.array(F.lit("42")))
     return rows.select(
-        "query_id", (F.size("expected") > 0).alias("answerable"), F.transform("expected", ref).alias("expected_refs"), F.transform("r", lambda x: ref(x["id"])).alias("ranked_refs"),
-        F.transform("r", lambda x: x["parent_key"]).alias("parent_keys"), F.lit("the answer is 42").alias("answer"), F.array(F.lit("42")).alias("accepted"), F.array(F.lit("42")).alias("signatures"),
+        "query_id", (F.size("expected") > 0).alias("answerable"), F.transform("expected", ref).alias("expected_refs"), refs.alias("ranked_refs"),
+        F.transform("r", lambda x: x["parent_key"]).alias("parent_keys"), own[0].alias("answer"), own[1].alias("accepted"), own[2].alias("signatures"),
         F.transform("expected", ref).alias("citations"), (F.col("query_id") * 7 % 50).cast("double").alias("retrieval_ms"), (F.col("query_id") * 13 % 90).cast("double").alias("total_ms"),
     )
 
@@ -74,10 +77,26 @@ def agg_eval_ontology(spark, sf):
     return m.select("case_count", F.round("recall_at_1", 6).alias("recall_at_1"), F.round("usage_rate", 6).alias("usage_rate"), "one_hop_count", "two_hop_count", F.round("false_positive_rate", 6).alias("false_positive_rate"))
 
 
-@query("agg_compare_gates", "SELECT 0.0::DOUBLE AS answer_gain, 0.0::DOUBLE AS recall_gain, 1.0::DOUBLE AS latency_ratio, false AS quality_improvement, false AS numeric_ok, true AS citation_ok, (SELECT count_if(NOT answerable) = 0 FROM ev) AS false_positive_ok, true AS latency_ok, false AS passed", (*P.RANKED24, CASES))
+# the ranking without facts (rows that only a fact found are no candidates) beside the one with them
+COMPARED = """others AS (SELECT query_id, id FROM fts UNION SELECT query_id, id FROM sub UNION SELECT query_id, id FROM gcon),
+plain AS (SELECT r.query_id, r.id, row_number() OVER (PARTITION BY r.query_id ORDER BY round(r.score - 0.26::DOUBLE * r.ontology, 6) DESC, r.uploaded_at DESC, r.id DESC) AS rank FROM ranked r JOIN others o ON o.query_id = r.query_id AND o.id = r.id),
+both_ AS (SELECT 'b' AS side, query_id, id, rank FROM plain WHERE rank <= 5 UNION ALL SELECT 'c', query_id, id, rank FROM ranked WHERE rank <= 5),
+first AS (SELECT side, b.query_id, min(rank) AS rank FROM both_ b JOIN found f ON f.query_id = b.query_id AND f.id = b.id GROUP BY ALL),
+sums AS (SELECT count_if(side = 'c' AND rank <= 3) AS c3, count_if(side = 'b' AND rank <= 3) AS b3, (SELECT count(DISTINCT query_id) FROM found) AS n, (SELECT count(*) FROM questions) AS q FROM first),
+times AS (SELECT quantile_disc((query_id * 13 % 90)::DOUBLE, 0.95) / quantile_disc((query_id * 11 % 80)::DOUBLE, 0.95) AS ratio FROM questions)"""
+
+
+@query("agg_compare_gates", """SELECT round(gain, 6) AS answer_gain, round(gain, 6) AS recall_gain, round(ratio, 6) AS latency_ratio, gain >= 0.05 AS quality_improvement, true AS numeric_ok, n > 0 AS citation_ok, n = q AS false_positive_ok, ratio <= 1.15 AS latency_ok,
+  gain >= 0.05 AND n > 0 AND n = q AND ratio <= 1.15 AS passed FROM (SELECT c3 / greatest(n, 1) - b3 / greatest(n, 1) AS gain, n, q, ratio FROM sums, times)""", (*P.RANKED24, CASES.split(",\ncases AS")[0], COMPARED))
 def agg_compare_gates(spark, sf):
-    m = V.structure_metrics(_cases(spark, sf))
-    return V.compare_gates(m, m, "txt")
+    """Release gates of the ranking with facts against the one without; an answer is right if one of its three rows is expected."""
+    score = F.round(F.col("score") - DEFAULTS.ontology_weight * F.col("ontology"), 6)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("plain"), F.desc("uploaded_at"), F.desc("id")))
+    plain = P.ranking(spark, sf).filter("own").withColumn("plain", score).withColumn("rank", rank).filter("rank <= 5").select("query_id", "id", "rank")
+    baseline = _cases(spark, sf, plain, True).withColumn("total_ms", (F.col("query_id") * 11 % 80).cast("double"))
+    candidate = _cases(spark, sf, P.hybrid(spark, sf, 5).select("query_id", "id", "rank"), True)
+    out = V.compare_gates(V.structure_metrics(baseline), V.structure_metrics(candidate), "txt")
+    return out.withColumns({c: F.round(c, 6) for c in ("answer_gain", "recall_gain", "latency_ratio")})
 
 
 # every fact from 0.55 on counts as a candidate; each setting takes the best twenty of a question among those that it allows
