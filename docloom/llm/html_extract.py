@@ -16,7 +16,7 @@ or outside the page's article or main element. Tags that the template doesn't kn
 host is small) belong to the slot of the nearest enclosing tag that it knows.
 
 A class of copies is no template: where a class has more text outside its tags than inside, or where its texts
-are nearly all that its pages have as content, the texts stay (see ``_template_texts``); where they are more than the changing
+are nearly all that its pages have as content, the texts stay (see ``_template_texts``); where they outweigh the changing
 content, those beside changing text in the same container stay, so near copies keep their common paragraphs.
 
 Cases: null and empty html give an empty text; unclosed and stray tags are tolerated, an open quote ends at the
@@ -47,8 +47,8 @@ SUPPORT, LEAST_PAGES = 0.5, 3
 LEAST_TAGS, RARE = 3, 0.001
 #: A text must stand on at least so many pages to be template; a slot is a menu beyond this share of link text.
 CONSTANT_PAGES, LINK_SHARE = 5, 0.8
-#: Characters a page that template texts may have beside less changing text.
-COPY_CHARS = 1000
+#: Template texts with more than so many times the changing text of their pages outweigh it; they may have so many characters a page then.
+OUTWEIGHS, COPY_CHARS = 2, 1000
 #: Templates are broadcast up to so many tokens in all, beyond that they are joined by a shuffle.
 BROADCAST_TOKENS = 2_000_000
 
@@ -268,7 +268,7 @@ class Page:
 
     def extract(self, known: set[int], menus: set[int], fixed: set[int], weak: set[int] = frozenset()) -> tuple[str, int]:
         """The text that template and chrome leave, a block each, and the number of texts that the template takes. fixed, weak: texts of the template,
-        where it is less, or more, than the content of its pages."""
+        where it doesn't outweigh, or outweighs, the content of its pages."""
         region, slots = self.region(), self.slots(known)
         keys = self.keys() if fixed or weak else [0] * len(self.texts)
         said = {number for (number, e, s, _), key in zip(self.texts, keys, strict=True) if not s.isspace() and not (e.link and (key in fixed or key in weak))}
@@ -438,10 +438,10 @@ def checks(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _template_texts():
-    """How far a class's texts are template: 'fixed' if they are less than the changing content of their pages, 'weak' if they are more but short
+    """How far a class's texts are template: 'fixed' if they don't outweigh the changing content of their pages, 'weak' if they do but are short
     and every page has content of its own; else, or if the class is more text than its tags enclose, its pages are copies."""
     weak = (F.col("main") <= F.col("n") * COPY_CHARS) & (F.col("first") < F.col("last"))
-    return F.when(F.col("loose") <= F.col("fixed"), F.when(F.col("main") <= F.col("data"), "fixed").when(weak, "weak"))
+    return F.when(F.col("loose") <= F.col("fixed"), F.when(F.col("main") <= F.col("data") * OUTWEIGHS, "fixed").when(weak, "weak"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
