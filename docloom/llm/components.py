@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut_alone, cut_at, remove
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -13,20 +13,29 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Each round hangs neighbours under smaller ids until the edges are stars; the number of rounds grows with the
     logarithm of the longest path, and an unfinished labelling is an error. A hub's edges are folded map-side (min),
-    and the minima are written before the edges are joined with them, so that AQE can split a hub's edges.
+    and the minima are written before the edges are joined with them, so that AQE can split a hub's edges. A round's
+    tables are deleted when the next ones are written.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    return cut_alone(lambda: _labels(edges, most_rounds), "cc-label")
+
+
+def _labels(edges: DataFrame, most_rounds: int) -> DataFrame:
+    spark = edges.sparkSession
+    now, path = cut_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     state = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     mark = state(now)
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours greater than u go under the smallest of u and its neighbours
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        low, low_at = cut_at(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
+        large, large_at = cut_at(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
         # small star: u and its smaller neighbours go under the smallest of them
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        least, least_at = cut_at(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        gone = [path, low_at, large_at, least_at]
+        now, path = cut_at(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        for at in gone:
+            remove(spark, at)
         seen = state(now)
         if mark == seen:
             break
@@ -34,4 +43,4 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return cut(roots.unionByName(now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))).distinct(), "cc-label")
+    return roots.unionByName(now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))).distinct()

@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, cut, maybe_in, one_of_each
+from docloom.llm.common import SPACE, cut, cut_alone, maybe_in, one_of_each
 
 #: Levels that an index may have before they are merged.
 FAN = 4
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
+#: Filters as large as a file's digests need (by default each file's takes a megabyte): candidates halve from that down to half a kilobyte.
+BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number#digest": "12"}
 
 
 def normalised(text: str = "text") -> Column:
@@ -103,7 +104,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts: the one with the smallest doc_id."""
-    found = cut(exact_dedup(docs), "lsm-verdicts")
+    found = cut_alone(lambda: exact_dedup(docs), "lsm-verdicts")
     rows = docs.withColumn("__digest", F.sha2(normalised(), 256))
     ids = lambda t: t.select(F.col("text_sha256").alias("__gd"), F.col("doc_id").alias("__gid"))
     same = lambda t: (rows["__digest"] == t["__gd"]) & rows["doc_id"].cast("long").eqNullSafe(t["__gid"])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, cut, one_of_each
+from docloom.llm.common import WORD, cut, cut_alone, one_of_each
 
 #: Words of a block at full size, and the least number of slots below that.
 BLOCK = 512
@@ -150,8 +150,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
 
 def plays(docs: DataFrame) -> DataFrame:
     """docs with the column plays; rows that are equal in all columns become one, with the plays of all."""
-    found = mix(docs).groupBy(F.col("row").alias("__row")).agg(F.sum("plays").alias("__plays"), F.count(F.lit(1)).alias("__rows"))
-    found = cut(found.filter("__plays > 0"), "mix-plays")
+    by_row = lambda: mix(docs).groupBy(F.col("row").alias("__row")).agg(F.sum("plays").alias("__plays"), F.count(F.lit(1)).alias("__rows"))
+    found = cut_alone(lambda: by_row().filter("__plays > 0"), "mix-plays")
     rows = docs.withColumn("__hash", _row_hash(docs))
     once, equal = found.filter("__rows = 1"), found.filter("__rows > 1")
     out = rows.join(once, F.col("__hash") == F.col("__row")).select(*docs.columns, F.col("__plays").alias("plays"))

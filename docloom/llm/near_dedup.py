@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, maybe_in, mix, one_of_each, row_key, slices, small_batches, stream, tidy, utf8, words
+from docloom.llm.common import cut, cut_alone, maybe_in, mix, one_of_each, row_key, slices, small_batches, stream, tidy, utf8, words
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -354,7 +354,7 @@ def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     bands = cut(rows.join(shared.select("key", "m", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
 
     stars = bands.filter((F.col("node") != F.col("low")) & _near_size("n", "low_n")).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    links = cut(_verified(cut(_likely(stars, sketch), "near-likely"), docs, sketch), "near-links")
+    links = cut_alone(lambda: _verified(cut(_likely(stars, sketch), "near-likely"), docs, sketch), "near-links")
     label = components(links)
 
     component = F.coalesce("component", "node")
@@ -368,7 +368,7 @@ def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         return member, classes, label
     family = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
     family = family.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", component).join(sketch.select("node", "n"), "node")
-    found = cut(_family_links(family, docs, sketch), "near-links")
+    found = cut_alone(lambda: _family_links(family, docs, sketch), "near-links")
     return member, classes, label if found.isEmpty() else components(links.unionByName(found))
 
 
@@ -389,7 +389,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component: the one with the smallest doc_id; rows without words stay."""
-    found = cut(verdicts(docs), "near-verdicts")
+    found = cut_alone(lambda: verdicts(docs), "near-verdicts")
     rows = docs.withColumn("__k", row_key(docs))
     same = lambda t: (rows["__k"] == t["__gk"]) & rows["doc_id"].cast("long").eqNullSafe(t["__gid"])
     ids = lambda t: t.select(F.col("k").alias("__gk"), F.col("doc_id").alias("__gid"), F.col("root").alias("__root")).distinct()

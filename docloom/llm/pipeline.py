@@ -7,7 +7,7 @@ the columns of documents.
 from __future__ import annotations
 
 from docloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from docloom.llm.common import cut
+from docloom.llm.common import cut_alone_at, remove
 from docloom.llm.queries import quality_model, tokenizer
 
 
@@ -40,13 +40,14 @@ STAGES = [("quality classifier", good), ("exact dedup", exact), ("MinHash near-d
 
 
 def run(spark, sf_dir):
-    """All stages over documents; each one's rows are written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{i}")
-    return docs
+    """All stages over documents; each one's rows are written and read again by the next, and deleted when that has written its own."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs, path = cut_alone_at(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{i}")
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier and the merge replay have no SQL form; the stages are tested against brute force.
