@@ -10,7 +10,7 @@ for chance collisions; pairs far below the threshold go no further, all others a
 
 No group is expanded into pairs. Equal sets are one class. In each band bucket every class is tried against
 the bucket's smallest id, and components are formed. Buckets that still hold several components are scanned:
-members whose estimate leaves a link possible are joined into families (a spanning forest leaves the scan, not
+members whose estimate leaves a link possible are joined into families (spanning stars leave the scan, not
 the pairs). Inside a family, members outside its largest component are compared with all others on the full
 sets, in blocks of bounded size; a link is emitted only where it joins two components. A link that is skipped
 therefore lies inside a component.
@@ -216,7 +216,7 @@ def _near_size(a: str, b: str):
 
 
 def _spanning(open_rows: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of the pairs in each bucket whose estimate leaves a link possible. Rows: key, m, low, node, n, regs."""
+    """Spanning stars (a, b) of the pairs in each bucket whose estimate leaves a link possible. Rows: key, m, low, node, n, regs."""
 
     def scan(ids: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[list[int], list[int]]:
         root = list(range(len(ids)))
@@ -227,16 +227,14 @@ def _spanning(open_rows: DataFrame) -> DataFrame:
                 i = root[i]
             return i
 
-        out: tuple[list[int], list[int]] = ([], [])
         for i in range(1, len(ids)):
             may = np.flatnonzero((np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * PERCENT) & ((regs[:i] == regs[i]).sum(axis=1) >= LEAST_ESTIMATE * REGISTERS))
             for j in may.tolist():
                 a, b = find(i), find(j)
                 if a != b:
-                    root[a] = b
-                    out[0].append(int(ids[i]))
-                    out[1].append(int(ids[j]))
-        return out
+                    root[max(a, b)] = min(a, b)
+        low = [find(i) for i in range(len(ids))]
+        return ids[[i for i, b in enumerate(low) if i != b]].tolist(), ids[[b for i, b in enumerate(low) if i != b]].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -337,18 +335,15 @@ def _family_links(family: DataFrame, docs: DataFrame, sketch: DataFrame) -> Data
 
 
 def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (k, doc_id, n, node), classes (node, least: smallest doc_id) and labels (id, component) of the linked nodes."""
+    """Members (k, doc_id, n, f1, f2), classes (n, f1, f2, node, least: smallest doc_id) and labels (id, component) of the linked nodes."""
     sketch = cut(sketches(docs), "near-sketch")
-    # equal sets are one class, a node of the link graph; the row with the smallest id stands for it
+    member = sketch.select("k", "doc_id", "n", "f1", "f2")
+    # equal sets are one class, a node of the link graph, folded map-side: the row with the smallest id stands for it, registers and keys are all rows'
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
-    classes = sketch.filter("n > 0").groupBy("n", "f1", "f2").agg(one.alias("one"))
-    # written, so that numbers stay and the joins below stand alone: a huge class can be split
-    classes = cut(classes.select("n", "f1", "f2", F.monotonically_increasing_id().alias("node"), F.col("one.doc_id").alias("least"), F.col("one.k").alias("rep")), "near-class-reps")
-    member = cut(sketch.select("k", "doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left").select("k", "doc_id", "n", "node"), "near-member")
-    reps = classes.select("node", F.col("rep").alias("k"), "least")
-    sketch = sketch.join(reps, "k").filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
-    sketch = cut(sketch.select("node", "k", "doc_id", "n", "regs", "keys"), "near-classes")
-    classes = classes.select("node", "least")
+    sketch = sketch.filter("n > 0").groupBy("n", "f1", "f2").agg(one.alias("one"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    # written, so that numbers stay
+    sketch = cut(sketch.select(F.monotonically_increasing_id().alias("node"), "one.k", "one.doc_id", "n", "f1", "f2", "regs", "keys"), "near-classes")
+    classes = sketch.select("n", "f1", "f2", "node", F.col("doc_id").alias("least"))
     rows = sketch.select("node", "n", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-shared")
     bands = cut(rows.join(shared.select("key", "m", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-bands")
@@ -369,16 +364,20 @@ def links_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     family = components(edges).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
     family = family.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", component).join(sketch.select("node", "n"), "node")
     found = cut_alone(lambda: _family_links(family, docs, sketch), "near-links")
-    return member, classes, label if found.isEmpty() else components(links.unionByName(found))
+    if found.isEmpty():
+        return member, classes, label
+    # the labels stand for the links: stars, so that few rounds are left
+    return member, classes, components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """k, doc_id, n, root (number of the component), component_id, kept for every row."""
     member, classes, label = links_and_components(docs)
-    roots = cut(classes.join(label.withColumnRenamed("id", "node"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "near-roots")
+    roots = cut(classes.join(label.withColumnRenamed("id", "node"), "node", "left").select("n", "f1", "f2", "least", F.coalesce("component", "node").alias("root")), "near-roots")
     names = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")), "near-names")
-    named = cut(roots.join(names, "root").select("node", "root", "component_id"), "near-named")
-    out = member.join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    # written, so that the join with the rows stands alone: a huge class of copies can be split
+    named = cut(roots.join(names, "root").select("n", "f1", "f2", "root", "component_id"), "near-named")
+    out = member.join(named, ["n", "f1", "f2"], "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("k", "doc_id", "n", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -135,7 +135,7 @@ def simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
     rows = cut(fingerprints(docs), "simhash-rows")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    label = components(links(classes.select("fp")))
+    label = components(links(classes.select("fp")).distinct())
     roots = cut(classes.join(label.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
     names = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
     # written, so that the join with the rows stands alone: a huge class of copies can be split
